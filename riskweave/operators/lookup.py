@@ -1,5 +1,7 @@
 """Risk of an account, now or as it was known at the moment of a transfer."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,20 @@ def found_status(score: Column) -> Column:
     return F.when(score.isNotNull(), F.lit(K.FOUND)).otherwise(F.lit(K.NOT_FOUND))
 
 
+@dataclass(frozen=True)
+class SignalHistory:
+    """Accepted signals for point-in-time lookups.
+
+    `pairs` names at least every (`risk_id`, `source_bank_id`) of `accepted`; repeats do no harm.
+    It is kept apart because it needs no outcome: taking it from the validated log spares the
+    shuffle that classifies the log a second time. `hot` lists accounts to be split.
+    """
+
+    accepted: DataFrame
+    pairs: DataFrame
+    hot: HotKeys | None = None
+
+
 def hot_accounts(
     transfers: DataFrame, log: DataFrame, rows_per_task: int = ROWS_PER_TASK
 ) -> HotKeys | None:
@@ -61,9 +77,7 @@ def hot_accounts(
     return find_hot_keys(moments, ["risk_id"], F.col("at"), rows_per_task)
 
 
-def risk_at_transfer(
-    transfers: DataFrame, accepted_log: DataFrame, hot: HotKeys | None = None
-) -> DataFrame:
+def risk_at_transfer(transfers: DataFrame, history: SignalHistory) -> DataFrame:
     """Add to each transfer the live risk of `risk_id` as known at `request_ts`.
 
     `transfer_id` must be unique. Instead of comparing a transfer with every signal of its account,
@@ -71,7 +85,8 @@ def risk_at_transfer(
     before them: the work is linear in the rows, whatever the number of signals per account. A
     signal that arrives at the very instant of the request is visible.
     """
-    history = accepted_log.select(
+    hot = history.hot
+    arrivals = history.accepted.select(
         "risk_id",
         "source_bank_id",
         F.col("arrival_ts").alias("at"),
@@ -86,7 +101,7 @@ def risk_at_transfer(
         ).alias("signal"),
     )
     # The banks of an account are a subset of the member banks, so the set stays small.
-    banks = accepted_log.groupBy("risk_id").agg(F.collect_set("source_bank_id").alias("banks"))
+    banks = history.pairs.groupBy("risk_id").agg(F.collect_set("source_bank_id").alias("banks"))
     asked = join_to_unique(
         transfers.select("risk_id", "request_ts", "transfer_id"),
         banks,
@@ -102,7 +117,7 @@ def risk_at_transfer(
         F.lit(None).cast("bigint").alias("seq"),
         "transfer_id",
     )
-    merged = history.unionByName(asked, allowMissingColumns=True)
+    merged = arrivals.unionByName(asked, allowMissingColumns=True)
     newest = scans.running(
         merged,
         ["risk_id", "source_bank_id"],

@@ -41,6 +41,9 @@ def find_hot_keys(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> HotKeys | None:
     """Keys with more than `rows_per_task` rows, or None. `at` is the time column of later scans."""
+    # A plain count needs no shuffle and settles the matter for tables that fit one task.
+    if df.count() <= rows_per_task:
+        return None
     moment = timecols.micros(at) if at is not None else F.lit(0).cast("bigint")
     heavy = (
         df.select(*keys, moment.alias("__at"))

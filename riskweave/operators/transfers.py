@@ -152,9 +152,14 @@ def customer_view(audit: DataFrame) -> DataFrame:
 
 
 def evidence(
-    refs: DataFrame, audit: DataFrame, current: DataFrame, as_of: Column
+    refs: DataFrame,
+    audit: DataFrame,
+    current: DataFrame,
+    as_of: Column,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Analyst view of audit references (`audit_ref`): the record and the account's risk now."""
+    """Analyst view of audit references (`audit_ref`): the record and the account's risk now.
+    `hot` lists accounts with very many records."""
     recorded = refs.select(F.col("audit_ref").alias("transfer_id")).join(audit, "transfer_id")
     now = lookup(recorded.select("risk_id").distinct(), current, as_of).select(
         "risk_id",
@@ -162,5 +167,4 @@ def evidence(
         F.col("risk_score").alias("score_now"),
         F.col("contributing_banks").alias("banks_now"),
     )
-    hot = find_hot_keys(recorded, ["risk_id"])
     return join_to_unique(recorded, now, ["risk_id"], "left", hot, ["transfer_id"])

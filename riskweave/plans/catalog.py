@@ -10,8 +10,8 @@ from riskweave.functions import policy as rules
 from riskweave.functions.accounts import account_reject_reason, normalize_account
 from riskweave.functions.policy import PolicyConfig
 from riskweave.operators import lookup, retention, signals, transfers, trust
-from riskweave.plans.decide import Decisions, decide_transfers
-from riskweave.plans.publish import publish
+from riskweave.plans.decide import Decisions, decide_transfers, identify
+from riskweave.plans.publish import history_for, publish
 from riskweave.sources import derived
 from riskweave.sources.audit import append_audit, read_audit
 from riskweave.sources.shared import fresh_dir
@@ -145,9 +145,8 @@ def transfer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = transfers.valid_transfers(derived.transfer_requests(spark, sf_dir))
-    known = derived.pseudonymiser(spark).with_risk_id(requests, "receiver_account")
-    log = _accepted(spark, sf_dir)
-    return lookup.risk_at_transfer(known, log, lookup.hot_accounts(known, log))
+    known, _ = identify(requests, derived.pseudonymiser(spark))
+    return lookup.risk_at_transfer(known, history_for(known, derived.signal_log(spark, sf_dir)))
 
 
 def risk_at_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +194,7 @@ def _decisions(spark: SparkSession, sf_dir: str) -> Decisions:
     requests = transfers.valid_transfers(derived.transfer_requests(spark, sf_dir, retries=True))
     return decide_transfers(
         requests,
-        _accepted(spark, sf_dir),
+        derived.signal_log(spark, sf_dir),
         derived.pseudonymiser(spark),
         derived.policies(spark),
         derived.outages(spark),
@@ -208,22 +207,26 @@ def idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfers.replay_decisions(d.requests, d.audit, hot)
 
 
-def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit table as written and read back."""
+def _stored_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "audit")
     append_audit(_decisions(spark, sf_dir).audit, path)
-    stored = read_audit(spark, path)
-    return stored.withColumns(
+    return read_audit(spark, path)
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit table as written and read back."""
+    settings = ("step_up_at", "block_at", "on_bus_unavailable")
+    return _stored_audit(spark, sf_dir).withColumns(
         {
             "reason_codes": _text("reason_codes"),
             "contributing_banks": _text("contributing_banks"),
-            **{f"policy_{f}": F.col(f"policy.{f}") for f in ("step_up_at", "block_at", "on_bus_unavailable")},
+            **{f"policy_{name}": F.col(f"policy.{name}") for name in settings},
         }
     ).drop("policy")
 
 
 def audit_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = retention.retain_audit(_decisions(spark, sf_dir).audit, AUDIT_CAPACITY)
+    kept = retention.retain_audit(_stored_audit(spark, sf_dir), AUDIT_CAPACITY)
     return kept.kept.select(
         "transfer_id", "decided_at", F.lit(kept.dropped).cast("bigint").alias("dropped")
     )
@@ -234,9 +237,9 @@ def customer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _decisions(spark, sf_dir)
-    refs = transfers.customer_view(d.audit).filter(F.col("decision") == "block")
-    seen = transfers.evidence(refs, d.audit, _current(spark, sf_dir), _end_of_log(spark, sf_dir))
+    stored = _stored_audit(spark, sf_dir)
+    refs = transfers.customer_view(stored).filter(F.col("decision") == "block")
+    seen = transfers.evidence(refs, stored, _current(spark, sf_dir), _end_of_log(spark, sf_dir))
     return seen.select(
         "transfer_id", "decision", "risk_score", _text("contributing_banks"),
         "status_now", "score_now", _text("banks_now"),

@@ -9,6 +9,7 @@ from riskweave.functions.accounts import Pseudonymiser
 from riskweave.functions.policy import PolicyVersions
 from riskweave.operators import lookup, transfers
 from riskweave.operators.skew import ROWS_PER_TASK
+from riskweave.plans.publish import history_for
 
 
 @dataclass(frozen=True)
@@ -28,25 +29,32 @@ class Decisions:
         return transfers.customer_view(answered)
 
 
+def identify(requests: DataFrame, pseudonymiser: Pseudonymiser) -> tuple[DataFrame, DataFrame]:
+    """Requests with the pseudonym of their receiver, and those whose receiver is malformed."""
+    named = pseudonymiser.with_risk_id(requests, "receiver_account").drop("account_norm")
+    malformed = F.col("account_reject").isNotNull()
+    return named.filter(~malformed).drop("account_reject"), named.filter(malformed)
+
+
 def decide_transfers(
     requests: DataFrame,
-    accepted_log: DataFrame,
+    log: DataFrame,
     pseudonymiser: Pseudonymiser,
     policies: PolicyVersions | None = None,
     outages: DataFrame | None = None,
+    publishers: DataFrame | None = None,
+    quota: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> Decisions:
     """Pseudonymise the receiver, look up its risk as of the request, decide, record.
 
-    The plan shuffles the first requests once by transfer, once by (account, bank) with the signal
-    history, and the roll-up once by transfer. Only heavy accounts add more.
+    `log` is the publish log; it is validated and classified here. The plan shuffles the first
+    requests once by transfer, once by (account, bank) with the signal history, and the roll-up
+    once by transfer. Only heavy accounts add more.
     """
-    identified = pseudonymiser.with_risk_id(requests, "receiver_account").drop("account_norm")
-    usable = identified.filter(F.col("account_reject").isNull()).drop("account_reject")
-    malformed = identified.filter(F.col("account_reject").isNotNull())
-    first = transfers.first_requests(usable)
-    hot = lookup.hot_accounts(usable, accepted_log, rows_per_task)
-    risk = lookup.risk_at_transfer(first, accepted_log, hot)
+    usable, malformed = identify(requests, pseudonymiser)
+    history = history_for(usable, log, publishers, quota, rows_per_task)
+    risk = lookup.risk_at_transfer(transfers.first_requests(usable), history)
     seen = lookup.with_lookup_status(risk, outages)
     decided = transfers.apply_policy(seen, policies or PolicyVersions.single())
     return Decisions(transfers.audit_records(decided), usable, malformed, rows_per_task)

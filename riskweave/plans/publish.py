@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 
 from riskweave.operators import retention, signals, trust
+from riskweave.operators.lookup import SignalHistory, hot_accounts
 from riskweave.operators.skew import ROWS_PER_TASK
 
 
@@ -25,6 +26,15 @@ class PublishResult:
         return retention.enforce_capacity(self.current, as_of, max_accounts)
 
 
+def admitted(log: DataFrame, publishers: DataFrame | None = None) -> DataFrame:
+    """Valid rows, authenticated where `publishers` are given (rows then carry a `tag`)."""
+    valid = signals.valid_signals(log)
+    if publishers is None:
+        return valid
+    checked = trust.verify_payloads(valid, publishers)
+    return checked.filter(f"integrity = '{trust.TRUSTED}'").drop("integrity")
+
+
 def publish(
     log: DataFrame,
     publishers: DataFrame | None = None,
@@ -32,12 +42,28 @@ def publish(
     state: signals.StoreState | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> PublishResult:
-    """Validate, authenticate (where `publishers` and tags are given) and classify a log."""
-    valid = signals.valid_signals(log)
-    if publishers is not None:
-        valid = trust.verify_payloads(valid, publishers).filter(f"integrity = '{trust.TRUSTED}'")
-        valid = valid.drop("integrity")
+    """Validate, authenticate and classify a log."""
+    valid = admitted(log, publishers)
     hot = signals.hot_pairs(valid, rows_per_task)
     return PublishResult(
         signals.classify_publishes(valid, quota, hot, state), signals.quarantined_signals(log)
     )
+
+
+def history_for(
+    requests: DataFrame,
+    log: DataFrame,
+    publishers: DataFrame | None = None,
+    quota: int | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> SignalHistory:
+    """The accepted signals of a log, laid out for looking up `requests` (`risk_id, request_ts`).
+
+    Heavy accounts are searched once, over signals and requests together, and the same list splits
+    the classification and the lookup.
+    """
+    valid = admitted(log, publishers)
+    hot = hot_accounts(requests, valid, rows_per_task)
+    classified = signals.classify_publishes(valid, quota, hot)
+    pairs = valid.select("risk_id", "source_bank_id")
+    return SignalHistory(signals.accepted(classified), pairs, hot)

@@ -112,10 +112,24 @@ def hot_pairs(log: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> HotKeys | N
     return find_hot_keys(log, _PAIR, F.col("arrival_ts"), rows_per_task)
 
 
+def _with_earlier_mark(log: DataFrame, state: StoreState | None) -> DataFrame:
+    """Add `__before`, the pair's high-water mark from earlier runs."""
+    if state is None:
+        return log.withColumn("__before", F.lit(None).cast("timestamp_ntz"))
+    return log.join(state.marks.select(*_PAIR, F.col("mark").alias("__before")), _PAIR, "left")
+
+
+def _may_land() -> Column:
+    """Neither expired nor a replay of what earlier runs accepted."""
+    effective = timecols.effective_time(F.col("timestamp"), F.col("arrival_ts"))
+    replayed = F.coalesce(effective <= F.col("__before"), F.lit(False))
+    return ~expired_on_arrival() & ~replayed
+
+
 def _first_publishes(log: DataFrame, state: StoreState | None) -> DataFrame:
-    """First non-expired publish of each (bank, account) not held yet: a request for a slot."""
+    """First publish that may land of each (bank, account) not held yet: a request for a slot."""
     first = F.min(F.struct(timecols.micros(F.col("arrival_ts")).alias("at"), "seq"))
-    slots = log.filter(~expired_on_arrival()).groupBy(*_PAIR).agg(first.alias("f"))
+    slots = _with_earlier_mark(log, state).filter(_may_land()).groupBy(*_PAIR).agg(first.alias("f"))
     slots = slots.select(*_PAIR, F.col("f.at").alias("at"), F.col("f.seq").alias("seq"))
     if state is not None:
         slots = slots.join(state.held.select(*_PAIR), _PAIR, "left_anti")
@@ -164,24 +178,18 @@ def classify_publishes(
     With a quota, a bank's new accounts are admitted in arrival order until its slots are full;
     slots are not released within one run.
     """
-    expired = expired_on_arrival()
     effective = timecols.effective_time(F.col("timestamp"), F.col("arrival_ts"))
-    values = [
-        scans.Running("__mark", F.when(~expired, effective), inclusive=False),
-    ]
+    lands = _may_land()
+    values = [scans.Running("__mark", F.when(lands, effective), inclusive=False)]
     limits = last_slots(log, quota, state) if quota is not None else None
     if limits is not None:
         arrival = F.struct(
             timecols.micros(F.col("arrival_ts")).alias("at"), F.col("seq").alias("seq")
         )
-        values.append(scans.Running("__first", F.when(~expired, arrival), kind="min"))
-    rows = scans.running(log, _PAIR, "arrival_ts", ["seq"], values, hot)
+        values.append(scans.Running("__first", F.when(lands, arrival), kind="min"))
+    earlier = _with_earlier_mark(log, state)
+    rows = scans.running(earlier, _PAIR, "arrival_ts", ["seq"], values, hot)
 
-    mark = F.col("__mark")
-    if state is not None:
-        before = state.marks.select(*_PAIR, F.col("mark").alias("__before"))
-        rows = rows.join(before, _PAIR, "left")
-        mark = F.greatest(mark, F.col("__before"))
     refused = F.lit(False)
     if limits is not None:
         # One row per bank over quota; the number of member banks bounds it.
@@ -195,10 +203,12 @@ def classify_publishes(
             held = state.held.select(*_PAIR, F.lit(True).alias("__held"))
             rows = rows.join(held, _PAIR, "left")
             refused = refused & F.col("__held").isNull()
+    # A refused pair never moved its mark, so its later rows are refused, not stale.
     outcome = (
-        F.when(expired, F.lit(K.EXPIRED))
-        .when(F.coalesce(effective <= mark, F.lit(False)), F.lit(K.STALE))
+        F.when(expired_on_arrival(), F.lit(K.EXPIRED))
+        .when(~lands, F.lit(K.STALE))
         .when(F.coalesce(refused, F.lit(False)), F.lit(K.QUOTA_EXCEEDED))
+        .when(F.coalesce(effective <= F.col("__mark"), F.lit(False)), F.lit(K.STALE))
         .otherwise(F.lit(K.ACCEPTED))
     )
     return rows.select(*log.columns, outcome.alias("outcome"))

@@ -20,6 +20,15 @@ FETCH_ROWS = 2_000
 _BINS = 1_024
 _CHARS = 2
 
+def _bin_columns() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n"),
+        F.min("__this").alias("lo"),
+        F.max("__this").alias("hi"),
+        F.min("__next").alias("next_lo"),
+        F.max("__next").alias("next_hi"),
+    ]
+
 
 @dataclass
 class _Range:
@@ -59,12 +68,35 @@ class RankFinder:
         for name in order:
             if not isinstance(types[name], (T.IntegralType, T.StringType)):
                 raise TypeError(f"{name}: only integer and string sort columns are supported")
-        first = order[0]
-        bounds = [F.min(first).alias("lo"), F.max(first).alias("hi")] if self.numeric[0] else []
-        # One small row per group (a bank or a label).
-        found = self.keys.groupBy("__g").agg(F.count(F.lit(1)).alias("n"), *bounds).collect()
-        self.counts = {r["__g"]: r["n"] for r in found}
-        self._bounds = {r["__g"]: (r["lo"], r["hi"]) for r in found} if bounds else {}
+        self._bounds: dict[Hashable, tuple] = {}
+        self._first_bins: dict[Hashable, list] = {}
+        if self.numeric[0]:
+            first = order[0]
+            # One small row per group (a bank or a label).
+            found = self.keys.groupBy("__g").agg(
+                F.count(F.lit(1)).alias("n"), F.min(first).alias("lo"), F.max(first).alias("hi")
+            )
+            found = found.collect()
+            self.counts = {r["__g"]: r["n"] for r in found}
+            self._bounds = {r["__g"]: (r["lo"], r["hi"]) for r in found}
+        else:
+            # Text needs no bounds, so the count doubles as the first histogram.
+            follows = len(order) > 1 and self.numeric[1]
+            after = F.col(order[1]).cast("bigint") if follows else F.lit(None).cast("bigint")
+            found = (
+                self.keys.select(
+                    "__g",
+                    F.substring(order[0], 1, _CHARS).alias("__bin"),
+                    F.lit(None).cast("bigint").alias("__this"),
+                    after.alias("__next"),
+                )
+                .groupBy("__g", "__bin")
+                .agg(*_bin_columns())
+                .collect()
+            )
+            for row in found:
+                self._first_bins.setdefault(row["__g"], []).append(row)
+            self.counts = {g: sum(r["n"] for r in rows) for g, rows in self._first_bins.items()}
 
     def keys_at(self, ranks: dict[Hashable, list[int]]) -> dict[tuple[Hashable, int], tuple]:
         """Key at each 1-based rank of each group. Ranks outside 1..count are left out."""
@@ -76,6 +108,8 @@ class RankFinder:
             if inside:
                 low, high = self._bounds.get(group, (None, None))
                 active.append(_Range(group, low=low, high=high, wanted=inside, rows=n))
+        if self._first_bins:
+            active = self._descend([(r, self._first_bins[r.group]) for r in active])
         while active:
             small = [r for r in active if r.rows <= self.fetch_rows]
             large = [r for r in active if r.rows > self.fetch_rows]
@@ -152,22 +186,20 @@ class RankFinder:
                 pick(1).alias("__next"),
             )
             .groupBy("__node", "__bin")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.min("__this").alias("lo"),
-                F.max("__this").alias("hi"),
-                F.min("__next").alias("next_lo"),
-                F.max("__next").alias("next_hi"),
-            )
+            .agg(*_bin_columns())
             .collect()
         )
         bins: dict[int, list] = {}
         for row in histogram:
             bins.setdefault(row["__node"], []).append(row)
+        return self._descend([(r, bins[i]) for i, r in enumerate(ranges)])
+
+    def _descend(self, histograms: list[tuple[_Range, list]]) -> list[_Range]:
+        """The bins that hold the ranks asked for."""
         narrowed: dict[tuple, _Range] = {}
-        for i, r in enumerate(ranges):
+        for r, bins in histograms:
             before = 0
-            for b in sorted(bins[i], key=lambda b: b["__bin"].encode()):
+            for b in sorted(bins, key=lambda b: b["__bin"].encode()):
                 hit = {a: w - before for a, w in r.wanted.items() if before < w <= before + b["n"]}
                 before += b["n"]
                 if hit:

@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +10,27 @@ from riskweave.functions import money
 from riskweave.functions import policy as rules
 from riskweave.functions.accounts import account_reject_reason, normalize_account
 from riskweave.functions.policy import PolicyConfig
-from riskweave.operators import lookup, retention, signals, transfers, trust
+from riskweave.operators import (
+    lookup,
+    metrics,
+    retention,
+    scoring,
+    shards,
+    signals,
+    training,
+    transfers,
+    trust,
+)
 from riskweave.plans.decide import Decisions, decide_transfers, identify
+from riskweave.plans.experiment import run_experiment
 from riskweave.plans.publish import history_for, publish
-from riskweave.sources import derived
+from riskweave.sources import derived, fraud_csv
+from riskweave.sources import model_table as model_store
 from riskweave.sources.audit import append_audit, read_audit
 from riskweave.sources.shared import fresh_dir
+from riskweave.streaming import ingest
+from riskweave.streaming.decide import TransferDesk
+from riskweave.streaming.publish import SignalStore
 
 QUOTA = 100
 CAPACITY = 50
@@ -255,6 +271,271 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Model --------------------------------------------------------------------------------------------
+
+BANKS = 5
+SEED = 42
+HOLDOUT = 0.2
+CAP = 20_000
+THRESHOLD = 60
+VERSION = "m-test"
+SHARES = shards.label_proportions(BANKS, 0.5, SEED)
+
+
+def fixed_network() -> scoring.Network:
+    """A network with weights from a formula, so that SQL can hold the same one."""
+    i, j = np.meshgrid(np.arange(4), np.arange(16), indexing="ij")
+    return scoring.Network(
+        ((i * 7 + j * 3) % 11 - 5) / 10.0,
+        (np.arange(16) % 5 - 2) / 10.0,
+        ((np.arange(16) * 5) % 7 - 3) / 4.0,
+        -0.25,
+    )
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.labelled(spark, sf_dir)
+
+
+def card_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines in the shape of the card table."""
+    lines = derived.table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        F.datediff("l_shipdate", F.lit("1990-01-01")).alias("Time"),
+        F.col("l_quantity").alias("V1"),
+        F.col("l_discount").alias("V2"),
+        F.col("l_tax").alias("V3"),
+        F.col("l_extendedprice").alias("Amount"),
+        (F.col("l_returnflag") == "R").cast("int").alias("Class"),
+    )
+    rows = fraud_csv.card_rows(lines).frame
+    x = F.transform("features", lambda v: F.round(v, 6))
+    return rows.withColumn("features", x).select(
+        "row_id", "label", "event_time", *[F.col("features")[i].alias(f"x{i}") for i in range(4)]
+    )
+
+
+def numeric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines in the shape of the mobile-money table, with NaN, infinity and NULL in it."""
+    n = F.col("l_partkey")
+    lines = derived.table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        F.col("l_linenumber").alias("step"),
+        F.col("l_returnflag").alias("type"),
+        F.when(n % 10 == 1, F.lit(float("nan")))
+        .when(n % 10 == 2, F.lit(float("inf")))
+        .when(n % 10 == 3, F.lit(float("-inf")))
+        .when(n % 10 != 4, F.col("l_extendedprice"))
+        .alias("amount"),
+        F.col("l_quantity").alias("balance"),
+        (F.col("l_returnflag") == "R").cast("int").alias("isFraud"),
+        F.lit(1).alias("isFlaggedFraud"),
+    )
+    rows = fraud_csv.mobile_money_rows(lines).frame
+    return rows.select(
+        "row_id", "label", "event_time", *[F.col("features")[i].alias(f"x{i}") for i in range(3)]
+    )
+
+
+def class_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capped = shards.cap_keeping_positives(_lines(spark, sf_dir), CAP, SEED)
+    return capped.select("id", "label")
+
+
+def shard_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.contiguous_shards(_lines(spark, sf_dir), 7, ["id"]).select("id", "shard")
+
+
+def shard_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = ["event_micros", "id"]
+    return shards.contiguous_shards(_lines(spark, sf_dir), BANKS, order).select("id", "shard")
+
+
+def shard_label_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.label_skew_shards(_lines(spark, sf_dir), SHARES, SEED).select("id", "shard")
+
+
+def holdout_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = shards.holdout_split(_lines(spark, sf_dir), HOLDOUT, ["event_micros", "id"])
+    return split.select("id", "is_holdout")
+
+
+def holdout_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.pooled_holdout(_lines(spark, sf_dir), HOLDOUT, SEED).select("id", "is_holdout")
+
+
+def bank_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Banks by supplier, more of them than have a letter; every bank must have rows."""
+    numbered = _lines(spark, sf_dir).withColumn("shard", (F.col("supplier") % 8).cast("int"))
+    named = shards.with_bank_names(numbered)
+    shards.bank_sizes(named, shards.bank_names(8))
+    return named.groupBy("bank_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("positives")
+    )
+
+
+def _bank_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One update per bank: the mean of every feature of its positive rows."""
+    positives = _lines(spark, sf_dir).filter(F.col("label") == 1)
+    exploded = positives.select("bank_id", F.posexplode("features").alias("pos", "value"))
+    return exploded.groupBy("bank_id", "pos").agg(
+        F.lit("w1").alias("layer"), F.avg("value").alias("value"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def fedavg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    averaged = training.weighted_average(_bank_means(spark, sf_dir))
+    return averaged.select("layer", "pos", F.round("value", 6).alias("value"), "n")
+
+
+def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The averaged update as saved and loaded by version."""
+    path = fresh_dir(spark, "models")
+    averaged = training.weighted_average(_bank_means(spark, sf_dir))
+    model_store.save_model(averaged, VERSION, path, {"n_features": 4})
+    model_store.save_model(averaged.withColumn("value", F.col("value") + 1), "other", path)
+    loaded = model_store.load_weights(spark, VERSION, path)
+    return loaded.select(
+        "version", "layer", "pos", F.round("value", 6).alias("value"),
+        F.get_json_object("meta", "$.n_features").cast("int").alias("n_features"),
+    )
+
+
+def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.score_rows(_lines(spark, sf_dir), fixed_network())
+    return scored.select("id", F.round("probability", 6).alias("probability"))
+
+
+def signal_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _lines(spark, sf_dir).withColumn("probability", F.col("score"))
+    fields = scoring.signal_fields(known, VERSION)
+    return fields.select("id", "risk_score", F.round("confidence", 4).alias("confidence"), "model_version")
+
+
+def publishable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid signals for the accounts of high-scoring rows."""
+    scored = scoring.signal_fields(
+        _lines(spark, sf_dir).withColumn("probability", F.col("score")), VERSION
+    ).select(
+        F.col("id").alias("seq"),
+        F.col("event_time").alias("arrival_ts"),
+        derived.account(F.col("supplier")).alias("account"),
+        F.col("bank_id").alias("source_bank_id"),
+        "risk_score", "confidence", "model_version",
+    )
+    out = scoring.publishable_signals(
+        scored, derived.pseudonymiser(spark), THRESHOLD, 24, "suspicious_pattern"
+    )
+    return signals.valid_signals(out).select(
+        F.col("seq").alias("id"), "risk_id", "source_bank_id", "risk_score", "model_version",
+        "ttl_hours", "timestamp", _text("reason_codes"),
+    )
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.ranking_metrics(_lines(spark, sf_dir), ["bank_id"])
+
+
+def _metric(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _measured(spark, sf_dir).select("bank_id", F.round(name, 6).alias(name))
+    query.__doc__ = f"{name} of the score, per bank."
+    return query
+
+
+def degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by direction of the label; those of one class have no metrics but keep their counts."""
+    rows = _lines(spark, sf_dir).withColumn(
+        "grp", F.concat_ws("/", "bank_id", F.when(F.col("score") > 0.75, "high").when(F.col("label") == 1, "hit").otherwise("miss"))
+    )
+    measured = metrics.ranking_metrics(rows, ["grp"])
+    return measured.select("grp", F.round("auc", 6).alias("auc"), "positives", "rows")
+
+
+def mean_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean AUC over groups of which some have none."""
+    groups = degenerate(spark, sf_dir)
+    return groups.groupBy(F.substring_index("grp", "/", 1).alias("bank_id")).agg(
+        F.round(metrics.mean_ignoring_nan("auc"), 6).alias("mean_auc")
+    )
+
+
+def _training(spark: SparkSession, sf_dir: str) -> tuple[training.Blocks, training.TrainConfig]:
+    train = _lines(spark, sf_dir)
+    sizes = shards.bank_sizes(train)
+    blocks = training.pack_blocks(train, sizes, 4)
+    blocks.frame.persist()
+    return blocks, training.TrainConfig(rounds=5, local_epochs=2)
+
+
+def fed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights after five rounds of federated averaging."""
+    blocks, config = _training(spark, sf_dir)
+    try:
+        return training.federated_rounds(blocks, config).network.table(spark)
+    finally:
+        blocks.frame.unpersist()
+
+
+def local_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of every bank trained alone."""
+    blocks, config = _training(spark, sf_dir)
+    try:
+        nets = training.local_baselines(blocks, config)
+    finally:
+        blocks.frame.unpersist()
+    rows = [(bank, *entry) for bank, net in nets.items() for entry in net.entries()]
+    return spark.createDataFrame(rows, "bank_id string, layer string, pos int, value double")
+
+
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of every local model and the global one on the pooled holdout."""
+    config = training.TrainConfig(rounds=5, local_epochs=2)
+    done = run_experiment(_lines(spark, sf_dir), 4, config)
+    better = F.lit(done.report["global_beats_mean_local_auc"])
+    return done.measured.withColumn("global_beats_mean_local_auc", better)
+
+
+# Streams ------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = derived.table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+
+
+def stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream, folded into the store in two steps; outcomes equal the batch run's."""
+    base = fresh_dir(spark, "signals")
+    raw = derived.events_as_signals(_event_stream(spark, sf_dir))
+    named = raw.withColumn("risk_id", derived.pseudonymiser(spark).risk_id(F.col("account")))
+    ingest.land_signals(named.drop("account"), f"{base}/landed", f"{base}/progress").awaitTermination()
+    landed = ingest.landed(spark.read.parquet(f"{base}/landed"))
+    store = SignalStore(spark, f"{base}/store")
+    half = landed.agg(F.max("seq")).first()[0] // 2
+    store.advance(landed, upto=half)
+    store.advance(landed)
+    return store.outcomes().select("seq", "outcome")
+
+
+def stream_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers as a stream, decided against the accepted log and audited once each."""
+    base = fresh_dir(spark, "transfers")
+    users = derived.table(spark, sf_dir, "events").agg(F.max("user_id") + 1).scalar()
+    stream = derived.events_as_transfers(_event_stream(spark, sf_dir), users)
+    ingest.land_transfers(
+        stream, derived.pseudonymiser(spark), f"{base}/landed", f"{base}/progress"
+    ).awaitTermination()
+    landed = ingest.landed(spark.read.parquet(f"{base}/landed"))
+    desk = TransferDesk(spark, f"{base}/desk")
+    desk.advance(
+        landed, _accepted(spark, sf_dir), derived.policies(spark), derived.outages(spark)
+    )
+    return desk.audit().select(
+        "transfer_id", "decision", "lookup_status", "risk_score", _text("contributing_banks")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "pseudonymise": pseudonymise,
     "normalize_reject": normalize_reject,
@@ -282,4 +563,29 @@ QUERIES: dict[str, Query] = {
     "customer_view": customer_view,
     "evidence": evidence,
     "decide_transfers": decided,
+    "card_features": card_features,
+    "numeric_features": numeric_features,
+    "class_cap": class_cap,
+    "shard_contiguous": shard_contiguous,
+    "shard_temporal": shard_temporal,
+    "shard_label_skew": shard_label_skew,
+    "holdout_time": holdout_time,
+    "holdout_pooled": holdout_pooled,
+    "bank_names": bank_names,
+    "fedavg": fedavg,
+    "score_rows": score_rows,
+    "signal_fields": signal_fields,
+    "publishable": publishable,
+    "roc_auc": _metric("auc"),
+    "pr_auc": _metric("pr_auc"),
+    "recall_at_fpr": _metric("recall_at_fpr_0_05"),
+    "fpr_at_recall": _metric("fpr_at_recall_0_50"),
+    "degenerate": degenerate,
+    "mean_metric": mean_metric,
+    "model_table": model_table,
+    "fed_rounds": fed_rounds,
+    "local_baselines": local_baselines,
+    "report": report,
+    "stream_publish": stream_publish,
+    "stream_decide": stream_decide,
 }

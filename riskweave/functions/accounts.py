@@ -13,22 +13,24 @@ _HASH_BLOCK = 64
 
 def squeeze(account: Column) -> Column:
     """The account with every whitespace code point removed."""
-    return F.regexp_replace(account, K.WHITESPACE_CLASS, "")
+    return F.translate(account, K.WHITESPACE, "")
 
 
 def account_reject_reason(account: Column) -> Column:
     """NULL for a usable account. Non-ASCII is refused before case folding: folding could merge."""
     compact = squeeze(account)
-    return (
+    return F.when(
+        ~F.coalesce(compact.rlike(K.ACCOUNT_PATTERN), F.lit(False)),
         F.when(account.isNull(), F.lit("missing"))
         .when(compact.rlike(K.NON_ASCII_PATTERN), F.lit("non_ascii"))
-        .when(~F.upper(compact).rlike(K.ACCOUNT_PATTERN), F.lit("malformed"))
+        .otherwise(F.lit("malformed")),
     )
 
 
 def normalize_account(account: Column) -> Column:
     """Canonical account, or NULL where `account_reject_reason` names a reason."""
-    return F.when(account_reject_reason(account).isNull(), F.upper(squeeze(account)))
+    compact = squeeze(account)
+    return F.when(compact.rlike(K.ACCOUNT_PATTERN), F.upper(compact))
 
 
 def key_pads(key: bytes) -> tuple[bytes, bytes]:
@@ -74,6 +76,6 @@ class Pseudonymiser:
         raw = F.col(account)
         return (
             df.withColumn("account_reject", account_reject_reason(raw))
-            .withColumn("account_norm", F.when(F.col("account_reject").isNull(), F.upper(squeeze(raw))))
+            .withColumn("account_norm", normalize_account(raw))
             .withColumn("risk_id", self.risk_id_of_normalized(F.col("account_norm")))
         )

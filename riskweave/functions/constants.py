@@ -5,11 +5,18 @@ RISK_ID_PATTERN = r"\A[0-9a-f]{64}\z"
 REASON_CODE_PATTERN = r"\A[a-z][a-z0-9_]{1,39}\z"
 BANK_ID_PATTERN = r"\A[A-Z][A-Z0-9-]{1,31}\z"
 MODEL_VERSION_PATTERN = r"\A[A-Za-z0-9][A-Za-z0-9._+-]{0,31}\z"
-ACCOUNT_PATTERN = r"\A[A-Z0-9-]{4,34}\z"
+# The account before upper-casing: an ASCII letter is the only one that maps into A-Z unambiguously.
+ACCOUNT_PATTERN = r"\A[A-Za-z0-9-]{4,34}\z"
 CURRENCY_PATTERN = r"\A[A-Z]{3}\z"
 PRINTABLE_ASCII_PATTERN = r"\A[\x20-\x7E]*\z"
 NON_ASCII_PATTERN = r"[^\x00-\x7F]"
-# The 29 code points Unicode calls whitespace (Java's \s knows only six of them).
+# The 29 code points Unicode calls whitespace (Java's \s knows only six of them), as
+# text and as a pattern.
+WHITESPACE = (
+    "\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WHITESPACE_CLASS = (
     r"[\x09-\x0D\x1C-\x1F\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 )

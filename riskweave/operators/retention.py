@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import timecols
 from riskweave.functions import constants as K
 from riskweave.operators.selection import RankFinder, at_or_before
+from riskweave.sources.shared import checkpointed
 
 
 def _live(as_of: Column) -> Column:
@@ -52,13 +53,12 @@ def most_valuable_accounts(
             "__score": -F.col("max_score").cast("bigint"),
             "__expiry": -timecols.micros(F.col("min_expires_at")),
         }
-    ).persist()
+    )
+    # One row per account, read several times below.
+    ranked = checkpointed(ranked)
     order = ["__score", "__expiry", "risk_id"]
-    try:
-        finder = RankFinder(ranked, order)
-        last = finder.keys_at({None: [max_accounts]}).get((None, max_accounts))
-    finally:
-        ranked.unpersist()
+    finder = RankFinder(ranked, order)
+    last = finder.keys_at({None: [max_accounts]}).get((None, max_accounts))
     kept = ranked if last is None else ranked.filter(at_or_before(order, last))
     return kept.drop("__score", "__expiry")
 

@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.operators.barrier import computed_once
+
 # A candidate range with at most this many rows is fetched and finished directly.
-FETCH_ROWS = 2_000
+FETCH_ROWS = 10_000
 _BINS = 1_024
 _CHARS = 2
 
@@ -62,7 +64,7 @@ class RankFinder:
         self.group = group
         self.fetch_rows = fetch_rows
         group_column = F.col(group) if group else F.lit(None).cast("string")
-        self.keys = df.select(group_column.alias("__g"), *order)
+        self.keys = computed_once(df.select(group_column.alias("__g"), *order), "sort-keys")
         types = {f.name: f.dataType for f in self.keys.schema}
         self.numeric = [isinstance(types[c], T.IntegralType) for c in order]
         for name in order:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from riskweave.functions import checks, timecols
 from riskweave.functions import constants as K
 from riskweave.operators import scans
+from riskweave.operators.barrier import computed_once
 from riskweave.operators.selection import RankFinder
 from riskweave.operators.skew import ROWS_PER_TASK, HotKeys, find_hot_keys
 
@@ -73,8 +74,8 @@ def with_violations(log: DataFrame) -> DataFrame:
 
 
 def valid_signals(log: DataFrame) -> DataFrame:
-    checked = with_violations(log).filter(F.size("violations") == 0)
-    return checked.drop("violations", "unknown_fields")
+    checked = computed_once(with_violations(log), "signals-checked")
+    return checked.filter(F.size("violations") == 0).drop("violations", "unknown_fields")
 
 
 def quarantined_signals(log: DataFrame) -> DataFrame:

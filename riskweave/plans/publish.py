@@ -44,7 +44,8 @@ def publish(
 ) -> PublishResult:
     """Validate, authenticate and classify a log."""
     valid = admitted(log, publishers)
-    hot = signals.hot_pairs(valid, rows_per_task)
+    # Searched in the raw log, which is cheaper to read; rows refused later only add to a count.
+    hot = signals.hot_pairs(log, rows_per_task)
     return PublishResult(
         signals.classify_publishes(valid, quota, hot, state), signals.quarantined_signals(log)
     )
@@ -63,7 +64,7 @@ def history_for(
     the classification and the lookup.
     """
     valid = admitted(log, publishers)
-    hot = hot_accounts(requests, valid, rows_per_task)
+    hot = hot_accounts(requests, log, rows_per_task)
     classified = signals.classify_publishes(valid, quota, hot)
     pairs = valid.select("risk_id", "source_bank_id")
     return SignalHistory(signals.accepted(classified), pairs, hot)

@@ -112,14 +112,14 @@ def raw_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = account(F.col("user_id"))
     typed = (
         F.when(n % 12 == 1, F.concat(F.lit("  "), F.lower(base), F.lit("\n")))
-        .when(n % 12 == 2, F.concat(F.lit("ACC "), F.col("user_id").cast("string")))
-        .when(n % 12 == 3, F.concat(F.lit("A CC　-\x1f"), F.col("user_id").cast("string")))
+        .when(n % 12 == 2, F.concat(F.lit("ACC\u00a0"), F.col("user_id").cast("string")))
+        .when(n % 12 == 3, F.concat(F.lit("A\u2003CC\u3000-\x1f"), F.col("user_id").cast("string")))
         .when(n % 12 == 4, F.concat(F.lit("ACC_"), F.col("user_id").cast("string")))
-        .when(n % 12 == 5, F.concat(F.lit("acc-ı"), F.col("user_id").cast("string")))
-        .when(n % 12 == 6, F.concat(F.lit("STRAßE-"), F.col("user_id").cast("string")))
+        .when(n % 12 == 5, F.concat(F.lit("acc-\u0131"), F.col("user_id").cast("string")))
+        .when(n % 12 == 6, F.concat(F.lit("STRA\u00dfE-"), F.col("user_id").cast("string")))
         .when(n % 12 == 7, F.lit("AC "))
         .when(n % 12 == 8, F.repeat(base, 4))
-        .when(n % 12 == 9, F.concat(base, F.lit("​")))
+        .when(n % 12 == 9, F.concat(base, F.lit("\u200b")))
         .when(n % 12 == 10, F.concat(base, F.lit(";")))
         .otherwise(base)
     )
@@ -209,9 +209,9 @@ def messy_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("seq")
     return transfer_requests(spark, sf_dir).withColumns(
         {
-            "user_ref": F.when(n % 9 == 1, F.concat("user_ref", F.lit(" x")))
+            "user_ref": F.when(n % 9 == 1, F.concat("user_ref", F.lit("\u2028x")))
             .when(n % 9 == 2, F.lit(" \t "))
-            .when(n % 9 == 3, F.concat(F.lit(" "), "user_ref", F.lit(" ")))
+            .when(n % 9 == 3, F.concat(F.lit(" "), "user_ref", F.lit("\u00a0")))
             .otherwise(F.col("user_ref")),
             "bank_id": F.when(n % 11 == 4, F.repeat("bank_id", 6)).otherwise(F.col("bank_id")),
             "transfer_id": F.when(n % 13 == 5, F.substring("transfer_id", 1, 7)).otherwise(F.col("transfer_id")),

@@ -170,7 +170,7 @@ def with_lookup_status(risk: DataFrame, outages: DataFrame | None = None) -> Dat
 
 
 def _outage_by_slot(risk: DataFrame, windows: DataFrame) -> DataFrame:
-    """Many outages: windows are merged where they overlap, cut into hours and joined by hour."""
+    """Many outages: windows are cut into hours and joined by hour; a busy hour is split by salt."""
     hour = 3_600_000_000
     slots = (
         windows.withColumns(

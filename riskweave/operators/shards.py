@@ -29,12 +29,16 @@ def _block_ranks(rows: int, blocks: int) -> list[int]:
 
 
 def _block_of(order: list[str], ends: Sequence[tuple | None]) -> Column:
-    """Number of block ends a row lies after; an end of None precedes all rows."""
-    number = F.lit(0)
-    for end in ends:
-        after = F.lit(True) if end is None else ~at_or_before(order, end)
-        number = number + after.cast("int")
-    return number
+    """Number of block ends a row lies after, by bisection; an end of None precedes all rows."""
+    def block(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(first)
+        middle = (first + last) // 2
+        if ends[middle] is None:
+            return block(middle + 1, last)
+        early = at_or_before(order, ends[middle])
+        return F.when(early, block(first, middle)).otherwise(block(middle + 1, last))
+    return block(0, len(ends))
 
 
 def contiguous_shards(

@@ -100,13 +100,15 @@ def publisher_quota(
 
 @dataclass(frozen=True)
 class StoreState:
-    """What earlier runs left behind; each frame has one row per (`risk_id`, `source_bank_id`).
+    """What earlier runs left behind, at least for the pairs of the new rows.
 
-    marks: `mark`, newest accepted effective time. held: the accounts a bank holds.
+    marks: `mark`, newest accepted effective time of each (`risk_id`, `source_bank_id`). held: the
+    pairs in the store. holdings: accounts held by each bank in the whole store (`accounts_held`).
     """
 
     marks: DataFrame
     held: DataFrame
+    holdings: DataFrame
 
 
 def hot_pairs(log: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> HotKeys | None:
@@ -147,10 +149,7 @@ def last_slots(log: DataFrame, quota: int, state: StoreState | None = None) -> D
         finder = RankFinder(slots, ["at", "seq"], group="source_bank_id")
         held: dict[str, int] = {}
         if state is not None:
-            held = {
-                r["source_bank_id"]: r["count"]
-                for r in state.held.groupBy("source_bank_id").count().collect()
-            }
+            held = {r["source_bank_id"]: r["accounts_held"] for r in state.holdings.collect()}
         free = {bank: max(0, quota - held.get(bank, 0)) for bank in finder.counts}
         over = [bank for bank, n in finder.counts.items() if n > free[bank]]
         if not over:

@@ -97,6 +97,17 @@ def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def touching(
+    stored: DataFrame, new: DataFrame, keys: list[str], max_rows: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """Rows of a large stored table whose key occurs in `new`. Few new keys are broadcast, so the
+    stored table is read but not shuffled."""
+    wanted = new.select(*keys).distinct()
+    if is_small(wanted, max_rows):
+        wanted = F.broadcast(wanted)
+    return stored.join(wanted, keys, "left_semi")
+
+
 def join_dimension(
     left: DataFrame,
     dim: DataFrame,

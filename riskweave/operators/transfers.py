@@ -10,7 +10,13 @@ from riskweave.functions import checks, money
 from riskweave.functions import constants as K
 from riskweave.functions import policy as rules
 from riskweave.operators.lookup import lookup
-from riskweave.operators.skew import ROWS_PER_TASK, HotKeys, find_hot_keys, join_to_unique
+from riskweave.operators.skew import (
+    ROWS_PER_TASK,
+    HotKeys,
+    find_hot_keys,
+    join_to_unique,
+    touching,
+)
 
 AUDIT_COLUMNS = [
     "transfer_id",
@@ -97,7 +103,7 @@ def hot_transfer_ids(requests: DataFrame, rows_per_task: int = ROWS_PER_TASK) ->
 
 def undecided(requests: DataFrame, audit: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Requests whose `transfer_id` has no audit record yet."""
-    decided = audit.select("transfer_id").distinct()
+    decided = touching(audit.select("transfer_id"), requests, ["transfer_id"]).distinct()
     return join_to_unique(requests, decided, ["transfer_id"], "left_anti", hot, ["seq"])
 
 

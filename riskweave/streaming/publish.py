@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.operators import retention, signals
-from riskweave.operators.skew import ROWS_PER_TASK
+from riskweave.operators.skew import ROWS_PER_TASK, touching
 from riskweave.streaming.versions import VersionedTables
 
 _PAIR = ["risk_id", "source_bank_id"]
@@ -26,6 +26,10 @@ _MARKS = T.StructType(
 _OUTCOMES = T.StructType([*signals.SIGNAL_SCHEMA.fields, T.StructField("outcome", T.StringType())])
 
 
+def _merge_marks(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy(*_PAIR).agg(F.max("mark").alias("mark"))
+
+
 @dataclass(frozen=True)
 class SignalStore:
     spark: SparkSession
@@ -47,17 +51,28 @@ class SignalStore:
     def accepted(self) -> DataFrame:
         return signals.accepted(self.outcomes())
 
+    def _current_deltas(self) -> DataFrame:
+        return self.tables.read("current", signals.SIGNAL_SCHEMA)
+
+    def _mark_deltas(self) -> DataFrame:
+        return self.tables.read("marks", _MARKS)
+
     def current(self) -> DataFrame:
-        return signals.current_signals(self.tables.read("current", signals.SIGNAL_SCHEMA))
+        return signals.current_signals(self._current_deltas())
 
     def marks(self) -> DataFrame:
-        deltas = self.tables.read("marks", _MARKS)
-        return deltas.groupBy(*_PAIR).agg(F.max("mark").alias("mark"))
+        return _merge_marks(self._mark_deltas())
 
-    def state(self) -> signals.StoreState | None:
+    def state_for(self, new: DataFrame) -> signals.StoreState | None:
+        """The state that concerns the pairs of `new`: only their deltas are merged."""
         if self.tables.last() is None:
             return None
-        return signals.StoreState(self.marks(), self.current().select(*_PAIR))
+        marks = touching(self._mark_deltas(), new, _PAIR)
+        current = touching(self._current_deltas(), new, _PAIR)
+        held = self._current_deltas().select(*_PAIR).distinct()
+        return signals.StoreState(
+            _merge_marks(marks), current.select(*_PAIR).distinct(), retention.holdings(held)
+        )
 
     def advance(
         self,
@@ -84,7 +99,7 @@ class SignalStore:
         new = new.filter(F.col("seq") <= end)
         version = 2 * end
         hot = signals.hot_pairs(new, rows_per_task)
-        classified = signals.classify_publishes(new, quota, hot, self.state())
+        classified = signals.classify_publishes(new, quota, hot, self.state_for(new))
         tables.write("outcomes", version, classified.select(*_OUTCOMES.names))
         written = self.spark.read.schema(_OUTCOMES).parquet(f"{self.path}/outcomes/version={version}")
         accepted = signals.accepted(written)

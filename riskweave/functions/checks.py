@@ -1,6 +1,11 @@
-"""Row rules: each returns the array of violated rule names, empty for a valid row."""
+"""Row rules of signals and transfers.
+
+A rule is a name and a condition. `violations` names the broken ones, for quarantine; `all_hold` is
+a plain conjunction, for filters: it compiles and stops at the first broken rule.
+"""
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,13 +14,20 @@ from riskweave.functions import constants as K
 from riskweave.functions import timecols
 
 
-def _violated(rules: Iterable[tuple[str, Column]]) -> Column:
+Rules = list[tuple[str, Column]]
+
+
+def violations(rules: Rules) -> Column:
     """Names of the rules whose condition is not TRUE (NULL counts as violated)."""
     names = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules]
     return F.array_compact(F.array(*names))
 
 
-def signal_violations(unknown_fields: Column | None = None) -> Column:
+def all_hold(rules: Rules) -> Column:
+    return F.coalesce(reduce(lambda a, b: a & b, [ok for _, ok in rules]), F.lit(False))
+
+
+def signal_rules(unknown_fields: Column | None = None) -> Rules:
     """Rules of a published signal, relative to its `arrival_ts`."""
     codes, score, stamp = F.col("reason_codes"), F.col("risk_score"), F.col("timestamp")
     confidence = F.col("confidence")
@@ -38,11 +50,11 @@ def signal_violations(unknown_fields: Column | None = None) -> Column:
     ]
     if unknown_fields is not None:
         rules.append(("unknown_field", F.size(unknown_fields) == 0))
-    return _violated(rules)
+    return rules
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{K.WHITESPACE_CLASS}+|{K.WHITESPACE_CLASS}+\z", "")
+    return F.btrim(text, F.lit(K.WHITESPACE))
 
 
 # Longest and shortest raw text of each free-text field of a transfer.
@@ -54,7 +66,7 @@ _TEXT_LIMITS = {
 }
 
 
-def transfer_violations(unknown_fields: Column | None = None) -> Column:
+def transfer_rules(unknown_fields: Column | None = None) -> Rules:
     """Rules of a transfer request. Lengths are of the raw text; the rest is of the stripped one."""
     rules = []
     for name, (low, high) in _TEXT_LIMITS.items():
@@ -69,7 +81,7 @@ def transfer_violations(unknown_fields: Column | None = None) -> Column:
     rules.append(("currency_format", F.col("currency").rlike(K.CURRENCY_PATTERN)))
     if unknown_fields is not None:
         rules.append(("unknown_field", F.size(unknown_fields) == 0))
-    return _violated(rules)
+    return rules
 
 
 def unknown_json_fields(raw: Column, allowed: Iterable[str]) -> Column:

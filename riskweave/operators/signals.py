@@ -67,15 +67,18 @@ def parse_signal_json(raw: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def _rules(log: DataFrame) -> checks.Rules:
+    return checks.signal_rules(F.col("unknown_fields") if "unknown_fields" in log.columns else None)
+
+
 def with_violations(log: DataFrame) -> DataFrame:
     """Add `violations`: the names of the rules a row breaks."""
-    unknown = F.col("unknown_fields") if "unknown_fields" in log.columns else None
-    return log.withColumn("violations", checks.signal_violations(unknown))
+    return log.withColumn("violations", checks.violations(_rules(log)))
 
 
 def valid_signals(log: DataFrame) -> DataFrame:
-    checked = computed_once(with_violations(log), "signals-checked")
-    return checked.filter(F.size("violations") == 0).drop("violations", "unknown_fields")
+    checked = computed_once(log.withColumn("__valid", checks.all_hold(_rules(log))), "signals-checked")
+    return checked.filter("__valid").drop("__valid", "unknown_fields")
 
 
 def quarantined_signals(log: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import checks, money
 from riskweave.functions import constants as K
 from riskweave.functions import policy as rules
+from riskweave.operators.barrier import computed_once
 from riskweave.operators.lookup import lookup
 from riskweave.operators.skew import (
     ROWS_PER_TASK,
@@ -70,20 +71,22 @@ def from_major_units(requests: DataFrame, amount: str = "amount") -> DataFrame:
     )
 
 
-def with_violations(requests: DataFrame) -> DataFrame:
+def _rules(requests: DataFrame) -> checks.Rules:
     unknown = F.col("unknown_fields") if "unknown_fields" in requests.columns else None
-    return requests.withColumn("violations", checks.transfer_violations(unknown))
+    return checks.transfer_rules(unknown)
+
+
+def with_violations(requests: DataFrame) -> DataFrame:
+    return requests.withColumn("violations", checks.violations(_rules(requests)))
 
 
 def valid_transfers(requests: DataFrame) -> DataFrame:
     """Valid requests with their text fields stripped."""
     texts = ("transfer_id", "user_ref", "bank_id", "receiver_account")
-    return (
-        with_violations(requests)
-        .filter(F.size("violations") == 0)
-        .drop("violations", "unknown_fields")
-        .withColumns({c: checks.strip(F.col(c)) for c in texts})
-    )
+    stripped = {c: checks.strip(F.col(c)) for c in texts}
+    checked = requests.withColumns({**stripped, "__valid": checks.all_hold(_rules(requests))})
+    kept = computed_once(checked, "transfers-checked").filter("__valid")
+    return kept.drop("__valid", "unknown_fields")
 
 
 def quarantined_transfers(requests: DataFrame) -> DataFrame:

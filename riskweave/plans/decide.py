@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.accounts import Pseudonymiser
 from riskweave.functions.policy import PolicyVersions
 from riskweave.operators import lookup, transfers
+from riskweave.operators.barrier import computed_once
 from riskweave.operators.skew import ROWS_PER_TASK
 from riskweave.plans.publish import history_for
 
@@ -32,6 +33,7 @@ class Decisions:
 def identify(requests: DataFrame, pseudonymiser: Pseudonymiser) -> tuple[DataFrame, DataFrame]:
     """Requests with the pseudonym of their receiver, and those whose receiver is malformed."""
     named = pseudonymiser.with_risk_id(requests, "receiver_account").drop("account_norm")
+    named = computed_once(named, "transfers-identified")
     malformed = F.col("account_reject").isNotNull()
     return named.filter(~malformed).drop("account_reject"), named.filter(malformed)
 

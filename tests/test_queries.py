@@ -6,10 +6,10 @@ from compare import connect, difference
 
 import __spark_entry__ as entry
 from riskweave.functions.accounts import key_pads
+from riskweave.plans.catalog import QUERIES
+from riskweave.plans.oracle import ORACLES
 from riskweave.sources import derived
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
 # These train a model in Python tasks.
 TRAINED = {"fed_rounds", "local_baselines", "report"}
 
@@ -47,5 +47,10 @@ def test_query(spark, con, sf_dir, name):
         assert pad.hex() not in plan.lower()
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import exact_dedup, packing, sharding, token_files
+from riskweave.llm import bpe_transducer, exact_dedup, packing, sharding, simhash_trie, token_files
 from riskweave.llm.common import table
 from riskweave.sources.shared import fresh_dir
 
@@ -31,6 +31,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, "text_sha256", "doc_id")
 
 
+def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_transducer.round_trip(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
+def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(
         table(spark, sf_dir, "documents"),
@@ -58,6 +70,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_bpe_transducer": op6_bpe_transducer,
+    "op8_simhash_trie": op8_simhash_trie,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }

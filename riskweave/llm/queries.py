@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe_transducer, exact_dedup, packing, sharding, simhash_trie, token_files
-from riskweave.llm.common import table
+from riskweave.llm import bpe_transducer, exact_dedup, language_id, packing, sharding, simhash_trie, token_files
+from riskweave.llm.common import remainder, table
 from riskweave.sources.shared import fresh_dir
 
 #: Fixed by the contracts.
@@ -39,6 +39,13 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 3) == 1)
+    model = language_id.fit(docs.where("NOT held_out"), public_tokenizers.path("piece_bpe_32k.model"))
+    # Only the text goes into the prediction.
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -71,6 +78,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
     "op6_bpe_transducer": op6_bpe_transducer,
+    "op7_language_id": op7_language_id,
     "op8_simhash_trie": op8_simhash_trie,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,

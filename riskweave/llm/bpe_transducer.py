@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.pieces import UNIT, Cache, splits_alone
+from riskweave.llm.pieces import UNIT, Cache, of_worker, splits_alone
 from riskweave.llm.token_files import BATCH_TOKENS
 
 #: Determinised states kept before the table starts anew, and known neighbours.
@@ -291,7 +291,7 @@ def encode_documents(
     """`doc_id` and `ids` of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = of_worker(("codec", path, pattern), lambda: Codec(path, pattern))
         for batch in batches:
             keys, ids, held = [], [], 0
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -315,7 +315,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
     """`doc_id` and `text` of rows of ids; null ids give a null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, r"(?!)")
+        codec = of_worker(("codec", path, "(?!)"), lambda: Codec(path, "(?!)"))
         for batch in batches:
             texts = [None if x is None else "".join(codec.decode(x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], names=["doc_id", "text"])
@@ -330,7 +330,7 @@ def round_trip(
     the bytes decoded from these ids), in one pass: no ids leave the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = of_worker(("codec", path, pattern), lambda: Codec(path, pattern))
         decimal = {i: str(i) for i in codec.token_bytes}
         for batch in batches:
             counts, of_ids, of_bytes = [], [], []

@@ -8,18 +8,28 @@ seen; a bounded cache keeps the result. Prose repeats its words, so most pieces
 from __future__ import annotations
 
 import os
+import sys
+import types
 from collections.abc import Callable
 
 import numpy as np
 import regex
 
-#: Pieces kept per generation; there are two. About 60 MB a worker.
-CACHED = 150_000
+#: Pieces kept per generation; there are two. At most about 120 MB a cache.
+CACHED = 250_000
 #: Longer pieces are encoded each time, so that the cache stays bounded in bytes too.
 LONGEST_CACHED = 64
 UNIT = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 
 
+def of_worker(key: tuple, make: Callable[[], object]) -> object:
+    """`make()`, kept by the Python worker for its later tasks: encoders and their caches stay warm."""
+    kept = sys.modules.setdefault("_riskweave_worker", types.ModuleType("_riskweave_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class Cache(dict):
     """piece -> its result. Two generations: when the young one is full, it replaces the old one.
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe_transducer, exact_dedup, language_id, packing, sharding, simhash_trie, token_files
+from riskweave.llm import bpe_transducer, exact_dedup, language_id, packing, sharding, simhash_trie, token_files, toxicity
 from riskweave.llm.common import remainder, table
 from riskweave.sources.shared import fresh_dir
 
@@ -31,6 +31,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, "text_sha256", "doc_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic IS NOT NULL")
+    net = toxicity.fit(docs.where("NOT held_out").join(labels, "doc_id"))
+    # Only the text goes into the score; the language picks the threshold of the extra columns.
+    scored = toxicity.score(docs.select("doc_id", "lang", "held_out", "text"), net, lang_col="lang")
+    predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
+    return scored.select("doc_id", "held_out", "score", predicted.alias("predicted"), "threshold", "rejected")
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.round_trip(
         table(spark, sf_dir, "documents"),
@@ -77,6 +87,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op7_language_id": op7_language_id,
     "op8_simhash_trie": op8_simhash_trie,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe_transducer, exact_dedup, language_id, packing, sharding, simhash_trie, token_files, toxicity
+from riskweave.llm import bpe_transducer, exact_dedup, language_id, packing, quality, sharding, simhash_trie, token_files, toxicity
 from riskweave.llm.common import remainder, table
 from riskweave.sources.shared import fresh_dir
 
@@ -31,6 +31,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, "text_sha256", "doc_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.drop("n_lines").withColumn("rejected_by", F.array_join("rejected_by", " "))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic IS NOT NULL")
@@ -87,6 +92,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op5_toxicity": op5_toxicity,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op7_language_id": op7_language_id,

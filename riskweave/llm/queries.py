@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe_transducer, exact_dedup, language_id, packing, quality, sharding, simhash_trie, token_files, toxicity
+from riskweave.llm import bilinear_lm, bpe_transducer, exact_dedup, language_id, packing, quality, sharding, simhash_trie, token_files, toxicity
 from riskweave.llm.common import remainder, table
 from riskweave.sources.shared import fresh_dir
 
@@ -36,6 +36,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("n_lines").withColumn("rejected_by", F.array_join("rejected_by", " "))
 
 
+def op4_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    model = bilinear_lm.fit(docs.where(~held_out))
+    return bilinear_lm.score(docs, model).withColumn("held_out", held_out)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic IS NOT NULL")
@@ -93,6 +100,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
+    "op4_bilinear_lm": op4_bilinear_lm,
     "op5_toxicity": op5_toxicity,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op7_language_id": op7_language_id,

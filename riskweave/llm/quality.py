@@ -100,16 +100,16 @@ def repeated_words(hashes: Column) -> Column:
     return bound(hashes, windows)
 
 
-def grid(*cuts: float) -> list[float]:
-    return sorted(cuts)
+def share_of(part: str, whole: str) -> Column:
+    return F.col(part) / F.greatest(F.col(whole), F.lit(1))
 
 
-#: Measures of the rules, the larger the worse, with their grids of cutoffs.
-RULES: dict[str, tuple[Column, list[float]]] = {
-    "symbol_share": (F.col("n_symbols") / F.greatest("word_chars", F.lit(1)), grid(*(i / 100 for i in range(1, 51)))),
-    "dup_line_share": (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), grid(*(i / 50 for i in range(1, 51)))),
-    "repeat_share": (F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)), grid(*(i / 50 for i in range(1, 51)))),
-    "word_length": (F.col("word_chars") / F.greatest("n_words", F.lit(1)), grid(*(6 + i / 2 for i in range(50)))),
+#: Measures of the rules, the larger the worse, with their ascending grids of cutoffs.
+RULES: dict[str, tuple[Callable[[], Column], list[float]]] = {
+    "symbol_share": (lambda: share_of("n_symbols", "word_chars"), [i / 100 for i in range(1, 51)]),
+    "dup_line_share": (lambda: share_of("n_dup_lines", "n_lines"), [i / 50 for i in range(1, 51)]),
+    "repeat_share": (lambda: share_of("n_repeat_words", "n_words"), [i / 50 for i in range(1, 51)]),
+    "word_length": (lambda: share_of("word_chars", "n_words"), [6 + i / 2 for i in range(50)]),
 }
 
 
@@ -136,7 +136,7 @@ def cutoffs(labelled: DataFrame, stratum: str, good: str, holdout: str) -> DataF
         F.struct(
             F.lit(name).alias("rule"),
             # How many cutoffs of the grid the measure reaches.
-            sum((F.when(measure >= c, 1).otherwise(0) for c in cuts), F.lit(0)).alias("reached"),
+            sum((F.when(measure() >= c, 1).otherwise(0) for c in cuts), F.lit(0)).alias("reached"),
         )
         for name, (measure, cuts) in RULES.items()
     ]
@@ -192,7 +192,7 @@ def judge(
     by_stratum = found.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
     judged = measured.join(F.broadcast(by_stratum), "stratum", "left")
     hits = F.array_compact(
-        F.array(*(F.when(measure >= F.get(F.array(F.col("cuts")[name]), 0), F.lit(name)) for name, (measure, _) in RULES.items()))
+        F.array(*(F.when(measure() >= F.get(F.array(F.col("cuts")[name]), 0), F.lit(name)) for name, (measure, _) in RULES.items()))
     )
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn("rejected_by", hits).select(

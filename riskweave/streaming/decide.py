@@ -54,7 +54,7 @@ def recent_signals(accepted: DataFrame, first_request: object, last_request: obj
 
 @dataclass(frozen=True)
 class TransferDesk:
-    """Audit records of all decided transfers, in versions named by the last request `seq`."""
+    """Audit records of all decided transfers, a version for each step."""
 
     spark: SparkSession
     path: str
@@ -74,23 +74,21 @@ class TransferDesk:
         outages: DataFrame | None = None,
         rows_per_task: int = ROWS_PER_TASK,
     ) -> int | None:
-        """Decide the landed requests after the last decided `seq` that have no audit record.
+        """Decide the landed requests that have no audit record, in whatever order they landed.
 
-        `accepted` is the accepted log, for instance `SignalStore.accepted()`. Returns the last
-        `seq` covered, or None without new requests.
+        `accepted` is the accepted log, for instance `SignalStore.accepted()`. Returns the highest
+        `seq` landed, or None when nothing was left to decide.
         """
         tables = self.tables
-        last = tables.last()
-        new = landed.filter(F.col("account_reject").isNull()).drop("account_reject")
-        if last is not None:
-            new = new.filter(F.col("seq") > last)
-        span = new.agg(F.max("seq"), F.min("request_ts"), F.max("request_ts")).first()
-        version, first_request, last_request = span
-        if version is None:
+        valid = landed.filter(F.col("account_reject").isNull()).drop("account_reject")
+        hot_ids = transfers.hot_transfer_ids(valid, rows_per_task)
+        new = transfers.undecided(valid, self.audit(), hot_ids)
+        first_request, last_request = new.agg(F.min("request_ts"), F.max("request_ts")).first()
+        if first_request is None:
             return None
-        new = new.filter(F.col("seq") <= version)
-        hot_ids = transfers.hot_transfer_ids(new, rows_per_task)
-        fresh = transfers.first_requests(transfers.undecided(new, self.audit(), hot_ids))
+        last = tables.last()
+        version = 0 if last is None else last + 1
+        fresh = transfers.first_requests(new)
         signals = recent_signals(accepted, first_request, last_request)
         history = lookup.SignalHistory(
             signals,
@@ -102,4 +100,4 @@ class TransferDesk:
         decided = transfers.audit_records(transfers.apply_policy(seen, rules))
         tables.write("audit", version, decided)
         tables.commit(version)
-        return version
+        return valid.agg(F.max("seq")).first()[0]

@@ -39,11 +39,6 @@ class SignalStore:
     def tables(self) -> VersionedTables:
         return VersionedTables(self.spark, self.path)
 
-    def last_seq(self) -> int | None:
-        """A fold through `seq` is version 2 * seq; the compaction after it is the odd number."""
-        last = self.tables.last()
-        return None if last is None else last // 2
-
     def outcomes(self) -> DataFrame:
         """Every folded row with its outcome: what publishers are told."""
         return self.tables.read("outcomes", _OUTCOMES, from_base=False)
@@ -81,23 +76,24 @@ class SignalStore:
         upto: int | None = None,
         rows_per_task: int = ROWS_PER_TASK,
     ) -> int | None:
-        """Fold the valid landed rows after the last folded `seq` (through `upto`).
+        """Fold the valid landed rows (through `upto`) that no earlier step has folded, in whatever
+        order they landed. A row that lands late is judged against the marks stored by then, so one
+        with an older assessment than a folded row of its pair is stale.
 
-        Returns the last `seq` folded, or None without new rows.
+        Returns the highest `seq` folded, or None without new rows. Folds are even versions; the
+        compaction after one is the odd number.
         """
         tables = self.tables
-        last = self.last_seq()
-        new = landed.filter(F.size("violations") == 0).select(*signals.SIGNAL_SCHEMA.names)
-        if last is not None:
-            new = new.filter(F.col("seq") > last)
+        valid = landed.filter(F.size("violations") == 0).select(*signals.SIGNAL_SCHEMA.names)
         if upto is not None:
-            new = new.filter(F.col("seq") <= upto)
+            valid = valid.filter(F.col("seq") <= upto)
+        new = valid.join(self.outcomes().select("seq"), "seq", "left_anti")
+        new = new.select(*signals.SIGNAL_SCHEMA.names)
         end = new.agg(F.max("seq")).first()[0]
         if end is None:
             return None
-        # The source may grow meanwhile; this version ends where it was looked at.
-        new = new.filter(F.col("seq") <= end)
-        version = 2 * end
+        last = tables.last()
+        version = 0 if last is None else (last // 2 + 1) * 2
         hot = signals.hot_pairs(new, rows_per_task)
         classified = signals.classify_publishes(new, quota, hot, self.state_for(new))
         tables.write("outcomes", version, classified.select(*_OUTCOMES.names))

@@ -41,6 +41,39 @@ def test_steps_equal_one_batch(spark, quota):
     assert quarantined.count() == len(rows) - len(want)
 
 
+def test_rows_that_land_late_get_an_outcome(spark):
+    store = SignalStore(spark, f"{shared.fresh_dir(spark, 'stream')}/store")
+    # Accounts by seq: 1 and 4 share one, 2 and 5 another.
+    rows = [row(i, 90, account="abcabd"[i - 1], ttl=100) for i in range(1, 7)]
+    log = signals.with_violations(log_frame(spark, rows)).withColumn("seq", F.col("seq") + 1)
+    for seen in ((1, 2, 5), (1, 2, 5, 3, 4), (1, 2, 3, 4, 5, 6)):
+        before = {r.seq for r in store.outcomes().collect()}
+        assert store.advance(log.filter(F.col("seq").isin(*seen))) == max(set(seen) - before)
+    got = {r.seq: r.outcome for r in store.outcomes().collect()}
+    assert got == {i: "accepted" for i in range(1, 7)}
+
+
+def test_a_late_row_with_an_older_assessment_is_stale(spark):
+    store = SignalStore(spark, f"{shared.fresh_dir(spark, 'stream')}/store")
+    rows = [row(1, 90, ttl=100), row(2, 80, ttl=100), row(3, 70, ttl=100)]
+    log = signals.with_violations(log_frame(spark, rows))
+    for seen in ((0, 2), (0, 1, 2)):
+        store.advance(log.filter(F.col("seq").isin(*seen)))
+    assert {r.seq: r.outcome for r in store.outcomes().collect()} == {0: "accepted", 1: "stale", 2: "accepted"}
+
+
+def test_requests_that_land_late_are_decided(spark):
+    base = shared.fresh_dir(spark, "stream")
+    pseudonymiser = Pseudonymiser.from_key(spark, KEY)
+    taken = signals.accepted(signals.classify_publishes(signals_for(spark, [row(1, 92, "BANK-B", "b")])))
+    desk, rows = TransferDesk(spark, f"{base}/desk"), [request(i, 2, "ACC-b") for i in range(1, 7)]
+    for seen in ((1, 2, 5), (1, 2, 5, 3, 4), (1, 2, 3, 4, 5, 6)):
+        named = pseudonymiser.with_risk_id(requests(spark, [rows[i - 1] for i in seen]), "receiver_account").drop("account_norm")
+        assert desk.advance(named, taken) == max(seen)
+    got = {r.transfer_id: r.decision for r in desk.audit().collect()}
+    assert got == {f"txn-{i:05d}": "block" for i in range(1, 7)} and desk.audit().count() == 6
+
+
 def test_compaction_keeps_the_replay_guard_and_frees_slots(spark):
     base = shared.fresh_dir(spark, "stream")
     store = SignalStore(spark, f"{base}/store")

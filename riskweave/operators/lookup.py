@@ -16,7 +16,8 @@ from riskweave.operators.skew import (
 )
 
 _EVIDENCE = ["risk_score", "timestamp", "source_bank_id", "confidence", "reason_codes", "model_version"]
-MAX_OUTAGES = 100
+# Pieces of outages (one per outage and hour) up to which they are broadcast.
+BROADCAST_PIECES = 1_000_000
 
 
 def _worst(condition: Column | None = None) -> Column:
@@ -145,20 +146,12 @@ def risk_at_transfer(transfers: DataFrame, history: SignalHistory) -> DataFrame:
 
 def with_lookup_status(risk: DataFrame, outages: DataFrame | None = None) -> DataFrame:
     """Add `lookup_status`. During an outage (`start_ts` <= request < `end_ts`) the answer is
-    unavailable, whatever the store held, and carries no evidence."""
+    unavailable, whatever the store held, and carries no evidence. An outage without an end goes on, one
+    without a start was always there; a request without a time is in none."""
     status = found_status(F.col("risk_score"))
     if outages is None:
         return risk.withColumn("lookup_status", status)
-    windows = outages.select("start_ts", "end_ts").distinct()
-    listed = windows.limit(MAX_OUTAGES + 1).collect()
-    if len(listed) <= MAX_OUTAGES:
-        request, down = F.col("request_ts"), F.lit(False)
-        for o in listed:
-            start, end = (F.lit(o[c]).cast("timestamp_ntz") for c in ("start_ts", "end_ts"))
-            down = down | ((start <= request) & (request < end))
-        marked = risk.withColumn("__down", down)
-    else:
-        marked = _outage_by_slot(risk, windows)
+    marked = _outage_by_slot(risk, outages.select("start_ts", "end_ts").distinct())
     status = F.when(F.col("__down"), F.lit(K.UNAVAILABLE)).otherwise(status)
     hidden = {
         c: F.when(~F.col("__down"), F.col(c)) for c in (*_EVIDENCE,) if c in risk.columns
@@ -170,11 +163,16 @@ def with_lookup_status(risk: DataFrame, outages: DataFrame | None = None) -> Dat
 
 
 def _outage_by_slot(risk: DataFrame, windows: DataFrame) -> DataFrame:
-    """Many outages: windows are cut into hours and joined by hour; a busy hour is split by salt."""
+    """Outages are cut into the hours of the requests' time range and joined by hour."""
     hour = 3_600_000_000
-    slots = (
-        windows.withColumns(
-            {"__from": timecols.micros(F.col("start_ts")), "__to": timecols.micros(F.col("end_ts"))}
+    now = timecols.micros(F.col("request_ts"))
+    first, last = risk.agg(F.min(now), F.max(now)).first()
+    if first is None:
+        return risk.withColumn("__down", F.lit(False))
+    pieces = (
+        windows.select(
+            F.greatest(F.coalesce(timecols.micros(F.col("start_ts")), F.lit(first)), F.lit(first)).alias("__from"),
+            F.least(F.coalesce(timecols.micros(F.col("end_ts")), F.lit(last + 1)), F.lit(last + 1)).alias("__to"),
         )
         .filter("__from < __to")
         .withColumn(
@@ -183,7 +181,9 @@ def _outage_by_slot(risk: DataFrame, windows: DataFrame) -> DataFrame:
                 F.sequence(F.floor(F.col("__from") / hour), F.floor((F.col("__to") - 1) / hour))
             ),
         )
-        .select(
+    )
+    slots = (
+        pieces.select(
             "__slot",
             F.greatest(F.col("__from") - F.col("__slot") * hour, F.lit(0)).alias("f"),
             F.least(F.col("__to") - F.col("__slot") * hour, F.lit(hour)).alias("t"),
@@ -191,10 +191,11 @@ def _outage_by_slot(risk: DataFrame, windows: DataFrame) -> DataFrame:
         .groupBy("__slot")
         .agg(F.collect_set(F.struct("f", "t")).alias("__windows"))
     )
-    now = timecols.micros(F.col("request_ts"))
     asked = risk.withColumns({"__slot": F.floor(now / hour), "__at": F.pmod(now, F.lit(hour))})
-    hot = find_hot_keys(asked, ["__slot"])
-    joined = join_to_unique(asked, slots, ["__slot"], "left", hot, ["transfer_id"])
+    if pieces.count() <= BROADCAST_PIECES:
+        joined = asked.join(F.broadcast(slots), "__slot", "left")
+    else:  # an hour with many requests is split by salt
+        joined = join_to_unique(asked, slots, ["__slot"], "left", find_hot_keys(asked, ["__slot"]), ["transfer_id"])
     down = F.exists(
         F.col("__windows"), lambda w: (w["f"] <= F.col("__at")) & (F.col("__at") < w["t"])
     )

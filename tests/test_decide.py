@@ -92,9 +92,21 @@ def test_customer_sees_three_columns(spark):
     assert d.responses.columns == ["decision", "user_message", "audit_ref"]
 
 
-@pytest.mark.parametrize("limit", [100, 0])
+@pytest.mark.parametrize("more", [0, 150])
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_an_outage_without_end_never_fails_open(spark, monkeypatch, limit, more):
+    monkeypatch.setattr(lookup, "BROADCAST_PIECES", limit)
+    old = [(T0 - timedelta(hours=i + 2), T0 - timedelta(hours=i + 1)) for i in range(more)]
+    outages = spark.createDataFrame([(T0 + timedelta(hours=2), None), *old], "start_ts timestamp_ntz, end_ts timestamp_ntz")
+    asked = [request(1, 1, "ACC-b"), request(2, 3, "ACC-b"), request(3, 300, "ACC-none")]
+    got = by_id(decided(spark, asked, [row(1, 99, "BANK-B", "b")], outages=outages).audit)
+    assert [got[f"txn-{i:05d}"].lookup_status for i in (1, 2, 3)] == ["found", "unavailable", "unavailable"]
+    assert [got[f"txn-{i:05d}"].decision for i in (2, 3)] == ["step_up", "step_up"]
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
 def test_outage_is_not_a_clean_account(spark, monkeypatch, limit):
-    monkeypatch.setattr(lookup, "MAX_OUTAGES", limit)
+    monkeypatch.setattr(lookup, "BROADCAST_PIECES", limit)
     outages = spark.createDataFrame(
         [(T0 + timedelta(hours=2), T0 + timedelta(hours=3.5))] * 2
         + [(T0 + timedelta(hours=3), T0 + timedelta(hours=4))],

@@ -28,13 +28,7 @@ DEFAULT_CURRENCY = "INR"
 DEFAULT_MAX_ACCOUNTS = 100_000
 DEFAULT_PUBLISHER_SHARE = 0.25
 DEFAULT_AUDIT_CAPACITY = 10_000
-KNOWN_REASON_CODES = (
-    "new_beneficiary",
-    "high_velocity",
-    "suspicious_pattern",
-    "mule_account",
-    "confirmed_fraud",
-)
+# Fixed field names of a signal and of a transfer request.
 SIGNAL_FIELDS = (
     "risk_id",
     "risk_score",

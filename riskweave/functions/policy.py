@@ -104,11 +104,8 @@ def decision(
     policy: Column,
     strict: bool = False,
 ) -> Column:
-    """Resolve a transfer. `allow` is only ever reached from a branch that decided on it.
-
-    Evidence that fits no branch (unknown status, found without a score) raises when `strict`, and
-    otherwise resolves to the policy's outage decision.
-    """
+    """The decision as one expression. An unknown status, or a found account without a score, takes the
+    decision that the policy has for outages; with `strict` it is an error instead."""
     outage = policy["on_bus_unavailable"]
     if strict:
         malformed = F.raise_error(

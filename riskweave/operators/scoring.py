@@ -74,7 +74,7 @@ def _vectorised_probability(net: Network):
 
     @F.pandas_udf("double")
     def score(features: pd.Series) -> pd.Series:
-        x = np.nan_to_num(np.vstack(features.to_numpy()).astype(float))
+        x = np.vstack(features.to_numpy()).astype(float)
         z = np.maximum(x @ net.w1 + net.b1, 0.0) @ net.w2 + net.b2
         return pd.Series(1.0 / (1.0 + np.exp(-np.clip(z, -MAX_LOGIT, MAX_LOGIT))))
 
@@ -84,14 +84,18 @@ def _vectorised_probability(net: Network):
 def score_rows(
     df: DataFrame, net: Network, features: str = "features", into: str = "probability"
 ) -> DataFrame:
-    """Add the probability of fraud. A missing feature counts as 0."""
+    """Add the probability of fraud. A feature that is NULL, NaN or beyond the end of the array counts
+    as 0, whatever the size of the network; so do all of a NULL array."""
+    count = net.w1.shape[0]
+
+    def feature(i: Column) -> Column:
+        return F.coalesce(F.nanvl(F.get(F.col(features), i), F.lit(0.0)), F.lit(0.0))
+
     if net.w1.size > MAX_UNROLLED:
-        return df.withColumn(into, _vectorised_probability(net)(F.col(features)))
+        whole = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), feature)
+        return df.withColumn(into, _vectorised_probability(net)(whole))
     # Non-null columns let the generated code do without a null check per operation.
-    inputs = {
-        f"__x{i}": F.coalesce(F.get(F.col(features), F.lit(i)), F.lit(0.0))
-        for i in range(net.w1.shape[0])
-    }
+    inputs = {f"__x{i}": feature(F.lit(i)) for i in range(count)}
     z = _unrolled_logit([F.col(x) for x in inputs], net)
     clipped = F.greatest(F.least(z, F.lit(MAX_LOGIT)), F.lit(-MAX_LOGIT))
     scored = df.withColumns(inputs).withColumn(into, 1.0 / (1.0 + F.exp(-clipped)))

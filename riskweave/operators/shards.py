@@ -5,6 +5,8 @@ sorted nor moved. The sort columns must identify a row.
 """
 
 from collections.abc import Sequence
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -53,12 +55,13 @@ def contiguous_shards(
 
 
 def counts_from_proportions(rows: int, proportions: Sequence[float]) -> list[int]:
-    """Whole counts by largest remainder."""
-    exact = np.asarray(proportions, dtype=float) / float(np.sum(proportions)) * rows
-    counts = np.floor(exact).astype(int)
-    for i in np.argsort(counts - exact, kind="stable")[: rows - int(counts.sum())]:
-        counts[i] += 1
-    return [int(c) for c in counts]
+    """Whole counts that add up to `rows`: every share is cut to a whole number, and those that lost most
+    by it get one back; of equal losses the first."""
+    total = sum(map(Fraction, proportions))
+    shares = [rows * Fraction(p) / total for p in proportions]
+    missing = rows - sum(map(floor, shares))
+    lost_most = sorted(range(len(shares)), key=lambda bank: (floor(shares[bank]) - shares[bank], bank))[:missing]
+    return [floor(share) + (bank in lost_most) for bank, share in enumerate(shares)]
 
 
 def label_proportions(banks: int, alpha: float, seed: int) -> dict[int, list[float]]:

@@ -463,9 +463,10 @@ def mean_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _training(spark: SparkSession, sf_dir: str) -> tuple[training.Blocks, training.TrainConfig]:
     train = _lines(spark, sf_dir)
     sizes = shards.bank_sizes(train)
-    blocks = training.pack_blocks(train, sizes, 4)
+    config = training.TrainConfig(rounds=5, local_epochs=2)
+    blocks = training.pack_blocks(train, sizes, 4, config)
     blocks.frame.persist()
-    return blocks, training.TrainConfig(rounds=5, local_epochs=2)
+    return blocks, config
 
 
 def fed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:

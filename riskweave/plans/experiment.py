@@ -67,7 +67,6 @@ def run_experiment(
     time: str | None = None,
     dataset: str = "rows",
     model_version: str = "v1",
-    block_rows: int = training.BLOCK_ROWS,
 ) -> Experiment:
     """Train and evaluate on `rows` (`id, label, features`, maybe `bank_id` and an integer `time`)."""
     config = config or TrainConfig()
@@ -75,7 +74,7 @@ def run_experiment(
     train = marked.filter(~F.col("is_holdout"))
     holdout = marked.filter("is_holdout").select("features", "label")
     sizes = shards.bank_sizes(train, banks)
-    blocks = training.pack_blocks(train, sizes, features, block_rows)
+    blocks = training.pack_blocks(train, sizes, features, config)
     blocks.frame.persist()
     holdout.persist()
     try:

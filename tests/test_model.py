@@ -199,12 +199,14 @@ def test_signal_fields_round_half_to_even(spark):
 
 @pytest.fixture(scope="module")
 def banks_with_own_fraud(spark):
-    """Every bank sees another direction of fraud, so a shared model should do better."""
+    """Every bank sees another kind of fraud: one of its features is far out, so a shared model should
+    do better."""
     rng = np.random.default_rng(4)
     rows = []
     for b in range(3):
-        x = rng.normal(size=(400, 4))
-        y = rng.random(400) < 1 / (1 + np.exp(-(2.8 * x[:, b] - 2.2)))
+        x = rng.uniform(-1, 1, size=(400, 4))
+        y = (x[:, b] > 0.6) & (rng.uniform(size=400) < 0.9)
+        x[y, b] += 0.5
         rows += [
             (f"{b}-{i:04d}", f"BANK-{'ABC'[b]}", int(y[i]), [float(v) for v in x[i]], b * 400 + i)
             for i in range(400)
@@ -226,9 +228,9 @@ def test_shared_model_beats_local_ones(spark, banks_with_own_fraud):
 
 
 def test_blocks_are_averaged_by_their_rows(banks_with_own_fraud):
-    config = TrainConfig(rounds=2, local_epochs=1, batch_size=32)
+    config = TrainConfig(rounds=2, local_epochs=1, batch_size=32, blocks=3)
     sizes = shards.bank_sizes(banks_with_own_fraud)
-    blocks = training.pack_blocks(banks_with_own_fraud, sizes, 4, block_rows=150)
+    blocks = training.pack_blocks(banks_with_own_fraud, sizes, 4, config)
     assert blocks.count == 9
     packed = blocks.frame.collect()
     assert sum(len(r.y) for r in packed) == 1200
@@ -236,7 +238,7 @@ def test_blocks_are_averaged_by_their_rows(banks_with_own_fraud):
     for number in (1, 2):
         parts = []
         for r in packed:
-            seed = config.seed + blocks.banks.index(r.bank_id) + number + 1_000_003 * r.block
+            seed = training.derived_seed(config.seed, r.bank_id, r.block, number)
             x, y = np.array(r.x).reshape(-1, 4), np.array(r.y, dtype=float)
             n, p = sizes[r.bank_id]
             parts.append((len(y), training.fit_block(net, x, y, (n - p) / p, 1, 32, 0.05, seed)))
@@ -250,6 +252,26 @@ def test_blocks_are_averaged_by_their_rows(banks_with_own_fraud):
     assert [v for *_, v in got.entries()] == pytest.approx([v for *_, v in net.entries()], abs=1e-12)
 
 
+def test_fitted_rows_are_bounded_by_a_hash(banks_with_own_fraud):
+    sizes = shards.bank_sizes(banks_with_own_fraud)
+    config = TrainConfig(blocks=2, most_rows=100)
+    one, two = (training.pack_blocks(banks_with_own_fraud, sizes, 4, config).frame.collect() for _ in range(2))
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) == 6
+    per_bank = {b: sum(len(r.y) for r in one if r.bank_id == b) for b in sizes}
+    assert all(50 < n < 160 for n in per_bank.values())
+    assert {r.pos_weight for r in one} == {(n - p) / p for n, p in sizes.values()}
+
+
+@pytest.mark.parametrize("hidden", [2, 200])
+def test_scores_of_odd_features_are_alike_at_every_size(spark, hidden):
+    nan = math.nan
+    rows = [([1.0, 1.0, 1.0, 1.0],), ([nan, 1.0, None, 1.0],), ([1.0],), (None,), ([],), ([1.0] * 6,)]
+    df = spark.createDataFrame(rows, "features array<double>")
+    net = Network(np.tile([[1.0 / hidden], [2.0 / hidden], [4.0 / hidden], [8.0 / hidden]], hidden), np.zeros(hidden), np.ones(hidden), -1.0)
+    got = [r.probability for r in scoring.score_rows(df, net).collect()]
+    assert got == pytest.approx([1 / (1 + math.exp(1 - z)) for z in (15, 10, 1, 0, 0, 15)])
+
+
 @pytest.mark.parametrize("partition, time", [("temporal", "t"), ("auto", "t"), ("dirichlet", None)])
 def test_other_partitions(banks_with_own_fraud, partition, time):
     config = TrainConfig(num_banks=2, rounds=1, local_epochs=1)

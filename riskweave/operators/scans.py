@@ -41,7 +41,7 @@ def running(
 ) -> DataFrame:
     """Add each running aggregate over `keys`, ordered by `at` then `tie`.
 
-    Ordinary keys take one window. A hot key is cut into equal time chunks: every chunk is
+    Ordinary keys take one window. A hot key is cut at quantiles of its time: every chunk is
     aggregated map-side, the chunk results are scanned, and each chunk's window starts from the
     result of the chunks before it. Rows of one key and one instant stay together.
     """
@@ -50,13 +50,12 @@ def running(
     if hot is None:
         return _windowed(df, keys, at, tie, values)
 
-    now, lo, hi = timecols.micros(F.col(at)), F.col("__lo"), F.col("__hi")
-    width = F.ceil((hi - lo + 1) / (2 * F.col("__parts"))).cast("bigint")
-    chunk = F.greatest(F.lit(0), F.floor((now - lo) / width)).cast("bigint")
+    now = timecols.micros(F.col(at))
+    chunk = F.size(F.filter("__cuts", lambda c: c < now)).cast("bigint")
     cut = (
         hot.mark(df)
-        .withColumn(_CHUNK, F.coalesce(chunk, F.lit(_COLD).cast("bigint")))
-        .drop("__parts", "__lo", "__hi")
+        .withColumn(_CHUNK, F.when(F.col("__cuts").isNull(), _COLD).otherwise(chunk).cast("bigint"))
+        .drop("__parts", "__cuts")
     )
     # Chunks per key are bounded by twice the number of its tasks, so this scan is small.
     earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskweave.functions import timecols
 
@@ -17,6 +18,8 @@ ROWS_PER_TASK = 2_000_000
 # The hot-key list is collected, so it is bounded: a key outside the heaviest MAX_HOT_KEYS holds at
 # most 1/MAX_HOT_KEYS of the rows and needs no splitting.
 MAX_HOT_KEYS = 10_000
+# Parts that the rows of one hot key are cut into at most.
+MAX_CUTS = 1_000
 # A dimension of at most this many rows is broadcast.
 MAX_BROADCAST_ROWS = 100_000
 _SALT = "__salt"
@@ -24,13 +27,14 @@ _SALT = "__salt"
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Heavy keys with the number of tasks (`__parts`) and time range (`__lo`, `__hi`) of each."""
+    """Heavy keys with the number of tasks (`__parts`) and the instants that cut their rows into parts of
+    like size (`__cuts`) of each."""
 
     keys: tuple[str, ...]
     rows: DataFrame
 
     def mark(self, df: DataFrame) -> DataFrame:
-        """Add `__parts`, `__lo`, `__hi`; NULL for ordinary keys. The list has a fixed bound."""
+        """Add `__parts` and `__cuts`; NULL for ordinary keys. The list has a fixed bound."""
         return df.join(F.broadcast(self.rows), list(self.keys), "left")
 
 
@@ -44,15 +48,9 @@ def find_hot_keys(
     # A plain count needs no shuffle and settles the matter for tables that fit one task.
     if df.count() <= rows_per_task:
         return None
-    moment = timecols.micros(at) if at is not None else F.lit(0).cast("bigint")
     heavy = (
-        df.select(*keys, moment.alias("__at"))
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.min("__at").alias("__lo"),
-            F.max("__at").alias("__hi"),
-        )
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__n"))
         .filter(F.col("__n") > rows_per_task)
         .orderBy(F.col("__n").desc(), *keys)
         .limit(MAX_HOT_KEYS)
@@ -60,12 +58,23 @@ def find_hot_keys(
     found = heavy.collect()
     if not found:
         return None
-    schema = heavy.select(*keys, "__lo", "__hi").schema.add("__parts", "long")
-    rows = [
-        (*[r[k] for k in keys], r["__lo"], r["__hi"], math.ceil(r["__n"] / rows_per_task))
-        for r in found
-    ]
-    return HotKeys(tuple(keys), df.sparkSession.createDataFrame(rows, schema))
+    schema = heavy.select(*keys).schema.add("__parts", "long")
+    rows = [(*[r[k] for k in keys], math.ceil(r["__n"] / rows_per_task)) for r in found]
+    listed = df.sparkSession.createDataFrame(rows, schema)
+    if at is None:
+        return HotKeys(tuple(keys), listed.withColumn("__cuts", F.lit(None).cast("array<bigint>")))
+    # Quantiles, not equal widths: a flood within a second is cut as finely as a quiet year.
+    shares = min(MAX_CUTS, 2 * max(r[-1] for r in rows))
+    points = [i / shares for i in range(1, shares)]
+    cuts = (
+        df.withColumn("__at", timecols.micros(at))
+        .join(F.broadcast(listed.select(*keys)), keys)
+        .groupBy(*keys)
+        .agg(F.percentile_approx("__at", points, 20 * shares).alias("__cuts"))
+    )
+    kept = [(*[r[k] for k in keys], r["__cuts"]) for r in cuts.collect()]  # one row per hot key
+    table = df.sparkSession.createDataFrame(kept, heavy.select(*keys).schema.add("__cuts", T.ArrayType(T.LongType())))
+    return HotKeys(tuple(keys), listed.join(F.broadcast(table), keys, "left"))
 
 
 def join_to_unique(
@@ -88,9 +97,9 @@ def join_to_unique(
             _SALT,
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("__parts") - 1, F.lit(0)))),
         )
-        .drop("__parts", "__lo", "__hi")
+        .drop("__parts", "__cuts")
     )
-    return salted.drop("__parts", "__lo", "__hi").join(copies, [*keys, _SALT], how).drop(_SALT)
+    return salted.drop("__parts", "__cuts").join(copies, [*keys, _SALT], how).drop(_SALT)
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:

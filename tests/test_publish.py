@@ -5,7 +5,8 @@ import pytest
 from fold import Store
 from pyspark.sql import functions as F
 
-from riskweave.operators import signals
+from riskweave.functions import timecols
+from riskweave.operators import scans, signals
 from riskweave.operators.skew import find_hot_keys
 from riskweave.plans.publish import publish
 
@@ -129,3 +130,21 @@ def test_publish_quarantines_broken_rows(spark):
     assert result.accepted.count() == 1
     bad = {r.seq: r.violations for r in result.quarantined.collect()}
     assert bad == {1: ["risk_score_range"], 2: ["timestamp_future"]}
+
+
+def test_a_burst_is_cut_into_like_parts(spark):
+    # All but one of a pair's rows arrive within one second.
+    rows = spark.range(20_000).select(
+        F.lit("a").alias("k"),
+        F.when(F.col("id") == 0, F.lit("2020-01-01").cast("timestamp_ntz"))
+        .otherwise(F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, id / 20000)"))
+        .alias("at"),
+        "id",
+    )
+    hot = find_hot_keys(rows, ["k"], F.col("at"), rows_per_task=1000)
+    now = timecols.micros(F.col("at"))
+    sizes = hot.mark(rows).groupBy(F.size(F.filter("__cuts", lambda c: c < now)).alias("c")).count().collect()
+    assert max(r["count"] for r in sizes) <= 2000
+    got = scans.running(rows, ["k"], "at", ["id"], [scans.Running("top", F.col("id"), inclusive=False)], hot)
+    plain = scans.running(rows, ["k"], "at", ["id"], [scans.Running("top", F.col("id"), inclusive=False)])
+    assert got.exceptAll(plain).count() == 0 and got.count() == 20_000

@@ -6,7 +6,8 @@ product over its words. The piece probabilities are fitted by expectation-maximi
 Spark tasks run forward and backward over the word counts of the sample and return expected counts of
 the pieces. The prediction is the most likely language, its score the posterior with equal priors.
 
-Words are parted by white space and begin with the vocabulary's word mark. A word of more than
+Words are parted by white space, lowered, freed from signs at their ends, and begin with the vocabulary's
+word mark. A word of more than
 `SPAN` characters is read in spans of that many; no character is left out. A character without a piece
 counts as the unknown piece.
 
@@ -17,7 +18,8 @@ is null or has no letter is `und` with score 1; if there is no language to learn
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,18 +30,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm.common import stored
+from riskweave.llm.pieces import of_worker
 from riskweave.llm.rows import RowTable, portions, summed
 
 UNDETERMINED = "und"
 SAMPLE = 1500
 ROUNDS = 4
 SPAN = 32
-BLOCK = 16_384
+BLOCK = 8192
 SMOOTHING, FLOOR = 0.01, 1e-9
 MARK = "▁"
+EDGE = ".,;:!?\"'()[]{}#*$%&|<>-_"
 LETTER = regex.compile(r"\p{L}")
 
 
+def word_form(word: str) -> str:
+    """Lower case, without signs at either end; a word of signs stays as it is."""
+    return word.strip(EDGE).lower() or word
+
+
 class Pieces:
     """The vocabulary's ordinary pieces, numbered; the unknown piece is the last number."""
 
@@ -51,43 +60,45 @@ class Pieces:
         self.numbers = {sp.id_to_piece(i): n for n, i in enumerate(usual)}
         self.unknown = len(self.numbers)
         self.longest = max(map(len, self.numbers))
-        self.begun = {p[:k] for p in self.numbers for k in range(1, len(p) + 1)}
+        #: Every beginning of a piece: the number of the piece that it is, or -1.
+        self.begun = {p[:k]: -1 for p in self.numbers for k in range(1, len(p) + 1)} | self.numbers
 
-    def spans(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+    def spans(self, words: Iterable[str]) -> tuple[list[str], np.ndarray]:
         """All spans of the words, and the word of each."""
         spans, owner = [], []
         for i, word in enumerate(words):
-            word = MARK + word
+            word = MARK + word_form(word)
             for at in range(0, len(word), SPAN):
                 spans.append(word[at : at + SPAN])
                 owner.append(i)
         return spans, np.array(owner, dtype=np.int64)
 
     def edges(self, spans: list[str]) -> np.ndarray:
-        """Rows (span, start, end, piece) of every piece in every span, by end and length."""
-        find, begun, unknown, longest = self.numbers.get, self.begun, self.unknown, self.longest
-        out: list[tuple[int, int, int, int]] = []
+        """Rows (span, start, end, piece) of every piece in every span, by end and start."""
+        begun, unknown, longest = self.begun.get, self.unknown, self.longest
+        out: list[int] = []  # one number per edge
         for k, span in enumerate(spans):
             n = len(span)
             for i in range(n):
-                if span[i] not in self.numbers:
-                    out.append((k, i, i + 1, unknown))
+                at = (i + 1 << 6 | i) << 40 | k << 16  # end, start, span, piece
+                if begun(span[i], -1) < 0:
+                    out.append(at | unknown)
                 for j in range(i + 1, min(n, i + longest) + 1):
-                    sub = span[i:j]
-                    piece = find(sub)
-                    if piece is not None:
-                        out.append((k, i, j, piece))
-                    elif sub not in begun:
+                    piece = begun(span[i:j])
+                    if piece is None:
                         break
-        table = np.array(out, dtype=np.int64).reshape(-1, 4)
-        return table[np.lexsort((table[:, 1], table[:, 2]))]
+                    if piece >= 0:
+                        out.append(at | piece)
+                    at += 1 << 46
+        codes = np.sort(np.array(out, dtype=np.int64))
+        return np.stack([codes >> 16 & 0xFFFFFF, codes >> 40 & 63, codes >> 46, codes & 0xFFFF], axis=1)
 
 
 def groups(edges: np.ndarray) -> list[slice]:
     """Edges of equal start and end: at most one of each span."""
     if not len(edges):
         return []
-    cut = np.flatnonzero(np.any(np.diff(edges[:, 1:3], axis=0) != 0, axis=1)) + 1
+    cut = np.flatnonzero(np.diff(edges[:, 2] << 6 | edges[:, 1])) + 1
     return [slice(a, b) for a, b in zip([0, *cut], [*cut, len(edges)], strict=True)]
 
 
@@ -183,9 +194,14 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.pieces, self.p = Pieces(model["path"]), model["p"]
+        self.forms = RowTable(self.form_rows)
         self.table = RowTable(self.word_rows)
 
     def word_rows(self, words: list[str]) -> np.ndarray:
+        rows = self.forms.rows([word_form(w) for w in words])
+        return self.forms.values[rows]
+
+    def form_rows(self, words: list[str]) -> np.ndarray:
         order = sorted(range(len(words)), key=lambda i: len(words[i]))  # blocks of like lengths
         out = np.zeros((len(words), self.p.shape[1]))
         spans, owner = self.pieces.spans([words[i] for i in order])
@@ -202,10 +218,10 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     """Adds `lang_pred` and `score` to the documents; they replace columns of these names."""
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast({"path": model.pieces_path, "p": model.probabilities})
-    languages = model.languages
+    languages, name = model.languages, uuid.uuid4().hex  # this model, to workers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value) if languages else None
+        scorer = of_worker(("language", name), lambda: Scorer(shared.value)) if languages else None
         for batch in batches:
             texts = batch.column(text_col)
             logs = [np.zeros((0, max(1, len(languages))))]

@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-#: Words kept before the table starts anew, and characters of text taken at a time.
+#: Words kept before the table starts anew, and words of text taken at a time.
 WORDS = 200_000
-PORTION = 1 << 20
+PORTION = 1 << 17
 
 
 class _Numbers(dict):
@@ -25,13 +25,13 @@ class _Numbers(dict):
 
 
 class RowTable:
-    """`rows(words)`: numbers of the words' rows in `values`, which `make(new words)` fills."""
+    """`rows(words)`: numbers of the words' rows in `values`, which `make(new words)` fills; `make` of no
+    words gives no rows of the right width."""
 
     def __init__(self, make: Callable[[list], np.ndarray], size: int = WORDS):
         self.make, self.size = make, size
         self.numbers = _Numbers()
-        self.held = np.zeros((0, 0))
-        self.used = 0
+        self.held, self.used = make([]), 0
 
     @property
     def values(self) -> np.ndarray:
@@ -44,7 +44,7 @@ class RowTable:
         if self.numbers.new:
             made = self.make(self.numbers.new)
             need = self.used + len(made)
-            if need > len(self.held) or self.held.shape[1:] != made.shape[1:]:
+            if need > len(self.held):
                 grown = np.zeros((max(need, 2 * len(self.held)), *made.shape[1:]), dtype=made.dtype)
                 if self.used:
                     grown[: self.used] = self.values
@@ -65,7 +65,7 @@ def portions(texts: Iterable, split: Callable[[str], list]) -> Iterator[tuple[li
         own = split(text)
         words += own
         counts.append(len(own))
-        held += len(text)
+        held += len(own)
         if held >= PORTION:
             yield words, np.array(counts)
             words, counts, held = [], [], 0

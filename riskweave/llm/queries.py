@@ -45,8 +45,8 @@ def op4_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic IS NOT NULL")
-    net = toxicity.fit(docs.where("NOT held_out").join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2)
+    net = toxicity.fit(docs.where("NOT held_out"), labels)
     # Only the text goes into the score; the language picks the threshold of the extra columns.
     scored = toxicity.score(docs.select("doc_id", "lang", "held_out", "text"), net, lang_col="lang")
     predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)

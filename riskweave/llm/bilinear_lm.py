@@ -10,7 +10,7 @@ each row, turns scores into normalised log-probabilities.
   the hash of their last two bytes; a class is a token too, and gives its words the share
   (c + 1) / (N + V + 1) of its counts, with one share left for unseen words. So every word has a
   probability, and the model stays normalised.
-* The pair counts are a matrix of the model's tokens, at most about 2,100 squared whatever the corpus.
+* The pair counts are a matrix of the model's tokens, at most 1,598 squared whatever the corpus.
   Spark counts it; numpy trains on all of it at once, on the driver.
 * Scoring holds the counts of at most `KNOWN` frequent words in each worker; counts of the rarer words
   of a text are joined in Spark.
@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import stored
 from riskweave.llm.rows import portions, summed
 
-WORDS, CLASSES, KNOWN = 2048, 61, 200_000
+WORDS, CLASSES, KNOWN = 1536, 61, 100_000
 DIMENSIONS, STEPS, NOISE_WEIGHT, RATE = 32, 80, 25.0, 0.05
+#: Strength of the normal prior of the vectors, in tokens: it holds a small corpus near its unigrams.
+PRIOR = 5.0
 #: No word has white space in it, so the end is a "word" of its own.
 END = b"\n"
 #: Distinct words or pairs that a task gathers before it hands them on.
@@ -170,7 +172,8 @@ def train(counts: np.ndarray, unigram: np.ndarray, steps: int = STEPS, seed: int
     """
     rng = np.random.default_rng(seed)
     size = len(unigram)
-    data = counts / max(float(counts.sum()), 1.0)
+    tokens = max(float(counts.sum()), 1.0)
+    data = (counts / tokens).astype(np.float32)
     expected = NOISE_WEIGHT * unigram
     noise = (data.sum(axis=1, keepdims=True) * expected).astype(np.float32)
     log_expected = np.log(expected).astype(np.float32)
@@ -179,10 +182,17 @@ def train(counts: np.ndarray, unigram: np.ndarray, steps: int = STEPS, seed: int
     mean, square = ([np.zeros_like(v) for v in values] for _ in range(2))
     for step in range(1, steps + 1):
         context, target, bias = values
-        true = sigmoid(context @ target.T + (bias - log_expected))  # that a pair is data
-        slope = noise * true - data * (1 - true)
+        true = context @ target.T  # becomes the probability that a pair is data
+        true += bias - log_expected
+        sigmoid_in_place(true)
+        slope = noise * true
+        true -= 1
+        true *= data
+        slope += true
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
-        for i, gradient in enumerate((slope @ target, slope.T @ context, slope.sum(axis=0))):
+        shrink = PRIOR / tokens
+        gradients = (slope @ target + shrink * context, slope.T @ context + shrink * target, slope.sum(axis=0))
+        for i, gradient in enumerate(gradients):
             mean[i] = 0.9 * mean[i] + 0.1 * gradient
             square[i] = 0.99 * square[i] + 0.01 * gradient**2
             move = (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-10)
@@ -190,24 +200,32 @@ def train(counts: np.ndarray, unigram: np.ndarray, steps: int = STEPS, seed: int
     return dict(zip(("context", "target", "bias"), values, strict=True))
 
 
-def sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def sigmoid_in_place(x: np.ndarray) -> None:
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
 def pair_matrix(pairs: DataFrame, size: int) -> np.ndarray:
     """The pair counts as [context, target]: at most size * size rows, whatever the corpus."""
     rows = pairs.toPandas()
-    out = np.zeros(size * size, dtype=np.float32)
+    out = np.zeros(size * size, dtype=np.float32)  # counts of one pair over 2 ** 24 are rounded
     out[rows["pair"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
     return out.reshape(size, size)
 
 
 def normalised(parameters: dict[str, np.ndarray]) -> np.ndarray:
     """log10 P(target | context) for all pairs: one product, each row normalised."""
-    scores = (parameters["context"] @ parameters["target"].T + parameters["bias"]).astype(np.float64)
-    top = scores.max(axis=1, keepdims=True)
-    log = scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
-    return (log / np.log(10)).astype(np.float32)
+    target, bias = parameters["target"].T, parameters["bias"]
+    blocks = []
+    for at in range(0, len(parameters["context"]), 256):
+        scores = (parameters["context"][at : at + 256] @ target + bias).astype(np.float64)
+        scores -= scores.max(axis=1, keepdims=True)
+        scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
+        blocks.append((scores / np.log(10)).astype(np.float32))
+    return np.concatenate(blocks)
 
 
 def fit(docs: DataFrame, text_col: str = "text", words: int = WORDS, known: int = KNOWN, steps: int = STEPS) -> Model:
@@ -216,12 +234,11 @@ def fit(docs: DataFrame, text_col: str = "text", words: int = WORDS, known: int
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     plain = counts.where(F.col("word") != F.lit(END))
     vocabulary_from, known_from = threshold(plain, words), threshold(plain, known)
-    top = plain.where(F.col("n") >= known_from).orderBy(F.desc("n"), "word").collect()  # at most `known` rows
-    vocabulary = {bytes(r["word"]): i for i, r in enumerate(top) if r["n"] >= vocabulary_from}
+    top = plain.where(F.col("n") >= known_from).orderBy(F.desc("n"), "word").toPandas()  # at most `known` rows
+    ranked = list(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))
+    vocabulary = {word: i for i, (word, n) in enumerate(ranked) if n >= vocabulary_from}
     first_class = len(vocabulary)
-    known_words = {
-        bytes(r["word"]): (vocabulary.get(bytes(r["word"]), first_class + word_class(bytes(r["word"]))), r["n"]) for r in top
-    }
+    known_words = {word: (vocabulary.get(word, first_class + word_class(word)), n) for word, n in ranked}
     sizes = class_sizes(counts, vocabulary_from)
     ends = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     weights = [*(known_words[w][1] for w in vocabulary), *(sizes - 1), ends]

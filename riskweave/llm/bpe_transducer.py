@@ -30,16 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.pieces import UNIT, Cache, of_worker, splits_alone
-from riskweave.llm.token_files import BATCH_TOKENS
 
 #: Determinised states kept before the table starts anew, and known neighbours.
 STATES = 100_000
+#: Matches, and pieces between spaces, whose ids a worker keeps per generation.
+CACHED = 120_000
 NEIGHBOURS = 400_000
 #: Bytes after which certain tokens of one long match are emitted; longer than any token.
 LOOKAHEAD = 1024
 NODE_BITS = 20
 NODE_MASK = (1 << NODE_BITS) - 1
 NEVER = 1 << 30
+#: Tokens that a task gathers before it hands them on.
+BATCH_TOKENS = 1 << 20
 ROOT = 0
 
 
@@ -252,8 +255,8 @@ class Codec:
         self.transducer = Transducer(read_ranks(path))
         self.token_bytes = self.transducer.token_bytes
         self.matches = regex.compile(pattern).findall
-        self.words = Cache(self.word)
-        self.inner = Cache(lambda p: self.piece(" " + p) if splits_alone(p) else None)
+        self.words = Cache(self.word, CACHED)
+        self.inner = Cache(lambda p: self.piece(" " + p) if splits_alone(p) else None, CACHED)
         self.first = Cache(lambda p: self.piece(p) if splits_alone(p) else None, 1000)
 
     def word(self, match: str) -> tuple[int, ...]:
@@ -315,7 +318,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
     """`doc_id` and `text` of rows of ids; null ids give a null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = of_worker(("codec", path, "(?!)"), lambda: Codec(path, "(?!)"))
+        codec = of_worker(("decoder", path), lambda: Codec(path, "(?!)"))
         for batch in batches:
             texts = [None if x is None else "".join(codec.decode(x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], names=["doc_id", "text"])

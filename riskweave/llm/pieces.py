@@ -1,33 +1,43 @@
 """Encoding with the tokenizers library, each distinct piece of text once per worker.
 
 Neither vocabulary merges across white space, so a text is cut at its spaces into pieces that encode
-independently. The library's own normaliser, pre-tokeniser and model encode a piece when it is first
-seen; a bounded cache keeps the result. Prose repeats its words, so most pieces are found there.
+independently. The library's own normaliser, pre-tokeniser and model encode pieces when they are first
+seen, many in one call; a bounded cache keeps the results. Prose repeats its words, so most pieces are found there.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterable, Sequence
+from itertools import chain
 
 import numpy as np
 import regex
 
-#: Pieces kept per generation; there are two. At most about 120 MB a cache.
-CACHED = 250_000
+#: Pieces kept per generation; there are two. At most about 150 MB.
+CACHED = 300_000
+#: Unknown pieces that one call of the library takes.
+TOGETHER = 500
 #: Longer pieces are encoded each time, so that the cache stays bounded in bytes too.
 LONGEST_CACHED = 64
+#: ASCII letters, then perhaps signs but no apostrophe: known to split into just these two words. A line's
+#: end may come before.
+SIMPLE = re.compile(r"(\n?)([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 UNIT = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 
 
 def of_worker(key: tuple, make: Callable[[], object]) -> object:
-    """`make()`, kept by the Python worker for its later tasks: encoders and their caches stay warm."""
+    """`make()`, kept by the Python worker for its later tasks, so that caches stay warm. A worker keeps
+    one thing: another key replaces it, so that stages of a job don't add up."""
     kept = sys.modules.setdefault("_riskweave_worker", types.ModuleType("_riskweave_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get("key") != key:
+        kept.pop("made", None)
+        kept["made"], kept["key"] = make(), key
+    return kept["made"]
 
 
 class Cache(dict):
@@ -71,28 +81,117 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.normalizer = self.tokenizer.normalizer
         self.pre_tokenizer = self.tokenizer.pre_tokenizer
-        self.words = Cache(self.word, cached)
+        self.cached = cached
+        self.words: dict[str, bytes] = {}
         #: A vocabulary that drops white space has no token for a space.
         self.drops_space = not self.ids(" ")
-        if self.drops_space:
-            self.inner = self.first = Cache(self.ids, cached)
-        else:
-            self.inner = Cache(lambda p: self.ids(" " + p) if splits_alone(p) else None, cached)
-            self.first = Cache(lambda p: self.ids(p) if splits_alone(p) else None, 1000)
-
-    def word(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes()
+        self.pieces: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.first = Cache(self.alone, 1000)
+
+    def ids_of_words(self, words: Iterable[str]) -> None:
+        """Put the ids of words into the cache."""
+        if len(self.words) >= self.cached:
+            self.words = {}
+        known, tokenize = self.words, self.model.tokenize
+        for word in words:
+            if word not in known:
+                known[word] = array("I", [token.id for token in tokenize(word)]).tobytes()
+
+    def normal(self, text: str) -> str:
+        return text if self.normalizer is None or not text else self.normalizer.normalize_str(text)
 
     def ids(self, text: str) -> bytes:
-        if self.normalizer is not None:
-            text = self.normalizer.normalize_str(text)
-        return b"".join([self.words[w] for w, _ in self.pre_tokenizer.pre_tokenize_str(text)]) if text else b""
+        text = self.normal(text)
+        words = [w for w, _ in self.pre_tokenizer.pre_tokenize_str(text)] if text else []
+        self.ids_of_words(words)
+        return b"".join([self.words[w] for w in words])
 
-    def encode(self, text: str) -> bytes:
+    def alone(self, piece: str, before: str = "") -> bytes | None:
         if self.drops_space:
-            return b"".join(map(self.inner.__getitem__, text.replace("\n", " ").split(" ")))
-        pieces = text.split(" ")
-        try:
-            return b"".join([self.first[pieces[0]], *map(self.inner.__getitem__, pieces[1:])])
-        except TypeError:  # some white space is not a single space between pieces
-            return b"".join(map(self.ids, UNIT.findall(text)))
+            return self.ids(piece)
+        if piece[:1] == "\n":
+            return self.ids(piece) if splits_alone(piece[1:]) else None
+        return self.ids(before + piece) if splits_alone(piece) else None
+
+    def learn(self, wanted: set[str]) -> None:
+        """Make sure that `pieces` has all that are wanted."""
+        if len(self.pieces) + len(wanted) > self.cached:
+            self.pieces, self.older = {}, self.pieces
+        known, older = self.pieces, self.older
+        # A byte-level vocabulary writes the space before a word as the letter U+0120, a line's end as
+        # U+010A.
+        space, line = ("", "") if self.drops_space else ("\u0120", "\u010a")
+        simple, plain = [], []
+        for piece in wanted:
+            if piece in known:
+                continue
+            if piece in older:
+                known[piece] = older[piece]
+            elif match := SIMPLE(piece):
+                begins, letters, rest = match.groups()
+                simple.append((piece, begins and line, letters if begins else space + letters, rest))
+            elif piece.split() == [piece]:
+                plain.append(piece)
+            else:
+                known[piece] = self.alone(piece, " ")
+        self.ids_of_words(chain.from_iterable(words[1:] for words in simple))  # "" has no ids
+        find = self.words.__getitem__
+        for piece, begins, word, rest in simple:
+            ids = find(word) + find(rest) if rest else find(word)
+            known[piece] = find(begins) + ids if begins else ids
+        for at in range(0, len(plain), TOGETHER):
+            self.learn_together(plain[at : at + TOGETHER])
+
+    def keep(self, words_of: dict[str, Sequence[str]]) -> None:
+        self.ids_of_words([w for words in words_of.values() for w in words])
+        find = self.words.__getitem__
+        for piece, words in words_of.items():
+            self.pieces[piece] = b"".join(map(find, words))
+
+    def learn_together(self, plain: list[str]) -> None:
+        """Pieces without white space, in one call of the library: a word belongs to the piece whose
+        space is the last at or before it."""
+        text = self.normal(" " + " ".join(plain))
+        spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), dtype="<u4") == 32)
+        if len(spaces) != len(plain):
+            for piece in plain:
+                self.pieces[piece] = self.alone(piece, " ")
+            return
+        found = self.pre_tokenizer.pre_tokenize_str(text)
+        own = np.searchsorted(spaces, [span[0] for _, span in found], side="right") - 1
+        words: list[list[str]] = [[] for _ in plain]
+        for (word, _), k in zip(found, own.tolist(), strict=True):
+            words[k].append(word)
+        self.keep(dict(zip(plain, words, strict=True)))
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces of a text. Where spaces matter, the first piece of a line keeps the line's end before it,
+        and a piece that is empty or ends in white space is one that cannot be taken alone."""
+        if self.drops_space:
+            return text.encode().lower().decode().replace("\n", " ").split(" ")  # A-Z lowered: fewer pieces
+        return text.replace("\n", " \n").split(" ")
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Texts come in portions whose pieces fit into the cache twice over; a
+        larger portion only makes the cache larger meanwhile."""
+        cut = [self.cut(t) for t in texts]
+        wanted = set().union(*(c if self.drops_space else c[1:] for c in cut))
+        self.learn(wanted)
+        find = self.pieces.__getitem__
+        out = []
+        for text, pieces in zip(texts, cut, strict=True):
+            try:
+                if self.drops_space:
+                    out.append(b"".join(map(find, pieces)))
+                else:
+                    out.append(b"".join([self.first[pieces[0]], *map(find, pieces[1:])]))
+            except TypeError:  # some white space is not a single space between pieces
+                out.append(b"".join(map(self.ids, UNIT.findall(text))))
+        for piece in wanted:
+            if len(piece) > LONGEST_CACHED:
+                self.pieces.pop(piece)
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm.ordered import part_bases
-from riskweave.llm.pieces import PieceEncoder
+from riskweave.llm.pieces import PieceEncoder, of_worker
 
-#: Tokens a task gathers before it hands a batch on.
-BATCH_TOKENS = 1 << 20
+#: Characters of text that a task encodes before it hands their ids on.
+PORTION = 1 << 20
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -56,39 +56,40 @@ def id_views(column: pa.ListArray) -> Iterator[np.ndarray]:
         yield values[a:b]
 
 
+def text_portions(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a batch, about `PORTION` characters at a time; null is empty."""
+    texts: list[str] = []
+    held = 0
+    for text in column:
+        texts.append(text.as_py() or "")
+        held += len(texts[-1])
+        if held >= PORTION:
+            yield texts
+            texts, held = [], 0
+    if texts:
+        yield texts
+
+
 def encoder(path: str, end_id: int | None):
     """Rows (doc_id, part, text) in range order -> the rows of a data file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = PieceEncoder(path).encode
+        encode_all = of_worker(("pieces", path), lambda: PieceEncoder(path)).encode_all
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         so_far = 0
-
-        def batch_of(keys, blobs, counts):
-            starts = so_far + np.cumsum([0, *counts[:-1]])
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            cells = ([k for k, _ in keys], [p for _, p in keys], starts, counts)
-            columns = [pa.array(c, type=k) for c, k in zip(cells, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(
-                [*columns, lists(blobs)], names=["doc_id", "part", "part_start", "n_tokens", "ids"]
-            )
-
         for batch in batches:
-            keys, blobs, counts, held = [], [], [], 0
-            rows = zip(*(batch.column(c) for c in ("doc_id", "part", "text")), strict=True)
-            for key, part, text in rows:
-                blob = encode(text.as_py() or "") + end
-                keys.append((key.as_py(), part.as_py()))
-                blobs.append(blob)
-                counts.append(len(blob) // 4)
-                held += counts[-1]
-                if held >= BATCH_TOKENS:
-                    yield batch_of(keys, blobs, counts)
-                    so_far += held
-                    keys, blobs, counts, held = [], [], [], 0
-            if keys:
-                yield batch_of(keys, blobs, counts)
-                so_far += held
+            at = 0
+            for texts in text_portions(batch.column("text")):
+                blobs = [blob + end for blob in encode_all(texts)]
+                counts = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
+                key, part = (batch.column(c).slice(at, len(texts)) for c in ("doc_id", "part"))
+                through = so_far + np.cumsum(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [key, part, pa.array(through - counts), pa.array(counts), lists(blobs)],
+                    names=["doc_id", "part", "part_start", "n_tokens", "ids"],
+                )
+                at += len(texts)
+                so_far = int(through[-1])
 
     return run
 

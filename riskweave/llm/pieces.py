@@ -24,9 +24,10 @@ CACHED = 300_000
 TOGETHER = 500
 #: Longer pieces are encoded each time, so that the cache stays bounded in bytes too.
 LONGEST_CACHED = 64
-#: ASCII letters, then perhaps signs but no apostrophe: known to split into just these two words. A line's
-#: end may come before.
-SIMPLE = re.compile(r"(\n?)([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Latin letters, then perhaps ASCII signs but no apostrophe: known to split into just these two words. A
+#: line's end may come before. These letters have lower case of one letter and are in normal form.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+SIMPLE = re.compile(r"(\n?)([" + LETTERS + r"]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 UNIT = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 
 
@@ -85,6 +86,9 @@ class PieceEncoder:
         self.words: dict[str, bytes] = {}
         #: A vocabulary that drops white space has no token for a space.
         self.drops_space = not self.ids(" ")
+        # How the vocabulary writes the letters that aren't ASCII, as the library's pre-tokeniser does.
+        marked = [chr(c) for c in range(0xC0, 0x100) if SIMPLE(chr(c))]
+        self.written = {ord(c): "".join(w for w, _ in self.pre_tokenizer.pre_tokenize_str(c)) for c in marked}
         self.pieces: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
         self.first = Cache(self.alone, 1000)
@@ -130,6 +134,10 @@ class PieceEncoder:
                 known[piece] = older[piece]
             elif match := SIMPLE(piece):
                 begins, letters, rest = match.groups()
+                if self.drops_space:
+                    letters = letters.lower()
+                if not letters.isascii():
+                    letters = letters.translate(self.written)
                 simple.append((piece, begins and line, letters if begins else space + letters, rest))
             elif piece.split() == [piece]:
                 plain.append(piece)

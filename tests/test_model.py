@@ -262,6 +262,22 @@ def test_fitted_rows_are_bounded_by_a_hash(banks_with_own_fraud):
     assert {r.pos_weight for r in one} == {(n - p) / p for n, p in sizes.values()}
 
 
+def test_banks_over_the_bound_weigh_their_full_size(spark):
+    # Every bank is over the bound of fitted rows: 12, 3 and 1 times.
+    wanted = {"a": 2400, "b": 600, "c": 201}
+    rows = [(f"{b}{i}", b, int(i % 4 == 0), [float(i % 7), 1.0, 0.0, 0.5]) for b, n in wanted.items() for i in range(n)]
+    train = spark.createDataFrame(rows, "id string, bank_id string, label int, features array<double>")
+    config = TrainConfig(blocks=2, most_rows=200, hidden=2)
+    blocks = training.pack_blocks(train, shards.bank_sizes(train), 4, config)
+    start = {b: Network.initial(4, 2, i) for i, b in enumerate(sorted(wanted))}
+    # Without epochs the banks return what they were sent.
+    updates = training.fit_round(blocks, start, config, 0, 1)
+    banks = training.weighted_average(updates, ["bank_id"]).select("bank_id", "n").distinct().collect()
+    assert {r.bank_id: r.n for r in banks} == wanted
+    got = training._one_network(training.weighted_average(updates))
+    assert got.w1 == pytest.approx(sum(start[b].w1 * n for b, n in wanted.items()) / sum(wanted.values()))
+
+
 @pytest.mark.parametrize("hidden", [2, 200])
 def test_scores_of_odd_features_are_alike_at_every_size(spark, hidden):
     nan = math.nan

@@ -1,17 +1,18 @@
 """Language-model scoring (operator 4) with a log-bilinear model trained by noise-contrastive estimation.
 
 Every token has two vectors: as context and as target. The score of a target after a context is their
-dot product plus the target's bias; one matrix product of all contexts with all targets, and a sum over
-each row, turns scores into normalised log-probabilities.
+dot product plus the target's bias; the sum of each context over all targets turns scores into normalised
+log-probabilities.
 
 * All training text is counted in Spark: tokens, and pairs of neighbours. Nothing is sampled from it;
   what the counts hold grows with the corpus.
-* The frequent words (at most `WORDS`) are tokens of the model. All others fall into `CLASSES` classes by
-  the hash of their last two bytes; a class is a token too, and gives its words the share
+* The frequent words are tokens of the model: about as many as the square root of the number of training
+  tokens, at least `WORDS`, so the vocabulary grows with the corpus and the work of a step in proportion to
+  it. All others fall into `CLASSES` classes by the hash of their last two bytes; a class is a token too, and gives its words the share
   (c + 1) / (N + V + 1) of its counts, with one share left for unseen words. So every word has a
   probability, and the model stays normalised.
-* The pair counts are a matrix of the model's tokens, at most 1,598 squared whatever the corpus.
-  Spark counts it; numpy trains on all of it at once, on the driver.
+* The pair counts are a sparse matrix of the model's tokens, stored in blocks of contexts. Each step trains on
+  all of it in Spark tasks, a block at a time; the driver sums the gradients and holds the vectors only.
 * Scoring holds the counts of at most `KNOWN` frequent words in each worker; counts of the rarer words
   of a text are joined in Spark.
 
@@ -26,17 +27,18 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
+from math import isqrt
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import stored
 from riskweave.llm.rows import portions, summed
 
-WORDS, CLASSES, KNOWN = 1536, 61, 100_000
+WORDS, CLASSES, KNOWN = 2048, 61, 100_000
 DIMENSIONS, STEPS, NOISE_WEIGHT, RATE = 32, 80, 25.0, 0.05
 #: Strength of the normal prior of the vectors, in tokens: it holds a small corpus near its unigrams.
 PRIOR = 5.0
@@ -44,6 +46,10 @@ PRIOR = 5.0
 END = b"\n"
 #: Distinct words or pairs that a task gathers before it hands them on.
 GATHERED = 300_000
+#: Scores of a block: its contexts times all targets.
+CELLS = 1 << 19
+#: Tasks of a step at most: the driver gets a gradient of the targets from each.
+STEP_TASKS = 32
 STEP_BITS = 8  # buckets per doubling when a count threshold is searched
 
 
@@ -100,11 +106,19 @@ class Model:
     known_from: int  # words of this count or more are in `known`
     known: dict  # word -> (its model token, its count)
     class_size: np.ndarray  # N + V + 1 of each class
-    log10: np.ndarray  # [context, target]
+    context: np.ndarray  # vectors of all tokens
+    target: np.ndarray
+    bias: np.ndarray
+    log_sum: np.ndarray  # of each context: the log of the sum of its scores' exponentials
 
     @property
     def end(self) -> int:
-        return len(self.log10) - 1
+        return len(self.bias) - 1
+
+    @property
+    def log10(self) -> np.ndarray:
+        """[context, target], as a whole: for small models."""
+        return (self.context @ self.target.T + self.bias - self.log_sum[:, None]) / np.log(10)
 
 
 def class_sizes(counts: DataFrame, vocabulary_from: int) -> np.ndarray:
@@ -163,41 +177,97 @@ def pair_codes(ids: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 # Training
 
 
-def train(counts: np.ndarray, unigram: np.ndarray, steps: int = STEPS, seed: int = 5) -> dict[str, np.ndarray]:
-    """Noise-contrastive estimation over all pairs at once.
+def block_count(size: int) -> int:
+    """Blocks of contexts, each with about `CELLS` scores. Block b has the contexts b, b + blocks, ..."""
+    return -(-size // max(1, CELLS // size))
+
+
+def pair_blocks(pairs: DataFrame, size: int) -> DataFrame:
+    """(block, pair, n): the pair counts, one row of two lists per block of contexts."""
+    blocks = block_count(size)
+    block = F.expr(f"(pair div {size}) % {blocks}").alias("block")
+    rows = F.array_sort(F.collect_list(F.struct("pair", "n"))).alias("rows")
+    grouped = pairs.select(block, "pair", "n").repartition(blocks, "block").groupBy("block").agg(rows)
+    return grouped.select("block", F.col("rows.pair").alias("pair"), F.col("rows.n").alias("n"))
+
+
+def train(blocks: DataFrame, unigram: np.ndarray, tokens: int, steps: int = STEPS, seed: int = 5) -> list[np.ndarray]:
+    """Noise-contrastive estimation over all pairs in each step: vectors as context, as target, and the bias.
 
-    `counts`: [context, target]. Data pairs are told from noise, targets drawn from `unigram`, of which
-    there are NOISE_WEIGHT for each data pair. The expectation over the noise is summed exactly instead of
-    drawn: with so few targets that is one more matrix product, and the steps have no sampling error.
+    Data pairs are told from noise, targets drawn from `unigram`, of which there are NOISE_WEIGHT for each
+    data pair. The expectation over the noise is summed exactly instead of drawn: that is one more matrix
+    product, and the steps have no sampling error.
     """
     rng = np.random.default_rng(seed)
     size = len(unigram)
-    tokens = max(float(counts.sum()), 1.0)
-    data = (counts / tokens).astype(np.float32)
-    expected = NOISE_WEIGHT * unigram
-    noise = (data.sum(axis=1, keepdims=True) * expected).astype(np.float32)
-    log_expected = np.log(expected).astype(np.float32)
+    tokens = max(float(tokens), 1.0)
     small = [rng.normal(0, 0.1, (size, DIMENSIONS)).astype(np.float32) for _ in range(2)]
     values = [*small, np.log(unigram).astype(np.float32)]
     mean, square = ([np.zeros_like(v) for v in values] for _ in range(2))
     for step in range(1, steps + 1):
-        context, target, bias = values
-        true = context @ target.T  # becomes the probability that a pair is data
-        true += bias - log_expected
-        sigmoid_in_place(true)
-        slope = noise * true
-        true -= 1
-        true *= data
-        slope += true
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         shrink = PRIOR / tokens
-        gradients = (slope @ target + shrink * context, slope.T @ context + shrink * target, slope.sum(axis=0))
+        gradients = summed_gradients(blocks, values, unigram, tokens)
+        gradients[0] += shrink * values[0]
+        gradients[1] += shrink * values[1]
         for i, gradient in enumerate(gradients):
             mean[i] = 0.9 * mean[i] + 0.1 * gradient
             square[i] = 0.99 * square[i] + 0.01 * gradient**2
             move = (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-10)
             values[i] = values[i] - (rate * move).astype(np.float32)
-    return dict(zip(("context", "target", "bias"), values, strict=True))
+    return values
+
+
+def summed_gradients(blocks: DataFrame, values: list[np.ndarray], unigram: np.ndarray, tokens: float) -> list[np.ndarray]:
+    """Gradients of (context, target, bias) over all blocks; a task sums those of its blocks."""
+    size = len(unigram)
+    apart = block_count(size)
+    shared = blocks.sparkSession.sparkContext.broadcast((values, unigram))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (context, target, bias), unigram = shared.value
+        of_target, of_bias = np.zeros_like(target), np.zeros_like(bias)
+        names, parts = [], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.column("block")[i].as_py()
+                pair, n = (batch.column(c)[i].values.to_numpy() for c in ("pair", "n"))
+                at = (pair // size - block) // apart * size + pair % size
+                own = context[block::apart]
+                slope = block_slope(own, target, bias, unigram, at, n / tokens)
+                names.append(block)
+                parts.append((slope @ target).tobytes())
+                of_target += slope.T @ own
+                of_bias += slope.sum(axis=0)
+        if names:
+            columns = [pa.array([*names, -1, -2], type=pa.int64()), pa.array([*parts, of_target.tobytes(), of_bias.tobytes()], type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "gradient"])
+
+    out = [np.zeros_like(v) for v in values]
+    # For each of a few tasks as many numbers as the model has targets, and for all blocks as many as it has contexts.
+    tasks = min(blocks.sparkSession.sparkContext.defaultParallelism, STEP_TASKS)
+    for row in blocks.coalesce(tasks).mapInArrow(run, "part long, gradient binary").collect():
+        gradient = np.frombuffer(row["gradient"], dtype=np.float32)
+        if row["part"] >= 0:
+            out[0][row["part"] :: apart] = gradient.reshape(-1, DIMENSIONS)
+        else:
+            out[-row["part"]] += gradient.reshape(out[-row["part"]].shape)
+    shared.destroy()
+    return out
+
+
+def block_slope(context, target, bias, unigram: np.ndarray, at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Slopes of the scores [context, target]; `data` are the shares of the pairs at the flat places `at`."""
+    expected = NOISE_WEIGHT * unigram
+    slope = context @ target.T
+    slope += (bias - np.log(expected)).astype(np.float32)
+    sigmoid_in_place(slope)  # the probability that a pair is data
+    flat = slope.reshape(-1)
+    missed = (flat[at] - 1) * data.astype(np.float32)
+    slope *= np.bincount(at // len(bias), weights=data, minlength=len(context)).astype(np.float32)[:, None]
+    slope *= expected.astype(np.float32)
+    flat[at] += missed
+    return slope
 
 
 def sigmoid_in_place(x: np.ndarray) -> None:
@@ -208,34 +278,47 @@ def sigmoid_in_place(x: np.ndarray) -> None:
     np.reciprocal(x, out=x)
 
 
-def pair_matrix(pairs: DataFrame, size: int) -> np.ndarray:
-    """The pair counts as [context, target]: at most size * size rows, whatever the corpus."""
-    rows = pairs.toPandas()
-    out = np.zeros(size * size, dtype=np.float32)  # counts of one pair over 2 ** 24 are rounded
-    out[rows["pair"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
-    return out.reshape(size, size)
+def log_sums(spark: SparkSession, values: list[np.ndarray]) -> np.ndarray:
+    """Of each context the log of the sum of its scores' exponentials over all targets."""
+    size = len(values[2])
+    shared = spark.sparkContext.broadcast(values)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, target, bias = shared.value
+        each = max(1, CELLS // size)
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for at in range(0, len(ids), each):
+                part = ids[at : at + each]
+                scores = (context[part] @ target.T + bias).astype(np.float64)
+                most = scores.max(axis=1)
+                sums = most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums)], names=["id", "log_sum"])
+
+    out = np.empty(size)
+    # A number for each context.
+    tasks = min(spark.sparkContext.defaultParallelism, block_count(size))
+    for row in spark.range(0, size, 1, tasks).mapInArrow(run, "id long, log_sum double").collect():
+        out[row["id"]] = row["log_sum"]
+    return out
 
-def normalised(parameters: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 P(target | context) for all pairs: one product, each row normalised."""
-    target, bias = parameters["target"].T, parameters["bias"]
-    blocks = []
-    for at in range(0, len(parameters["context"]), 256):
-        scores = (parameters["context"][at : at + 256] @ target + bias).astype(np.float64)
-        scores -= scores.max(axis=1, keepdims=True)
-        scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
-        blocks.append((scores / np.log(10)).astype(np.float32))
-    return np.concatenate(blocks)
 
+def vocabulary_size(tokens: int) -> int:
+    return max(WORDS, isqrt(tokens))
 
-def fit(docs: DataFrame, text_col: str = "text", words: int = WORDS, known: int = KNOWN, steps: int = STEPS) -> Model:
+
+def fit(docs: DataFrame, text_col: str = "text", words: int | None = None, known: int = KNOWN, steps: int = STEPS) -> Model:
+    """`words`: words of the vocabulary at most, by default as many as `vocabulary_size` gives."""
     texts = docs.select(F.col(text_col).alias("text"))
     counts = stored(token_counts(texts), "token-counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    words = words or vocabulary_size(tokens)
+    known = max(known, words)
     plain = counts.where(F.col("word") != F.lit(END))
     vocabulary_from, known_from = threshold(plain, words), threshold(plain, known)
-    top = plain.where(F.col("n") >= known_from).orderBy(F.desc("n"), "word").toPandas()  # at most `known` rows
-    ranked = list(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))
+    top = plain.where(F.col("n") >= known_from).toArrow()  # at most `known` rows
+    ranked = sorted(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    del top
     vocabulary = {word: i for i, (word, n) in enumerate(ranked) if n >= vocabulary_from}
     first_class = len(vocabulary)
     known_words = {word: (vocabulary.get(word, first_class + word_class(word)), n) for word, n in ranked}
@@ -244,8 +327,10 @@ def fit(docs: DataFrame, text_col: str = "text", words: int = WORDS, known: int
     weights = [*(known_words[w][1] for w in vocabulary), *(sizes - 1), ends]
     unigram = (np.array(weights, dtype=np.float64) + 1) / (np.sum(weights) + len(weights))
     pairs = stored(pair_counts(texts, vocabulary), "pair-counts")
-    table = normalised(train(pair_matrix(pairs, len(unigram)), unigram, steps))
-    return Model(counts, int(tokens), int(distinct), int(known_from), known_words, sizes, table)
+    blocks = stored(pair_blocks(pairs, len(unigram)), "pair-blocks")
+    values = train(blocks, unigram, tokens, steps)
+    sums = log_sums(docs.sparkSession, values)
+    return Model(counts, int(tokens), int(distinct), int(known_from), known_words, sizes, *values, sums)
 
 
 # Scoring
@@ -262,7 +347,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             "token": np.array([model.known[w][0] for w in names], dtype=np.int64),
             "count": np.array([model.known[w][1] for w in names], dtype=np.float64),
             "class_size": model.class_size,
-            "log10": model.log10,
+            "vectors": (model.context, model.target, model.bias, model.log_sum),
         }
     )
     ends = model.counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -305,10 +390,11 @@ class PartScorer:
     """What a worker can add up of the scores of texts, and the words that it has no counts for."""
 
     def __init__(self, shared: dict, ends: int):
-        self.find, self.token, self.log10 = shared["numbers"].get, shared["token"], shared["log10"]
+        self.find, self.token = shared["numbers"].get, shared["token"]
+        self.context, self.target, self.bias, self.log_sum = shared["vectors"]
         self.of_count = np.log10(shared["count"] + 1)
         self.of_class = np.log10(shared["class_size"])
-        self.end = len(self.log10) - 1
+        self.end = len(self.bias) - 1
         self.first_class = self.end - CLASSES
         self.ends, self.of_end = ends, float(np.log10(ends + 1))
 
@@ -327,7 +413,7 @@ class PartScorer:
         inside[classed] -= self.of_class[ids[classed] - self.first_class]
         targets = with_ends(ids, counts, self.end)
         contexts = np.concatenate([[self.end], targets[:-1]])
-        model = summed(self.log10[contexts, targets].astype(np.float64), counts + 1) + summed(inside, counts)
+        model = summed(self.of_pairs(contexts, targets), counts + 1) + summed(inside, counts)
         known = summed((~rare).astype(np.float64), counts) + (self.ends > 0)
         offsets = np.concatenate([[0], np.cumsum(summed(rare.astype(np.float64), counts))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array([words[i] for i in at], type=pa.binary()))
@@ -338,3 +424,8 @@ class PartScorer:
             pa.array(model),
             lists,
         ]
+
+    def of_pairs(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """log10 P(target | context) of each pair."""
+        scores = np.einsum("ij,ij->i", self.context[contexts], self.target[targets]) + self.bias[targets]
+        return (scores - self.log_sum[contexts]) / np.log(10)

@@ -152,6 +152,26 @@ def test_model_is_normalised_and_rare_words_join(spark, sf_dir):
     assert all(many.class_size[k] == n + 1 for k, n in share.items())
 
 
+def test_vocabulary_grows_and_blocks_sum_to_the_whole(spark, monkeypatch):
+    rng = random.Random(3)
+    # Words of number k come about 1 / k as often as the first.
+    names = [f"w{k}" for k in range(4000)]
+    texts = [" ".join(rng.choices(names, [1 / (k + 1) for k in range(4000)], k=400)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(bilinear_lm, "WORDS", 20)
+    sizes = [sum(t < m.end - bilinear_lm.CLASSES for t, _ in m.known.values()) for m in (bilinear_lm.fit(d, steps=1) for d in (docs.where("doc_id < 6"), docs))]
+    assert 20 < sizes[0] < sizes[1] <= math.isqrt(60 * 401)
+    assert bilinear_lm.vocabulary_size(10**8) == 10**4
+    # Steps over many blocks equal those over one.
+    models = []
+    for cells in (1 << 19, 2000):
+        monkeypatch.setattr(bilinear_lm, "CELLS", cells)
+        models.append(bilinear_lm.fit(docs, steps=4))
+    one, many = models
+    assert np.allclose(one.log10, many.log10, atol=1e-3)
+    assert np.allclose((10.0 ** many.log10).sum(axis=1), 1, atol=1e-4)
+
+
 def test_lm_edges(spark, edge_docs, no_docs):
     model = bilinear_lm.fit(edge_docs, steps=3)
     texts = [r["text"] for r in edge_docs.collect()]

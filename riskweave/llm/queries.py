@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bilinear_lm, bpe_transducer, exact_dedup, language_id, packing, quality, sharding, simhash_trie, token_files, toxicity
+from riskweave.llm import (
+    bilinear_lm,
+    bpe_transducer,
+    conversations,
+    decontamination,
+    exact_dedup,
+    language_id,
+    packing,
+    quality,
+    sharding,
+    simhash_trie,
+    spelling,
+    token_files,
+    toxicity,
+)
 from riskweave.llm.common import remainder, table
 from riskweave.sources.shared import fresh_dir
 
@@ -96,6 +110,44 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(table(spark, sf_dir, "documents"), typo_one_in=spelling.ONE_IN)
+    return spelling.spelling_variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(damaged(table(spark, sf_dir, "conversations")), present="present")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The rows after the damage that the contract fixes; `present` is false for those that it drops."""
+    conv_id, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    kind = F.crc32(F.concat(conv_id, F.lit(":"), turn).cast("binary")) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    copies = F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (kind != 0).alias("present"),
+        F.explode(copies).alias("copy"),
+    ).drop("copy")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
@@ -107,6 +159,9 @@ QUERIES = {
     "op8_simhash_trie": op8_simhash_trie,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "op11_decontamination": op11_decontamination,
+    "op12_spelling": op12_spelling,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLES = {

@@ -135,10 +135,11 @@ def spans(text: bytes, flat: bytes, ranges: list[tuple[int, int]]) -> list[tuple
     return [(int(points[starts[a]]), int(points[ends[b]])) for a, b in ranges]
 
 
-def _scan(docs: DataFrame, text_col: str, patterns: list[tuple[bytes, str]]) -> DataFrame:
+def _scan(docs: DataFrame, text_col: str, patterns: list[tuple[bytes, str]], keep_text: bool) -> DataFrame:
     """One pass over `docs`, which have the columns of `ADDED` from the pass before, or none of them."""
     again = ADDED[-1].name in docs.columns
-    schema = docs.schema if again else T.StructType([*docs.schema.fields, *ADDED])
+    fields = docs.schema.fields if again else [*docs.schema.fields, *ADDED]
+    schema = T.StructType([f for f in fields if keep_text or f.name != text_col])
     held = docs.sparkSession.sparkContext.broadcast(patterns)
     key = ("decontamination", uuid.uuid4().hex)
     names = [field.name for field in ADDED]
@@ -181,8 +182,9 @@ def decontaminate(
     item_text: str = "text",
     window: int = WINDOW,
     max_pattern_bytes: int = MAX_PATTERN_BYTES,
+    keep_text: bool = True,
 ) -> DataFrame:
-    """`docs` with `n_words`, `n_hit` (words inside an occurrence of a window), `hit_words` (their ranges of
+    """`docs` (without the text, if it need not come back from the tasks) with `n_words`, `n_hit` (words inside an occurrence of a window), `hit_words` (their ranges of
     word numbers, from 0), `hit_spans` (the same as offsets of the original) and `items` (sorted ids)."""
     docs = docs.drop(*(field.name for field in ADDED if field.name != text_col))
     pairs = stored(windows(items, item_id, item_text, window), "windows")
@@ -192,7 +194,7 @@ def decontaminate(
     part = F.pmod(F.xxhash64("window", "item"), F.lit(parts))
     for number in range(parts):
         patterns = [(bytes(row[0]), row[1]) for row in pairs.where(part == number).select("window", "item").collect()]
-        docs = _scan(docs, text_col, patterns)
+        docs = _scan(docs, text_col, patterns, keep_text or number < parts - 1)
         if number < parts - 1:
             docs = stored(docs, "scanned")
     return docs

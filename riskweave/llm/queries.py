@@ -112,7 +112,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    marked = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     return marked.select(
         "doc_id",
         "n_words",

@@ -13,6 +13,7 @@ from riskweave.llm import (
     decontamination,
     exact_dedup,
     language_id,
+    oracle,
     packing,
     quality,
     sharding,
@@ -165,14 +166,8 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op2_exact_dedup": """
-        WITH hashed AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
-        SELECT doc_id,
-               max(doc_id) OVER same AS keep_id,
-               count(*) OVER same AS group_size,
-               doc_id = max(doc_id) OVER same AS kept,
-               text_sha256
-        FROM hashed
-        WINDOW same AS (PARTITION BY text_sha256)
-    """,
+    "op2_exact_dedup": oracle.EXACT_DEDUP,
+    "op11_decontamination": oracle.DECONTAMINATION,
+    "op12_spelling": oracle.SPELLING,
+    "op13_conversations": oracle.CONVERSATIONS,
 }

@@ -1,6 +1,6 @@
 """Registered queries: one per operator, each over whole tables."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -206,14 +206,16 @@ def failsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfers.apply_policy(seen, strict).select("transfer_id", "lookup_status", "decision")
 
 
-def _decisions(spark: SparkSession, sf_dir: str) -> Decisions:
+def _decisions(spark: SparkSession, sf_dir: str, authenticated: bool = False) -> Decisions:
     requests = transfers.valid_transfers(derived.transfer_requests(spark, sf_dir, retries=True))
     return decide_transfers(
         requests,
-        derived.signal_log(spark, sf_dir),
+        derived.tagged_log(spark, sf_dir) if authenticated else derived.signal_log(spark, sf_dir),
         derived.pseudonymiser(spark),
         derived.policies(spark),
         derived.outages(spark),
+        derived.publishers(spark) if authenticated else None,
+        QUOTA if authenticated else None,
     )
 
 
@@ -249,7 +251,7 @@ def audit_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decisions(spark, sf_dir).responses
+    return _decisions(spark, sf_dir).stored(fresh_dir(spark, "audit")).responses
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,8 +265,9 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: every transfer decided under the policy and the risk known at its moment."""
-    return _decisions(spark, sf_dir).audit.select(
+    """Flagship: every transfer decided under the policy and the risk known at its moment. Only signals
+    that a registered bank has signed, within its quota, count."""
+    return _decisions(spark, sf_dir, authenticated=True).audit.select(
         "transfer_id", "bank_id", "receiver_account", "amount_minor", "risk_id", "decision",
         "lookup_status", "risk_score", "model_version",
         _text("reason_codes"), _text("contributing_banks"), "decided_at",
@@ -500,40 +503,69 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams ------------------------------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = derived.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+STEPS = 3
 
 
-def stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log as a stream, folded into the store in two steps; outcomes equal the batch run's."""
+def _step(seq: str) -> Column:
+    """The landing that a row comes with: runs of 50 rows are dealt out, so every landing has gaps that later
+    ones fill with older rows."""
+    return F.floor(F.col(seq) / 50) % STEPS
+
+
+def _landings(rows: DataFrame, step: Column, source: str) -> Iterator[DataFrame]:
+    """Append `rows` to the files of a source in `STEPS` parts; yields the stream of all so far."""
+    for k in range(STEPS):
+        rows.filter(step == k).write.mode("append").parquet(source)
+        yield rows.sparkSession.readStream.schema(rows.schema).parquet(source)
+
+
+def _streamed_store(spark: SparkSession, sf_dir: str) -> tuple[SignalStore, str]:
+    """The tagged log as a stream, authenticated, landed out of order and folded in three steps."""
     base = fresh_dir(spark, "signals")
-    raw = derived.events_as_signals(_event_stream(spark, sf_dir))
-    named = raw.withColumn("risk_id", derived.pseudonymiser(spark).risk_id(F.col("account")))
-    ingest.land_signals(named.drop("account"), f"{base}/landed", f"{base}/progress").awaitTermination()
-    landed = ingest.landed(spark.read.parquet(f"{base}/landed"))
-    store = SignalStore(spark, f"{base}/store")
-    half = landed.agg(F.max("seq")).first()[0] // 2
-    store.advance(landed, upto=half)
-    store.advance(landed)
-    return store.outcomes().select("seq", "outcome")
+    log = derived.tagged_log(spark, sf_dir)
+    store, ring = SignalStore(spark, f"{base}/store"), derived.publishers(spark)
+    for stream in _landings(log, _step("seq"), f"{base}/source"):
+        ingest.land_signals(stream, f"{base}/landed", f"{base}/progress", ring).awaitTermination()
+        store.advance(ingest.admitted_signals(spark, f"{base}/landed"), QUOTA)
+    return store, f"{base}/landed"
+
+
+def stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the streamed log: a row is judged by what was stored when it landed."""
+    return _streamed_store(spark, sf_dir)[0].outcomes().select("seq", "outcome")
+
+
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream kept out of the store, and why."""
+    kept_out = ingest.quarantined(spark, _streamed_store(spark, sf_dir)[1])
+    return kept_out.select("seq", _text("violations"), "integrity")
+
+
+def stream_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored state after a compaction that purges what expired and keeps the most valuable accounts,
+    with the slots each bank then holds."""
+    store, _ = _streamed_store(spark, sf_dir)
+    store.compact(_end_of_log(spark, sf_dir), CAPACITY)
+    kept = store.current().select("risk_id", "source_bank_id", "seq", "risk_score")
+    return kept.join(store.holdings(), "source_bank_id")
 
 
 def stream_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transfers as a stream, decided against the accepted log and audited once each."""
+    """Transfers as a stream in three landings, retries in another landing than the request they repeat:
+    what lands first is decided against the accepted log and audited, once."""
     base = fresh_dir(spark, "transfers")
-    users = derived.table(spark, sf_dir, "events").agg(F.max("user_id") + 1).scalar()
-    stream = derived.events_as_transfers(_event_stream(spark, sf_dir), users)
-    ingest.land_transfers(
-        stream, derived.pseudonymiser(spark), f"{base}/landed", f"{base}/progress"
-    ).awaitTermination()
-    landed = ingest.landed(spark.read.parquet(f"{base}/landed"))
-    desk = TransferDesk(spark, f"{base}/desk")
-    desk.advance(
-        landed, _accepted(spark, sf_dir), derived.policies(spark), derived.outages(spark)
-    )
+    requests = derived.transfer_requests(spark, sf_dir, retries=True)
+    again = F.col("seq") >= derived.RETRY
+    step = (F.floor((F.col("seq") % derived.RETRY) / 50) + F.when(again, 1).otherwise(0)) % STEPS
+    desk, accepted = TransferDesk(spark, f"{base}/desk"), _accepted(spark, sf_dir)
+    for stream in _landings(requests, step, f"{base}/source"):
+        ingest.land_transfers(
+            stream, derived.pseudonymiser(spark), f"{base}/landed", f"{base}/progress"
+        ).awaitTermination()
+        landed = ingest.admitted_transfers(spark, f"{base}/landed")
+        desk.advance(landed, accepted, derived.policies(spark), derived.outages(spark))
     return desk.audit().select(
-        "transfer_id", "decision", "lookup_status", "risk_score", _text("contributing_banks")
+        "transfer_id", "decision", "lookup_status", "risk_score", _text("contributing_banks"), "decided_at"
     )
 
 
@@ -588,5 +620,7 @@ QUERIES: dict[str, Query] = {
     "local_baselines": local_baselines,
     "report": report,
     "stream_publish": stream_publish,
+    "stream_quarantine": stream_quarantine,
+    "stream_compact": stream_compact,
     "stream_decide": stream_decide,
 }

@@ -1,6 +1,8 @@
 """Deciding transfers end to end."""
 
-from dataclasses import dataclass
+from __future__ import annotations
+
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from riskweave.operators import lookup, transfers
 from riskweave.operators.barrier import computed_once
 from riskweave.operators.skew import ROWS_PER_TASK
 from riskweave.plans.publish import history_for
+from riskweave.sources.audit import append_audit, read_audit
 
 
 @dataclass(frozen=True)
@@ -23,6 +26,12 @@ class Decisions:
     quarantined: DataFrame
     rows_per_task: int
 
+    def stored(self, path: str) -> Decisions:
+        """The same with the audit appended to the table at `path` and read from there, so that what follows
+        decides nothing a second time."""
+        append_audit(self.audit, path)
+        return replace(self, audit=read_audit(self.audit.sparkSession, path))
+
     @property
     def responses(self) -> DataFrame:
         hot = transfers.hot_transfer_ids(self.requests, self.rows_per_task)

@@ -3,6 +3,7 @@
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from riskweave.operators import retention, signals, trust
 from riskweave.operators.lookup import SignalHistory, hot_accounts
@@ -63,8 +64,15 @@ def history_for(
     Heavy accounts are searched once, over signals and requests together, and the same list splits
     the classification and the lookup.
     """
-    valid = admitted(log, publishers)
     hot = hot_accounts(requests, log, rows_per_task)
-    classified = signals.classify_publishes(valid, quota, hot)
-    pairs = valid.select("risk_id", "source_bank_id")
-    return SignalHistory(signals.accepted(classified), pairs, hot)
+    classified = signals.classify_publishes(admitted(log, publishers), quota, hot)
+    return SignalHistory(signals.accepted(classified), _known_pairs(log, publishers), hot)
+
+
+def _known_pairs(log: DataFrame, publishers: DataFrame | None) -> DataFrame:
+    """At least the (account, bank) pairs of the admitted rows, without checking a tag a second time. Only
+    valid rows or banks that were ever registered count, so the banks of an account stay few."""
+    if publishers is None:
+        return signals.valid_signals(log).select("risk_id", "source_bank_id")
+    banks = publishers.select(F.col("bank_id").alias("source_bank_id")).distinct()
+    return log.select("risk_id", "source_bank_id").join(banks, "source_bank_id", "left_semi")

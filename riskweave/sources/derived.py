@@ -173,6 +173,10 @@ def tagged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Added to the number of a request by its retry.
+RETRY = 1_000_000_000_000
+
+
 def transfer_requests(spark: SparkSession, sf_dir: str, retries: bool = False) -> DataFrame:
     events = table(spark, sf_dir, "events")
     users = events.agg(F.max("user_id") + 1).scalar()
@@ -181,7 +185,7 @@ def transfer_requests(spark: SparkSession, sf_dir: str, retries: bool = False) -
         return requests
     again = requests.filter(F.col("seq") % 7 == 0).withColumns(
         {
-            "seq": F.col("seq") + 1_000_000_000_000,
+            "seq": F.col("seq") + RETRY,
             "request_ts": F.col("request_ts") + F.make_dt_interval(F.lit(0), F.lit(1)),
         }
     )

@@ -104,7 +104,7 @@ def test_uncommitted_version_is_invisible_and_replaced(spark):
     store.advance(log, upto=0)
     # A step that died after its first write leaves files without a commit marker.
     broken = log_frame(spark, [row(9)]).withColumn("outcome", F.lit("accepted"))
-    store.tables.write("outcomes", 2, broken)
+    store.tables.write("outcomes", 1, broken, "arrival_ts")
     assert store.outcomes().count() == 1
     assert store.advance(log) == 1
     assert sorted(r.seq for r in store.outcomes().collect()) == [0, 1]

@@ -11,6 +11,7 @@ from riskweave.functions import policy as rules
 from riskweave.functions.accounts import account_reject_reason, normalize_account
 from riskweave.functions.policy import PolicyConfig
 from riskweave.operators import (
+    descent,
     lookup,
     metrics,
     retention,
@@ -282,6 +283,7 @@ HOLDOUT = 0.2
 CAP = 20_000
 THRESHOLD = 60
 VERSION = "m-test"
+RATE = 0.05
 SHARES = shards.label_proportions(BANKS, 0.5, SEED)
 
 
@@ -377,24 +379,40 @@ def bank_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _bank_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One update per bank: the mean of every feature of its positive rows."""
-    positives = _lines(spark, sf_dir).filter(F.col("label") == 1)
-    exploded = positives.select("bank_id", F.posexplode("features").alias("pos", "value"))
-    return exploded.groupBy("bank_id", "pos").agg(
-        F.lit("w1").alias("layer"), F.avg("value").alias("value"), F.count(F.lit(1)).alias("n")
-    )
+def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One update per bank: its network after a step over all its rows."""
+    return training.full_batch_baselines(_lines(spark, sf_dir), fixed_network(), 1, RATE)
+
+
+def gradient_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradient of every bank over all its rows, from a common network."""
+    rows, net = _lines(spark, sf_dir), fixed_network()
+    found = descent.gradients(rows, descent.bank_table(rows, net), descent.shape_of(net))
+    exploded = found.select("bank_id", F.posexplode("gradient").alias("k", "value"))
+    return exploded.select("bank_id", F.col("k").cast("int").alias("k"), F.round("value", 6).alias("value"))
+
+
+def full_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two federated rounds of two full-batch steps at every bank."""
+    done = training.full_batch_rounds(_lines(spark, sf_dir), fixed_network(), 2, 2, RATE)
+    return done.network.table(spark).withColumn("value", F.round("value", 6))
+
+
+def full_batch_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bank alone, as many steps."""
+    alone = training.full_batch_baselines(_lines(spark, sf_dir), fixed_network(), 4, RATE)
+    return alone.withColumn("value", F.round("value", 6))
 
 
 def fedavg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    averaged = training.weighted_average(_bank_means(spark, sf_dir))
+    averaged = training.weighted_average(_updates(spark, sf_dir))
     return averaged.select("layer", "pos", F.round("value", 6).alias("value"), "n")
 
 
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The averaged update as saved and loaded by version."""
     path = fresh_dir(spark, "models")
-    averaged = training.weighted_average(_bank_means(spark, sf_dir))
+    averaged = training.weighted_average(_updates(spark, sf_dir))
     model_store.save_model(averaged, VERSION, path, {"n_features": 4})
     model_store.save_model(averaged.withColumn("value", F.col("value") + 1), "other", path)
     loaded = model_store.load_weights(spark, VERSION, path)
@@ -616,6 +634,9 @@ QUERIES: dict[str, Query] = {
     "degenerate": degenerate,
     "mean_metric": mean_metric,
     "model_table": model_table,
+    "gradient_step": gradient_step,
+    "full_batch_rounds": full_batch_rounds,
+    "full_batch_baselines": full_batch_baselines,
     "fed_rounds": fed_rounds,
     "local_baselines": local_baselines,
     "report": report,

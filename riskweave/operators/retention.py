@@ -54,7 +54,7 @@ def most_valuable_accounts(
             "__expiry": -timecols.micros(F.col("min_expires_at")),
         }
     )
-    # One row per account, read several times below.
+    # One row per account, read again for the result.
     ranked = checkpointed(ranked)
     order = ["__score", "__expiry", "risk_id"]
     finder = RankFinder(ranked, order)
@@ -93,13 +93,9 @@ def retain_audit(audit: DataFrame, capacity: int = K.DEFAULT_AUDIT_CAPACITY) ->
         raise ValueError("capacity must be positive")
     keyed = audit.withColumn("__newest", -timecols.micros(F.col("decided_at")))
     order = ["__newest", "transfer_id"]
-    keys = keyed.select(*order).persist()
-    try:
-        finder = RankFinder(keys, order)
-        total = finder.counts.get(None, 0)
-        last = finder.keys_at({None: [capacity]}).get((None, capacity))
-    finally:
-        keys.unpersist()
+    finder = RankFinder(keyed, order)
+    total = finder.counts.get(None, 0)
+    last = finder.keys_at({None: [capacity]}).get((None, capacity))
     if last is None:
         return RetainedAudit(audit, audit.filter(F.lit(False)), 0)
     recent = at_or_before(order, last)

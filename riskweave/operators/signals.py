@@ -147,19 +147,15 @@ def last_slots(log: DataFrame, quota: int, state: StoreState | None = None) -> D
 
     `last_at` is NULL for a bank whose slots were all taken before. None if no bank is over.
     """
-    slots = _first_publishes(log, state).persist()
-    try:
-        finder = RankFinder(slots, ["at", "seq"], group="source_bank_id")
-        held: dict[str, int] = {}
-        if state is not None:
-            held = {r["source_bank_id"]: r["accounts_held"] for r in state.holdings.collect()}
-        free = {bank: max(0, quota - held.get(bank, 0)) for bank in finder.counts}
-        over = [bank for bank, n in finder.counts.items() if n > free[bank]]
-        if not over:
-            return None
-        keys = finder.keys_at({bank: [free[bank]] for bank in over})
-    finally:
-        slots.unpersist()
+    finder = RankFinder(_first_publishes(log, state), ["at", "seq"], group="source_bank_id")
+    held: dict[str, int] = {}
+    if state is not None:
+        held = {r["source_bank_id"]: r["accounts_held"] for r in state.holdings.collect()}
+    free = {bank: max(0, quota - held.get(bank, 0)) for bank in finder.counts}
+    over = [bank for bank, n in finder.counts.items() if n > free[bank]]
+    if not over:
+        return None
+    keys = finder.keys_at({bank: [free[bank]] for bank in over})
     rows = [(bank, *keys.get((bank, free[bank]), (None, None))) for bank in over]
     return log.sparkSession.createDataFrame(
         rows, "source_bank_id string, last_at bigint, last_seq bigint"

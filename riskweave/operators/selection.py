@@ -113,6 +113,45 @@ class _Search:
     wanted: dict[int, dict[tuple, int]]
 
 
+def _few(entries: int) -> bool:
+    """Few enough to stand in an expression; more come as a table. Results are equal."""
+    return entries <= 200
+
+
+def _marked(
+    df: DataFrame, columns: list[tuple[Column, T.DataType]], into: str, kind: T.DataType, marks: dict[tuple, int]
+) -> DataFrame:
+    """Rows whose columns have one of the listed values (NULL included), with its mark as `into`."""
+    if _few(len(marks)):
+        mark = F.lit(None).cast(kind)
+        for values, number in marks.items():
+            same = reduce(lambda a, b: a & b, (c.eqNullSafe(F.lit(v)) for (c, _), v in zip(columns, values, strict=True)))
+            mark = F.when(same, number).otherwise(mark)
+        return computed_once(df.withColumn(into, mark), "sort-marks").filter(F.col(into).isNotNull())
+    fields = [T.StructField(f"__v{i}", t) for i, (_, t) in enumerate(columns)]
+    rows = [(*values, number) for values, number in marks.items()]
+    # As many rows as groups, or as ranks asked for.
+    table = df.sparkSession.createDataFrame(rows, T.StructType([*fields, T.StructField(into, kind)]))
+    same = [c.eqNullSafe(F.col(f.name)) for (c, _), f in zip(columns, fields, strict=True)]
+    return df.join(F.broadcast(table), same).drop(*(f.name for f in fields))
+
+
+def _bins(edges: dict[int, list[float]]) -> Column:
+    """How many of its node's edges a row's digit has reached."""
+    found = F.lit(None).cast("int")
+    for node, steps in edges.items():
+        reached = reduce(lambda a, b: a + b, ((F.col("__digit") >= F.lit(e)).cast("int") for e in steps))
+        found = F.when(F.col("__node") == node, reached).otherwise(found)
+    return found
+
+
+def _joined_bins(placed: DataFrame, edges: dict[int, list[float]]) -> DataFrame:
+    table = placed.sparkSession.createDataFrame(list(edges.items()), "__node int, __edges array<double>")
+    # As many rows as groups.
+    joined = placed.join(F.broadcast(table), "__node")
+    return joined.withColumn("__bin", F.size(F.filter("__edges", lambda e: e <= F.col("__digit")))).drop("__edges")
+
+
 class RankFinder:
     """Find sort keys by rank in `order` (ascending, NULL first), in each group of `group`."""
 
@@ -153,11 +192,8 @@ class RankFinder:
         groups = [g for g, rs in asked.items() if rs]
         if not groups:
             return {}
-        listed = self.keys.sparkSession.createDataFrame(
-            [(g, i) for i, g in enumerate(groups)], T.StructType([self.keys.schema["__g"], T.StructField("__node", T.IntegerType())])
-        ).withColumnRenamed("__g", "__listed")
-        # One row per group, of which there are few.
-        numbered = self.keys.join(F.broadcast(listed), F.col("__g").eqNullSafe(F.col("__listed"))).drop("__listed")
+        kind = self.keys.schema["__g"].dataType
+        numbered = _marked(self.keys, [(F.col("__g"), kind)], "__node", T.IntegerType(), {(g,): i for i, g in enumerate(groups)})
         search = _Search(
             numbered,
             {i: self.counts[g] for i, g in enumerate(groups)},
@@ -221,10 +257,11 @@ class RankFinder:
             node: self._bounds(search.grids[node], search.counts[node], list(wanted.values()))
             for node, wanted in search.wanted.items()
         }
-        spark = search.rows.sparkSession
-        table = F.broadcast(spark.createDataFrame(list(edges.items()), "__node int, __edges array<double>"))
-        placed = search.rows.withColumn("__digit", self._per_node(search.at, self._column)).join(table, "__node")
-        placed = placed.withColumn("__bin", F.size(F.filter("__edges", lambda e: e <= F.col("__digit")))).drop("__edges")
+        placed = search.rows.withColumn("__digit", self._per_node(search.at, self._column))
+        # Filters and comparisons that follow would repeat the expressions of both columns.
+        placed = computed_once(placed, "sort-digits")
+        placed = placed.withColumn("__bin", _bins(edges)) if _few(sum(map(len, edges.values()))) else _joined_bins(placed, edges)
+        placed = computed_once(placed, "sort-bins")
         text = self._per_node(search.at, self._text)
         ends = [F.count(F.lit(1)).alias("n"), F.min("__digit").alias("lo"), F.max("__digit").alias("hi")]
         ends += [F.min(text).alias("first"), F.max(text).alias("last")]
@@ -242,8 +279,9 @@ class RankFinder:
                     chosen.append((node, part["__bin"], child))
                     wanted_of[child], rows_of[child] = inside, part["n"]
                     at_of[child] = self._next_digit(search.at[node], part)
-        children = spark.createDataFrame(chosen, "__node int, __bin int, __child int")
-        inner = placed.join(F.broadcast(children), ["__node", "__bin"]).drop("__node", "__bin", "__digit")
+        of_bin = {(node, bin_): child for node, bin_, child in chosen}
+        columns = [(F.col("__node"), T.IntegerType()), (F.col("__bin"), T.IntegerType())]
+        inner = _marked(placed, columns, "__child", T.IntegerType(), of_bin).drop("__node", "__bin", "__digit")
         inner = inner.withColumnRenamed("__child", "__node")
         return self._finish(inner, wanted_of, at_of, rows_of, found)
 

@@ -132,3 +132,13 @@ def test_rows_without_bank_or_label_are_split_too(spark):
     assert capped.count() == 120 and capped.filter("label = 1").count() == 30
     with pytest.raises(ValueError, match="no bank"):
         shards.bank_sizes(df)
+
+
+def test_many_groups(spark):
+    """More groups than an expression lists."""
+    df = spark.range(3_000).select((F.col("id") % 301).alias("g"), (F.col("id") * 7919 % 3001).alias("v"))
+    found = RankFinder(df, ["v"], group="g", fetch_rows=4).keys_at({g: [1, 5] for g in range(301)})
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r.g, []).append(r.v)
+    assert found == {(g, k): (sorted(v)[k - 1],) for g, v in rows.items() for k in (1, 5)}

@@ -2,7 +2,7 @@
 
 import json
 import math
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import metrics, scoring, shards, training
 from riskweave.operators.training import TrainConfig
+from riskweave.sources import fraud_csv, model_table
+from riskweave.sources.shared import stored
 
 GLOBAL = "global"
 
@@ -27,7 +29,7 @@ class Experiment:
 
 def split(
     rows: DataFrame, config: TrainConfig, partition: str, time: str | None
-) -> tuple[DataFrame, tuple[str, ...] | None, str]:
+) -> tuple[DataFrame, tuple[str, ...], str]:
     """Add `bank_id` and `is_holdout`; also the bank names and the partitioning that was used.
 
     bank-identity: rows have a `bank_id`, each bank gives a random share. temporal: the end of the
@@ -37,8 +39,9 @@ def split(
     if partition == "auto":
         partition = "bank-identity" if "bank_id" in rows.columns else "temporal" if time else "dirichlet"
     if partition == "bank-identity":
-        held = shards.pooled_holdout(rows, config.holdout_frac, config.seed)
-        return held, None, partition
+        # Known before the holdout: a bank with nothing left to train on is an error, as elsewhere.
+        banks = tuple(shards.bank_sizes(rows))
+        return shards.pooled_holdout(rows, config.holdout_frac, config.seed), banks, partition
     if partition == "temporal":
         if time is None:
             raise ValueError("temporal shards need a time column")
@@ -68,24 +71,34 @@ def run_experiment(
     dataset: str = "rows",
     model_version: str = "v1",
 ) -> Experiment:
-    """Train and evaluate on `rows` (`id, label, features`, maybe `bank_id` and an integer `time`)."""
+    """Train and evaluate on `rows` (`id, label, features`, maybe `bank_id` and a `time` of any type that has an
+    order)."""
     config = config or TrainConfig()
     marked, banks, used = split(rows, config, partition, time)
     train = marked.filter(~F.col("is_holdout"))
     holdout = marked.filter("is_holdout").select("features", "label")
     sizes = shards.bank_sizes(train, banks)
+    # Written once: every round reads the blocks again, and a lost executor must not repeat the packing.
     blocks = training.pack_blocks(train, sizes, features, config)
-    blocks.frame.persist()
-    holdout.persist()
-    try:
-        baselines = training.local_baselines(blocks, config)
-        federated = training.federated_rounds(blocks, config)
-        measured = evaluate(holdout, {**baselines, GLOBAL: federated.network})
-        found = {r["model"]: r.asDict() for r in measured.collect()}  # one row per model
-    finally:
-        blocks.frame.unpersist()
-        holdout.unpersist()
-    report = _report(found, sizes, federated, config, used, features, dataset, model_version)
+    blocks = replace(blocks, frame=stored(blocks.frame, "blocks"))
+    holdout = stored(holdout, "holdout")
+    baselines = training.local_baselines(blocks, config)
+    federated = training.federated_rounds(blocks, config)
+    measured = evaluate(holdout, {**baselines, GLOBAL: federated.network})
+    found = {r["model"]: r.asDict() for r in measured.collect()}  # one row per model
+    report = {
+        "run": {
+            "data": dataset,
+            "model_version": model_version,
+            "banks_by": used,
+            "inputs": features,
+            "settings": asdict(config),
+            "rounds": federated.rounds_log,
+            "leaves_a_bank": ["parameters", "row counts"],
+        },
+        "models": [_model_row(name, row, sizes.get(name)) for name, row in sorted(found.items())],
+        "sharing": _sharing(found, list(sizes)),
+    }
     frame = rows.sparkSession.createDataFrame(
         [(m, *[float(r[k]) for k in metrics.METRICS], r["positives"], r["rows"]) for m, r in sorted(found.items())],
         "model string, " + ", ".join(f"{k} double" for k in metrics.METRICS)
@@ -114,31 +127,52 @@ def _mean(values: list[float]) -> float:
     return sum(known) / len(known) if known else math.nan
 
 
-def _report(found, sizes, federated, config, partition, features, dataset, version) -> dict:
-    def plain(row: dict) -> dict:
-        return {k: row[k] for k in (*metrics.METRICS, "positives", "rows")}
-
-    mean_local = {k: _mean([found[b][k] for b in sizes]) for k in metrics.METRICS}
-    return {
-        "dataset": dataset,
-        "partition": partition,
-        "num_banks": len(sizes),
-        "rounds": config.rounds,
-        "n_features": features,
-        "n_train": sum(n for n, _ in sizes.values()),
-        "n_holdout": found[GLOBAL]["rows"],
-        "holdout_positives": found[GLOBAL]["positives"],
-        "banks": [
-            {"bank_id": b, "n": n, "positives": p, "local": plain(found[b])}
-            for b, (n, p) in sizes.items()
-        ],
-        "mean_local": mean_local,
-        "global": plain(found[GLOBAL]),
-        "global_beats_mean_local_auc": found[GLOBAL]["auc"] > mean_local["auc"],
-        "privacy": {"raw_rows_shared": False, "server_sees": "weights and row counts only"},
-        "rounds_log": federated.rounds_log,
-        "model_version": version,
+def _model_row(name: str, measured: dict, size: tuple[int, int] | None) -> dict:
+    """A model with what it was fitted on (all banks, for the shared one) and how it did on the holdout."""
+    fitted = {"fitted_rows": size[0], "fitted_positives": size[1]} if size else {}
+    scores = {k: measured[k] for k in metrics.METRICS}
+    return {"model": name, **fitted, "tested_rows": measured["rows"], "tested_positives": measured["positives"], **scores}
+
+
+def _sharing(found: dict[str, dict], banks: list[str]) -> dict:
+    """Per metric, the mean of the banks alone, the shared model, and whether sharing raised it."""
+    out = {}
+    for k in metrics.METRICS:
+        alone, shared = _mean([found[b][k] for b in banks]), found[GLOBAL][k]
+        out[k] = {"alone": alone, "shared": shared, "raised": shared > alone}
+    return out
+
+
+def train_from_csv(
+    spark: SparkSession,
+    dataset: str,
+    path: str,
+    model_path: str,
+    report_path: str | None = None,
+    model_version: str = "v1",
+    config: TrainConfig | None = None,
+    partition: str = "auto",
+    max_rows: int | None = None,
+    schema: str | None = None,
+) -> Experiment:
+    """From a CSV file to a saved model: read and cap the rows, split them into banks, train, measure, and
+    append the shared model to the table at `model_path` and the report to `report_path`."""
+    config = config or TrainConfig()
+    loaded = fraud_csv.load_dataset(spark, dataset, path, schema, max_rows, config.seed)
+    rows = loaded.frame.withColumnRenamed("row_id", "id")
+    time = "event_time" if loaded.has_time else None
+    inputs = len(loaded.feature_names)
+    done = run_experiment(rows, inputs, config, partition, time, loaded.name, model_version)
+    about = {
+        "dataset": loaded.name,
+        "n_features": inputs,
+        "hidden": config.hidden,
+        "feature_names": list(loaded.feature_names),
     }
+    model_table.save_model(done.network.table(spark), model_version, model_path, about)
+    if report_path is not None:
+        write_report(spark, done.report, report_path)
+    return done
 
 
 def nan_to_null(value):

@@ -90,7 +90,7 @@ def test_offsets_do_not_depend_on_the_session(spark):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
-TRANSFER = ("txn-0042", "anu", "BANK-A", "ACC-999", 500_000, "INR")
+TRANSFER = ("pay-00731", "mira", "BANK-A", "ACC-999", 500_000, "INR")
 
 
 def transfer_cases():
@@ -99,7 +99,7 @@ def transfer_cases():
         return tuple(kw.get(n, v) for n, v in zip(names, TRANSFER))
 
     yield change(), []
-    yield change(user_ref="  anu "), []
+    yield change(user_ref="  mira "), []
     yield change(amount_minor=10**15), []
     for bad in (0, -5000, 10**16, None):
         yield change(amount_minor=bad), ["amount_range"]
@@ -109,7 +109,7 @@ def transfer_cases():
     yield change(user_ref=""), ["user_ref_length", "user_ref_blank"]
     yield change(user_ref="u" * 65), ["user_ref_length"]
     yield change(bank_id="B" * 33), ["bank_id_length"]
-    yield change(transfer_id="txn-042"), ["transfer_id_length"]
+    yield change(transfer_id="pay-073"), ["transfer_id_length"]
     yield change(receiver_account="!!"), []
     yield change(currency="inr"), ["currency_format"]
     yield change(currency="INR\n"), ["currency_format"]
@@ -126,13 +126,13 @@ def test_transfer_rules(spark):
     found = {r.seq: r.violations for r in transfers.with_violations(df).collect()}
     for i, (values, want) in enumerate(cases):
         assert found[i] == want, values
-    assert {r.user_ref for r in transfers.valid_transfers(df).collect()} == {"anu"}
+    assert {r.user_ref for r in transfers.valid_transfers(df).collect()} == {"mira"}
     total = transfers.valid_transfers(df).count() + transfers.quarantined_transfers(df).count()
     assert total == len(cases)
 
 
 def test_transfer_json(spark):
-    body = {"user_ref": "anu", "bank_id": "BANK-A", "receiver_account": "ACC-1", "amount_minor": 5}
+    body = {"user_ref": "mira", "bank_id": "BANK-A", "receiver_account": "ACC-1", "amount_minor": 5}
     raw = spark.createDataFrame(
         [(1, NOW, json.dumps(body)), (2, NOW, json.dumps({**body, "note": "x"}))],
         "seq bigint, request_ts timestamp_ntz, body string",
@@ -147,11 +147,11 @@ def test_transfer_json(spark):
 @pytest.mark.parametrize(
     "text, minor, why",
     [
-        ("5000.00", 500_000, None),
-        ("5000", 500_000, None),
+        ("8125.50", 812_550, None),
+        ("614", 61_400, None),
         (" 0.01 ", 1, None),
         ("1e3", 100_000, None),
-        ("100.005", None, "amount_precision"),
+        ("77.125", None, "amount_precision"),
         ("100.0000000000000000001", None, "amount_precision"),
         ("100.00000000000000000000", 10_000, None),
         ("NaN", None, "amount_invalid"),

@@ -22,7 +22,7 @@ SCHEMA = (
 
 def request(seq, hours, account="ACC-999", amount=500_000, txn=None):
     at = T0 + timedelta(hours=hours)
-    return (seq, at, txn or f"txn-{seq:05d}", "anu", "BANK-A", account, amount, "INR")
+    return (seq, at, txn or f"txn-{seq:05d}", "mira", "BANK-A", account, amount, "INR")
 
 
 def requests(spark, rows):

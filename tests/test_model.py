@@ -218,13 +218,14 @@ def banks_with_own_fraud(spark):
 def test_shared_model_beats_local_ones(spark, banks_with_own_fraud):
     done = experiment.run_experiment(banks_with_own_fraud, 4)
     r = done.report
-    assert r["partition"] == "bank-identity" and r["global_beats_mean_local_auc"]
-    assert r["n_train"] == 960 and r["n_holdout"] == 240 and len(r["banks"]) == 3
-    assert done.measured.count() == 4 and len(r["rounds_log"]) == 8
+    assert r["run"]["banks_by"] == "bank-identity" and r["sharing"]["auc"]["raised"]
+    models = {m["model"]: m for m in r["models"]}
+    assert sum(m.get("fitted_rows", 0) for m in models.values()) == 960 and len(models) == 4
+    assert done.measured.count() == 4 and len(r["run"]["rounds"]) == 8
     path = shared.fresh_dir(spark, "report")
     experiment.write_report(spark, {**r, "none": math.nan}, path)
     back = json.loads(spark.read.text(path).first()[0])
-    assert back["none"] is None and back["global"]["rows"] == 240
+    assert back["none"] is None and {m["tested_rows"] for m in back["models"]} == {240}
 
 
 def test_blocks_are_averaged_by_their_rows(banks_with_own_fraud):
@@ -292,8 +293,9 @@ def test_scores_of_odd_features_are_alike_at_every_size(spark, hidden):
 def test_other_partitions(banks_with_own_fraud, partition, time):
     config = TrainConfig(num_banks=2, rounds=1, local_epochs=1)
     r = experiment.run_experiment(banks_with_own_fraud.drop("bank_id"), 4, config, partition, time).report
-    assert r["partition"] == ("temporal" if time else "dirichlet")
-    assert r["n_train"] + r["n_holdout"] == 1200
+    assert r["run"]["banks_by"] == ("temporal" if time else "dirichlet")
+    tested = {m["tested_rows"] for m in r["models"]}
+    assert len(tested) == 1 and sum(m.get("fitted_rows", 0) for m in r["models"]) + tested.pop() == 1200
 
 
 def test_temporal_without_time_is_an_error(banks_with_own_fraud):
@@ -351,3 +353,36 @@ def test_card_not_present_csv(spark, tmp_path):
     assert fraud_csv.load_dataset(spark, "ieee", path, schema).frame.first().features == [9, 86400]
     with pytest.raises(ValueError):
         fraud_csv.load_dataset(spark, "other", path)
+
+
+def test_from_csv_to_a_saved_model(spark, tmp_path):
+    rng = random.Random(5)
+    lines = []
+    for i in range(300):
+        v = [round(rng.gauss(0, 1), 3) for _ in range(2)]
+        lines.append(f"{i // 4}.5,{v[0]},{v[1]},{rng.randint(0, 99)},{int(v[0] > 0.8)}")
+    lines += ["oops", "7.0,x,1,1,0", "8.0,1,1,1,"]
+    path = write_csv(tmp_path, "Time,V1,V2,Amount,Class", *lines)
+    schema = "Time double, V1 double, V2 double, Amount double, Class int"
+    models, report = shared.fresh_dir(spark, "models"), shared.fresh_dir(spark, "report")
+    config = TrainConfig(num_banks=2, rounds=1, local_epochs=1, hidden=3)
+    done = experiment.train_from_csv(spark, "ulb", path, models, report, "v7", config, schema=schema)
+    net, about = model_table.load_model(spark, "v7", models)
+    assert np.array_equal(net.w1, done.network.w1)
+    assert about["feature_names"] == ["V1", "V2", "log_amount"] and about["hidden"] == 3
+    written = json.loads(spark.read.text(report).first()[0])
+    assert written["run"]["banks_by"] == "temporal" and written["run"]["model_version"] == "v7"
+    loaded = fraud_csv.load_dataset(spark, "ulb", path, schema)
+    assert loaded.frame.count() == 300 and loaded.quarantined.count() == 3
+    assert {r._corrupt_record for r in loaded.quarantined.collect()} == {"oops", "7.0,x,1,1,0", None}
+    capped = fraud_csv.load_dataset(spark, "paysim", write_csv(tmp_path, "step,amount,isFraud", *(f"{i},1,0" for i in range(9))), max_rows=4)
+    assert sorted(r.event_time for r in capped.frame.collect()) == [0, 1, 2, 3]
+
+
+def test_a_bank_with_nothing_left_to_train_on_is_an_error(spark, banks_with_own_fraud):
+    one = spark.createDataFrame([("x", "BANK-Z", 1, [0.0] * 4, 1)], banks_with_own_fraud.schema)
+    with pytest.raises(ValueError, match="BANK-Z"):
+        experiment.run_experiment(banks_with_own_fraud.unionAll(one), 4)
+    lost = banks_with_own_fraud.withColumn("bank_id", F.when(F.col("t") > 5, F.col("bank_id")))
+    with pytest.raises(ValueError, match="no bank"):
+        experiment.run_experiment(lost, 4)

@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import constants as K
 
+#: Versions that may stand in an expression; `operators.policies` takes any number as a table.
 MAX_POLICY_VERSIONS = 10_000
+SETTING_TYPES = {
+    "step_up_at": "int",
+    "block_at": "int",
+    "step_up_above_amount_minor": "bigint",
+    "min_confidence_to_block": "double",
+    "min_banks_to_block": "int",
+    "on_bus_unavailable": "string",
+}
 
 
 @dataclass(frozen=True)
@@ -38,15 +47,7 @@ class PolicyConfig:
             raise ValueError("on_bus_unavailable must be step_up or block, never allow")
 
     def as_struct(self) -> Column:
-        types = {"step_up_above_amount_minor": "bigint", "min_confidence_to_block": "double"}
-        return F.struct(
-            *[
-                F.lit(getattr(self, f.name))
-                .cast(types.get(f.name, "string" if f.name == "on_bus_unavailable" else "int"))
-                .alias(f.name)
-                for f in fields(self)
-            ]
-        )
+        return F.struct(*[F.lit(getattr(self, name)).cast(kind).alias(name) for name, kind in SETTING_TYPES.items()])
 
 
 @dataclass(frozen=True)

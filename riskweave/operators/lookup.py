@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import timecols
@@ -163,7 +163,7 @@ def with_lookup_status(risk: DataFrame, outages: DataFrame | None = None) -> Dat
 
 
 def _outage_by_slot(risk: DataFrame, windows: DataFrame) -> DataFrame:
-    """Outages are cut into the hours of the requests' time range and joined by hour."""
+    """Outages are cut into the hours of the requests' time range, merged there, and joined by hour."""
     hour = 3_600_000_000
     now = timecols.micros(F.col("request_ts"))
     first, last = risk.agg(F.min(now), F.max(now)).first()
@@ -182,15 +182,12 @@ def _outage_by_slot(risk: DataFrame, windows: DataFrame) -> DataFrame:
             ),
         )
     )
-    slots = (
-        pieces.select(
-            "__slot",
-            F.greatest(F.col("__from") - F.col("__slot") * hour, F.lit(0)).alias("f"),
-            F.least(F.col("__to") - F.col("__slot") * hour, F.lit(hour)).alias("t"),
-        )
-        .groupBy("__slot")
-        .agg(F.collect_set(F.struct("f", "t")).alias("__windows"))
+    cut = pieces.select(
+        "__slot",
+        F.greatest(F.col("__from") - F.col("__slot") * hour, F.lit(0)).alias("f"),
+        F.least(F.col("__to") - F.col("__slot") * hour, F.lit(hour)).alias("t"),
     )
+    slots = _unions(cut).groupBy("__slot").agg(F.collect_list(F.struct("f", "t")).alias("__windows"))
     asked = risk.withColumns({"__slot": F.floor(now / hour), "__at": F.pmod(now, F.lit(hour))})
     if pieces.count() <= BROADCAST_PIECES:
         joined = asked.join(F.broadcast(slots), "__slot", "left")
@@ -202,3 +199,14 @@ def _outage_by_slot(risk: DataFrame, windows: DataFrame) -> DataFrame:
     return joined.withColumn("__down", F.coalesce(down, F.lit(False))).drop(
         "__slot", "__at", "__windows"
     )
+
+
+def _unions(cut: DataFrame) -> DataFrame:
+    """Overlapping and adjoining pieces (`f`, `t`) of an hour joined: an hour then has as many as it has
+    gaps, whatever the number of its outages. Of pieces with one start only the longest is sorted."""
+    longest = cut.groupBy("__slot", "f").agg(F.max("t").alias("t"))
+    order = Window.partitionBy("__slot").orderBy("f")
+    reached = F.max("t").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = (F.coalesce(reached, F.lit(-1)) < F.col("f")).cast("int")
+    numbered = longest.withColumn("__begins", begins).withColumn("__island", F.sum("__begins").over(order))
+    return numbered.groupBy("__slot", "__island").agg(F.min("f").alias("f"), F.max("t").alias("t"))

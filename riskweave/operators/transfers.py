@@ -11,6 +11,7 @@ from riskweave.functions import constants as K
 from riskweave.functions import policy as rules
 from riskweave.operators.barrier import computed_once
 from riskweave.operators.lookup import lookup
+from riskweave.operators.policies import PolicyTable
 from riskweave.operators.skew import (
     ROWS_PER_TASK,
     HotKeys,
@@ -125,9 +126,12 @@ def replay_decisions(
     )
 
 
-def apply_policy(risk: DataFrame, policies: rules.PolicyVersions, strict: bool = False) -> DataFrame:
+def apply_policy(risk: DataFrame, policies: rules.PolicyVersions | PolicyTable, strict: bool = False) -> DataFrame:
     """Add the `policy` in force at `request_ts` and the `decision` under it."""
-    with_policy = risk.withColumn("policy", policies.at(F.col("request_ts")))
+    if isinstance(policies, PolicyTable):
+        with_policy = policies.apply(risk)
+    else:
+        with_policy = risk.withColumn("policy", policies.at(F.col("request_ts")))
     return with_policy.withColumn(
         "decision",
         rules.decision(

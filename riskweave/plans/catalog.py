@@ -23,6 +23,7 @@ from riskweave.operators import (
     transfers,
     trust,
 )
+from riskweave.operators.policies import PolicyTable
 from riskweave.plans.decide import Decisions, decide_transfers, identify
 from riskweave.plans.experiment import run_experiment
 from riskweave.plans.publish import history_for, publish
@@ -193,6 +194,15 @@ def policy_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions under a policy that changes with every signup: a version for each instant of one."""
+    seen = lookup.with_lookup_status(_risk(spark, sf_dir), derived.outages(spark))
+    table = PolicyTable.of(derived.signup_policies(spark, sf_dir))
+    return transfers.apply_policy(seen, table).select(
+        "transfer_id", "policy.block_at", "policy.min_banks_to_block", "decision"
+    )
+
+
 def failsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence with an unknown status or without a score must end in the outage decision."""
     number = F.substring("transfer_id", 5, 8).cast("int")
@@ -350,7 +360,7 @@ def card_not_present(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == "R").cast("int").alias("isFraud"),
         F.datediff("l_shipdate", F.lit("1990-01-01")).alias("TransactionDT"),
         F.when(F.col("l_partkey") % 7 != 0, F.col("l_extendedprice")).alias("TransactionAmt"),
-        F.col("l_shipmode").alias("card4"),
+        F.col("l_returnflag").alias("card4"),
         F.col("l_suppkey").alias("addr1"),
     )
     rows = fraud_csv.card_not_present_rows(lines, drop=("addr1",)).frame
@@ -617,6 +627,7 @@ QUERIES: dict[str, Query] = {
     "lookup_status": lookup_status,
     "policy_decision": policy_decision,
     "policy_versions": policy_versions,
+    "policy_table": policy_table,
     "failsafe": failsafe,
     "idempotent": idempotent,
     "audit": audit,

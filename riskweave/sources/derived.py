@@ -240,6 +240,17 @@ def policy_table(spark: SparkSession) -> DataFrame:
     return frame.withColumn("valid_from", F.col("valid_from").cast("timestamp_ntz"))
 
 
+def signup_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy version at every instant of a signup, the last signup of the instant deciding."""
+    last = F.max("event_id")
+    starts = table(spark, sf_dir, "events").filter("event_type = 'signup'").groupBy("ts").agg(last.alias("n"))
+    return starts.select(
+        F.col("ts").alias("valid_from"),
+        (F.lit(50) + F.col("n") % 50).cast("int").alias("block_at"),
+        (1 + F.col("n") % 3).cast("int").alias("min_banks_to_block"),
+    )
+
+
 def policies(spark: SparkSession) -> PolicyVersions:
     return PolicyVersions.from_table(policy_table(spark))
 

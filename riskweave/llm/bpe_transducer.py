@@ -34,7 +34,7 @@ from riskweave.llm.pieces import UNIT, Cache, of_worker, splits_alone
 #: Determinised states kept before the table starts anew, and known neighbours.
 STATES = 100_000
 #: Matches, and pieces between spaces, whose ids a worker keeps per generation.
-CACHED = 120_000
+CACHED = 300_000
 NEIGHBOURS = 400_000
 #: Bytes after which certain tokens of one long match are emitted; longer than any token.
 LOOKAHEAD = 1024

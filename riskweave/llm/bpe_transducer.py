@@ -20,8 +20,9 @@ A null text is empty and has no ids. Repeated rows are encoded each.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from riskweave.llm.pieces import UNIT, Cache, of_worker, splits_alone
 
 #: Determinised states kept before the table starts anew, and known neighbours.
-STATES = 100_000
+STATES = 250_000
 #: Matches, and pieces between spaces, whose ids a worker keeps per generation.
 CACHED = 300_000
 NEIGHBOURS = 400_000
@@ -51,6 +52,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+class State(dict):
+    """byte -> (state after it, last token then); an entry is made when it is first asked for. `living` is
+    what the state stands for."""
+
+    __slots__ = ("living", "transducer")
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        found = self[byte] = self.transducer.move(self.living, byte)
+        return found
+
+
 class Transducer:
     """Bytes -> ids. After each byte the transducer names the last token of the encoding of all bytes
     read so far; where that token begins, the same holds, so the names lead back to the whole encoding.
@@ -76,13 +88,22 @@ class Transducer:
         self.longest = max(map(len, ranks))
         self.neighbours: dict[int, bool] = {}
         self.edges: dict[int, tuple[list, list]] = {}
+        self.states = {}
         self.start_anew()
 
     def start_anew(self) -> None:
-        # A state: what lives, as (token before + 1) << NODE_BITS | node. Oldest hypotheses first.
-        self.states: list[tuple[int, ...]] = [(ROOT,)]
-        self.numbers: dict[tuple[int, ...], int] = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, int]] = {}
+        for state in self.states.values():
+            state.clear()  # states refer to each other
+        # What lives in a state, as (token before + 1) << NODE_BITS | node, oldest hypotheses first -> the state.
+        self.states: dict[tuple[int, ...], State] = {}
+        self.start = self.state((ROOT,))
+
+    def state(self, living: tuple[int, ...]) -> State:
+        found = self.states.get(living)
+        if found is None:
+            found = self.states[living] = State()
+            found.living, found.transducer = living, self
+        return found
 
     def merged(self, data: bytes, least: int = 1) -> list[bytes]:
         """A few bytes merged by the definition, lowest rank first, down to `least` parts."""
@@ -147,39 +168,34 @@ class Transducer:
             else:
                 j += 1
 
-    def move(self, number: int, byte: int) -> tuple[int, int]:
+    def move(self, living: tuple[int, ...], byte: int) -> tuple[State, int]:
         """The state after `byte` and the last token then; made once, when first needed."""
         after, last = [], -1
-        for code in self.states[number]:
-            node = self.below.get((code & NODE_MASK) << 8 | byte)
+        below, ends, inner = self.below, self.ends, self.inner
+        for code in living:
+            node = below.get((code & NODE_MASK) << 8 | byte)
             if node is None:
                 continue
-            token = self.ends[node]
+            token = ends[node]
             if last < 0 <= token and self.allowed((code >> NODE_BITS) - 1, token):
                 last = token  # no other hypothesis can end here: an encoding is unique
-            if self.inner[node]:
+            if inner[node]:
                 after.append(code & ~NODE_MASK | node)
         after.append((last + 1) << NODE_BITS | ROOT)
-        state = tuple(after)
-        known = self.numbers.get(state)
-        if known is None:
-            known = self.numbers[state] = len(self.states)
-            self.states.append(state)
-        self.moves[number << 8 | byte] = known, last
-        return known, last
+        return self.state(tuple(after)), last
 
     def encode(self, data: bytes) -> list[int]:
         if len(self.states) > STATES:
             self.start_anew()
         out: list[int] = []
         lasts: list[int] = []
-        moves, number = self.moves, 0
-        for byte in data:
-            found = moves.get(number << 8 | byte)
-            number, last = found if found is not None else self.move(number, byte)
-            lasts.append(last)
-            if len(lasts) >= LOOKAHEAD:
+        state = self.start
+        for at in range(0, len(data), LOOKAHEAD):
+            if lasts:
                 lasts = self.emit_certain(lasts, out)
+            for byte in data[at : at + LOOKAHEAD]:
+                state, last = state[byte]
+                lasts.append(last)
         return out + self.traced(lasts, len(lasts))
 
     def traced(self, lasts: list[int], at: int) -> list[int]:
@@ -284,6 +300,20 @@ class Codec:
         yield decoder.end()
 
 
+def without_collector(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function without Python's cycle collector: it would walk the states and caches again and again,
+    and nothing here leaves cycles behind (`start_anew` takes the states apart)."""
+
+    def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return quiet
+
+
 def _select(docs: DataFrame, id_col: str, col: str, alias: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(col).alias(alias))
 
@@ -293,6 +323,7 @@ def encode_documents(
 ) -> DataFrame:
     """`doc_id` and `ids` of every whole text."""
 
+    @without_collector
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = of_worker(("codec", path, pattern), lambda: Codec(path, pattern))
         for batch in batches:
@@ -332,6 +363,7 @@ def round_trip(
     """`doc_id`, `n_tokens`, `ids_sha256` (of the decimal ids joined by commas) and `decoded_sha256` (of
     the bytes decoded from these ids), in one pass: no ids leave the task."""
 
+    @without_collector
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = of_worker(("codec", path, pattern), lambda: Codec(path, pattern))
         decimal = {i: str(i) for i in codec.token_bytes}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.llm.pieces import release
 from riskweave.sources.shared import fresh_dir
 
 #: A key is hot when it holds more than this share of the rows, so at most 1,000 keys are hot.
@@ -28,6 +32,18 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def free_workers(spark: SparkSession) -> None:
+    """Let the Python workers give up the models and caches of earlier stages. Small tasks, several per
+    core, reach the idle workers one after the other; a worker that none reaches keeps one model, as it would."""
+    tasks = 4 * spark.sparkContext.defaultParallelism
+
+    def give_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from batches
+
+    spark.range(0, tasks, 1, tasks).mapInArrow(give_up, "id long").write.format("noop").mode("overwrite").save()
+
+
 def remainder(key: Column, divisor: int) -> Column:
     """crc32 of the key's decimal text, modulo `divisor`. A missing key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % divisor

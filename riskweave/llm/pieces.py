@@ -7,6 +7,7 @@ seen, many in one call; a bounded cache keeps the results. Prose repeats its wor
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import sys
@@ -16,6 +17,7 @@ from collections.abc import Callable, Iterable, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 #: Pieces kept per generation; there are two. At most about 150 MB.
@@ -41,6 +43,13 @@ def of_worker(key: tuple, make: Callable[[], object]) -> object:
     return kept["made"]
 
 
+def release() -> None:
+    """Give up what the worker keeps, and the memory that Arrow holds ready."""
+    sys.modules.pop("_riskweave_worker", None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 class Cache(dict):
     """piece -> its result. Two generations: when the young one is full, it replaces the old one.
 

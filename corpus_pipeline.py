@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import exact_dedup, language_id, packing, simhash_trie, token_files, toxicity
-from riskweave.llm.common import stored, table
+from riskweave.llm.common import free_workers, stored, table
 from riskweave.llm.queries import END_ID, SEQUENCE_TOKENS
 from riskweave.sources.shared import fresh_dir
 
@@ -30,6 +30,7 @@ SURE_OF_LANGUAGE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_workers(spark)
     model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
     named = language_id.predict(docs, model)
     sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= SURE_OF_LANGUAGE)
@@ -37,20 +38,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_workers(spark)
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, net, lang_col="lang").where("NOT rejected").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_workers(spark)
     keyed = docs.withColumn("__text_key", exact_dedup.text_key())
     return exact_dedup.exact_dedup(keyed, "__text_key", "doc_id").where("kept").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_workers(spark)
     return simhash_trie.one_of_each_group(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_workers(spark)
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     files = token_files.write_token_files(docs, fresh_dir(spark, "packing"), tokenizer, END_ID)
     return packing.pieces(files, SEQUENCE_TOKENS)

@@ -16,6 +16,7 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# Limits and defaults of the contract.
 MAX_REASON_CODES = 8
 MIN_TTL_HOURS = 1
 MAX_TTL_HOURS = 168

@@ -81,7 +81,8 @@ def splits_alone(piece: str) -> bool:
 
 class PieceEncoder:
     """text -> ids as little-endian unsigned 32-bit integers, equal to encoding the text as a whole
-    with `add_special_tokens=False`; strings of special tokens are ordinary text."""
+    with `add_special_tokens=False`: strings of special tokens in a text are these tokens, and the text
+    between them is encoded part by part."""
 
     def __init__(self, path: str, cached: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,6 +92,13 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.normalizer = self.tokenizer.normalizer
         self.pre_tokenizer = self.tokenizer.pre_tokenizer
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens must match the text as it is")
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        # Of tokens that begin at one place, the longest counts.
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.at_added = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if added else None
         self.cached = cached
         self.words: dict[str, bytes] = {}
         #: A vocabulary that drops white space has no token for a space.
@@ -190,8 +198,18 @@ class PieceEncoder:
         return text.replace("\n", " \n").split(" ")
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Texts come in portions whose pieces fit into the cache twice over; a
-        larger portion only makes the cache larger meanwhile."""
+        """The ids of each text, split at its added tokens before anything else."""
+        if not any(token in text for text in texts for token in self.added):
+            return self.encode_parts(texts)
+        parts = list(map(self.at_added, texts))
+        between = iter(self.encode_parts([part for own in parts for part in own[::2]]))
+        return [
+            b"".join([self.added[part] if i % 2 else next(between) for i, part in enumerate(own)]) for own in parts
+        ]
+
+    def encode_parts(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without added tokens. Texts come in portions whose pieces fit into the cache
+        twice over; a larger portion only makes the cache larger meanwhile."""
         cut = [self.cut(t) for t in texts]
         wanted = set().union(*(c if self.drops_space else c[1:] for c in cut))
         self.learn(wanted)

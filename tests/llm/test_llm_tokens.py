@@ -21,14 +21,13 @@ from riskweave.sources.shared import fresh_dir
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ODD = st.lists(
-    st.sampled_from(list("ab é日👍́ \n\t \x1c\x85'.!123") + [" ", " ", "th", "ing", "'s", "<|endoftext|>", "ΑΣ", "İ"]),
+    st.sampled_from(list("ab é日👍́ \n\t \x1c\x85'.!123") + [" ", " ", "th", "ing", "'s", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "ΑΣ", "İ"]),
     max_size=25,
 ).map("".join)
 
 
 def whole(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -58,6 +57,18 @@ def test_pieces_encode_like_the_whole_text(path, documents):
     check()
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_strings_of_special_tokens_are_tokens(path):
+    encoder, expected = PieceEncoder(path), whole(path)
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = [
+        f"hi {end} you", end, end * 3, f"{end} ", f" {end}", f"a{end}b", f"a {end}\n{end} b  ", f"{start}x{end}", end[:-1],
+        f"<|endof{end}text|>", end.upper(), f"<{end}>", f"e\u0301{end}\u0301e", f"it{end}'s", "plain words", "", f"\n{end}\n",
+    ]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == [expected(t) for t in texts]
+    assert 50256 in expected(end) or 49407 in expected(end)
+
+
 def test_cache_is_bounded():
     cache = Cache(len, 10)
     assert [cache["x" * (i % 37)] for i in range(500)] == [i % 37 for i in range(500)]

@@ -71,6 +71,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token_bytes = {i: b for b, i in ranks.items()}
+        self.length = {i: len(b) for b, i in ranks.items()}
         # The trie: node and byte -> node, the token that ends at a node (or -1), whether it goes on.
         self.below: dict[int, int] = {}
         self.ends, self.inner = [-1], [True]
@@ -190,6 +191,11 @@ class Transducer:
         out: list[int] = []
         lasts: list[int] = []
         state = self.start
+        if len(data) <= LOOKAHEAD:
+            for byte in data:
+                state, last = state[byte]
+                lasts.append(last)
+            return self.traced(lasts, len(lasts))
         for at in range(0, len(data), LOOKAHEAD):
             if lasts:
                 lasts = self.emit_certain(lasts, out)
@@ -200,10 +206,13 @@ class Transducer:
 
     def traced(self, lasts: list[int], at: int) -> list[int]:
         back = []
+        length = self.length
         while at > 0:
-            back.append(lasts[at - 1])
-            at -= len(self.token_bytes[back[-1]])
-        return back[::-1]
+            token = lasts[at - 1]
+            back.append(token)
+            at -= length[token]
+        back.reverse()
+        return back
 
     def emit_certain(self, lasts: list[int], out: list[int]) -> list[int]:
         """Emit what all encodings of longer texts share. A token is at most `longest` bytes long, so
@@ -214,7 +223,7 @@ class Transducer:
         while all(len(t) > sure for t in traces) and len({t[sure] for t in traces}) == 1:
             sure += 1
         out += traces[0][:sure]
-        return lasts[sum(len(self.token_bytes[t]) for t in traces[0][:sure]) :]
+        return lasts[sum(self.length[t] for t in traces[0][:sure]) :]
 
 
 # UTF-8 as a state machine: bytes still missing, and the range of the next byte.
@@ -281,7 +290,15 @@ class Codec:
         return (whole,) if whole is not None else tuple(self.transducer.encode(data))
 
     def piece(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.words.__getitem__, self.matches(text))))
+        """The ids of a text between borders. A match that is a space and one more piece is looked up as that
+        piece, so it is kept once, whether it was met alone or with signs behind it."""
+        matches = self.matches(text)
+        if len(matches) == 1:
+            return self.word(text)
+        out: list[int] = []
+        for match in matches:
+            out += self.inner[match[1:]] if match[0] == " " and splits_alone(match[1:]) else self.words[match]
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text. Pieces between single spaces encode alone; a text with other white

@@ -14,7 +14,6 @@ import sys
 import types
 from array import array
 from collections.abc import Callable, Iterable, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,8 @@ LONGEST_CACHED = 64
 #: line's end may come before. These letters have lower case of one letter and are in normal form.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 SIMPLE = re.compile(r"(\n?)([" + LETTERS + r"]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: How a byte-level vocabulary writes a space and a line's end.
+SPACE, LINE = "\u0120", "\u010a"
 UNIT = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 
 
@@ -108,6 +109,8 @@ class PieceEncoder:
         self.written = {ord(c): "".join(w for w, _ in self.pre_tokenizer.pre_tokenize_str(c)) for c in marked}
         self.pieces: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
+        #: Pieces to forget after the portion.
+        self.long: list[str] = []
         self.first = Cache(self.alone, 1000)
 
     def ids_of_words(self, words: Iterable[str]) -> None:
@@ -140,34 +143,49 @@ class PieceEncoder:
         if len(self.pieces) + len(wanted) > self.cached:
             self.pieces, self.older = {}, self.pieces
         known, older = self.pieces, self.older
-        # A byte-level vocabulary writes the space before a word as the letter U+0120, a line's end as
-        # U+010A.
-        space, line = ("", "") if self.drops_space else ("\u0120", "\u010a")
-        simple, plain = [], []
-        for piece in wanted:
-            if piece in known:
-                continue
+        bare, signed, begun, plain = [], [], [], []
+        for piece in wanted.difference(known):
+            if len(piece) > LONGEST_CACHED:
+                self.long.append(piece)
             if piece in older:
                 known[piece] = older[piece]
             elif match := SIMPLE(piece):
                 begins, letters, rest = match.groups()
-                if self.drops_space:
-                    letters = letters.lower()
-                if not letters.isascii():
-                    letters = letters.translate(self.written)
-                simple.append((piece, begins and line, letters if begins else space + letters, rest))
+                if begins:
+                    begun.append((piece, self.as_written(letters), rest))
+                elif rest:
+                    signed.append((piece, letters, rest))
+                else:
+                    bare.append(piece)
             elif piece.split() == [piece]:
                 plain.append(piece)
             else:
                 known[piece] = self.alone(piece, " ")
-        self.ids_of_words(chain.from_iterable(words[1:] for words in simple))  # "" has no ids
+        self.learn_letters(bare)
+        # The letters in front of signs are a piece of their own, kept once.
+        new = {letters for _, letters, _ in signed}.difference(known)
+        known |= {letters: older[letters] for letters in new if letters in older}
+        self.learn_letters(new.difference(known))
+        self.long += [letters for letters in new if len(letters) > LONGEST_CACHED]
+        self.ids_of_words({rest for _, _, rest in signed}.union(*(own[1:] for own in begun), [LINE]))
         find = self.words.__getitem__
-        for piece, begins, word, rest in simple:
-            ids = find(word) + find(rest) if rest else find(word)
-            known[piece] = find(begins) + ids if begins else ids
+        for piece, letters, rest in signed:
+            known[piece] = known[letters] + find(rest)
+        for piece, word, rest in begun:
+            known[piece] = find(LINE) + find(word) + (find(rest) if rest else b"")
         for at in range(0, len(plain), TOGETHER):
             self.learn_together(plain[at : at + TOGETHER])
 
+    def as_written(self, letters: str) -> str:
+        return letters if letters.isascii() else letters.translate(self.written)
+
+    def learn_letters(self, pieces: Iterable[str]) -> None:
+        """Pieces of Latin letters: one word each, after its space."""
+        tokenize, known, lower = self.model.tokenize, self.pieces, self.drops_space
+        for piece in pieces:
+            word = self.as_written(piece.lower() if lower else piece)
+            known[piece] = array("I", [token.id for token in tokenize(word if lower else SPACE + word)]).tobytes()
+
     def keep(self, words_of: dict[str, Sequence[str]]) -> None:
         self.ids_of_words([w for words in words_of.values() for w in words])
         find = self.words.__getitem__
@@ -223,9 +241,9 @@ class PieceEncoder:
                     out.append(b"".join([self.first[pieces[0]], *map(find, pieces[1:])]))
             except TypeError:  # some white space is not a single space between pieces
                 out.append(b"".join(map(self.ids, UNIT.findall(text))))
-        for piece in wanted:
-            if len(piece) > LONGEST_CACHED:
-                self.pieces.pop(piece)
+        for piece in self.long:
+            self.pieces.pop(piece, None)
+        self.long = []
         return out
 
     def encode(self, text: str) -> bytes:

@@ -32,6 +32,14 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one where `df` has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def free_workers(spark: SparkSession) -> None:
     """Let the Python workers give up the models and caches of earlier stages. Small tasks, several per
     core, reach the idle workers one after the other; a worker that none reaches keeps one model, as it would."""

@@ -14,7 +14,8 @@ with a filter of its own; results are equal at every size.
 
 Nulls: a null key column is not allowed (callers define what a null text means); a null order value is
 the smallest. Of rows that tie in key and order value, exactly one stays. Added columns replace input
-columns of the same name.
+columns of the same name; columns used inside take names that the input doesn't have. Texts of any length
+are hashed whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import join_by_group, stored
+from riskweave.llm.common import fresh_name, join_by_group, stored
 
 BITS_PER_ROW = 16
 MAX_FILTER_BYTES = 64 << 20
@@ -128,10 +129,11 @@ def exact_dedup(df: DataFrame, key: str, order: str, max_filter_bytes: int = MAX
     filters = -(-blocks_for(total) * BLOCK_BITS // 8 // max_filter_bytes)
     if filters == 1:
         return dedup_with_filter(df, key, order, blocks_for(total), total)
-    dealt = stored(df.withColumn("__deal", F.pmod(F.xxhash64(F.lit("deal"), key), F.lit(filters))), "deal", "__deal")
+    deal = fresh_name(df, "deal")
+    dealt = stored(df.withColumn(deal, F.pmod(F.xxhash64(F.lit("deal"), key), F.lit(filters))), "deal", deal)
     out = None
     for i in range(filters):
-        own = dealt.where(F.col("__deal") == i).drop("__deal")
+        own = dealt.where(F.col(deal) == i).drop(deal)
         part = dedup_with_filter(own, key, order, blocks_for(-(-total // filters)), total)
         out = part if out is None else out.unionByName(part)
     return out
@@ -140,6 +142,7 @@ def exact_dedup(df: DataFrame, key: str, order: str, max_filter_bytes: int = MAX
 def dedup_with_filter(df: DataFrame, key: str, order: str, blocks: int, total: int) -> DataFrame:
     spark = df.sparkSession
     h = F.xxhash64(key)
+    maybe, row, head = (fresh_name(df, name) for name in ("maybe", "row", "head"))
     bits = spark.sparkContext.broadcast(bytes(repeated_filter(df.select(h.alias("h")), blocks)))
 
     @F.pandas_udf("boolean")
@@ -148,20 +151,20 @@ def dedup_with_filter(df: DataFrame, key: str, order: str, blocks: int, total: i
         table = np.frombuffer(bits.value, dtype=np.uint8)
         return pd.Series(((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0))
 
-    tested = df.withColumn("__again", maybe_repeated(h))
-    unique = tested.where(~F.col("__again")).drop("__again").select(
+    tested = df.withColumn(maybe, maybe_repeated(h))
+    unique = tested.where(~F.col(maybe)).drop(maybe).select(
         "*", F.col(order).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
-    again = tested.where("__again").drop("__again").withColumn("__row", F.monotonically_increasing_id())
+    again = tested.where(F.col(maybe)).drop(maybe).withColumn(row, F.monotonically_increasing_id())
     again = stored(again, "repeats")
-    head = F.max(F.struct(F.col(order).alias("id"), F.col("__row").alias("row"))).alias("__head")
-    groups = stored(again.groupBy(key).agg(head, F.count(F.lit(1)).alias("group_size")), "groups")
+    last = F.max(F.struct(F.col(order).alias("id"), F.col(row).alias("row"))).alias(head)
+    groups = stored(again.groupBy(key).agg(last, F.count(F.lit(1)).alias("group_size")), "groups")
     joined = join_by_group(again, groups, key, "group_size", total)
     marked = joined.select(
         *df.columns,
-        F.col("__head.id").alias("keep_id"),
+        F.col(f"{head}.id").alias("keep_id"),
         "group_size",
-        (F.col("__row") == F.col("__head.row")).alias("kept"),
+        (F.col(row) == F.col(f"{head}.row")).alias("kept"),
     )
     return unique.unionByName(marked)
 

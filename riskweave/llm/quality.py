@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import WHITE, remainder, stored
+from riskweave.llm.common import WHITE, fresh_name, remainder, stored
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -56,16 +56,17 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def counted(found: Column) -> Column:
         return F.struct(F.size(found).alias("n_words"), repeated_words(F.transform(found, lambda word: F.xxhash64(word))).alias("n_repeat"))
 
+    of_lines, of_words = fresh_name(docs, "of_lines"), fresh_name(docs, "of_words")
     return (
-        docs.withColumn("__lines", bound(lines, lengths))
-        .withColumn("__words", bound(words, counted))
-        .withColumn("n_words", F.col("__words.n_words").cast("long"))
+        docs.withColumn(of_lines, bound(lines, lengths))
+        .withColumn(of_words, bound(words, counted))
+        .withColumn("n_words", F.col(f"{of_words}.n_words").cast("long"))
         .withColumn("word_chars", F.length(F.translate(spaced, " ", "")).cast("long"))
         .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
-        .withColumn("n_lines", F.col("__lines.n_lines").cast("long"))
-        .withColumn("n_dup_lines", F.col("__lines.n_dup").cast("long"))
-        .withColumn("n_repeat_words", F.col("__words.n_repeat").cast("long"))
-        .drop("__lines", "__words")
+        .withColumn("n_lines", F.col(f"{of_lines}.n_lines").cast("long"))
+        .withColumn("n_dup_lines", F.col(f"{of_lines}.n_dup").cast("long"))
+        .withColumn("n_repeat_words", F.col(f"{of_words}.n_repeat").cast("long"))
+        .drop(of_lines, of_words)
     )
 
 

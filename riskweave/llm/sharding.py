@@ -20,7 +20,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import join_by_group, stored
+from riskweave.llm.common import fresh_name, join_by_group, stored
 from riskweave.llm.ordered import prefix_sums
 
 FANOUT = 4096
@@ -187,7 +187,10 @@ def with_shards(docs: DataFrame, shards: int = 8, text_col: str = "text", **kwar
     """The documents themselves with their `shard`, for a write partitioned by it. A document's shard
     follows from its text alone, so the assignment is joined by the text's key."""
     placed = shard_by_bytes(docs, shards, text_col=text_col, **kwargs)
-    by_key = stored(placed.groupBy("text_key").agg(F.first("shard").alias("shard"), F.count(F.lit(1)).alias("__n")), "shards")
+    docs = docs.drop("shard")
+    text_key, n = fresh_name(docs, "text_key"), fresh_name(docs, "n")
+    by_key = placed.groupBy(F.col("text_key").alias(text_key)).agg(F.first("shard").alias("shard"), F.count(F.lit(1)).alias(n))
+    by_key = stored(by_key, "shards")
     key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    keyed = docs.drop("shard").withColumn("text_key", key)
-    return join_by_group(keyed, by_key, "text_key", "__n", docs.count()).drop("text_key", "__n")
+    keyed = docs.withColumn(text_key, key)
+    return join_by_group(keyed, by_key, text_key, n, docs.count()).drop(text_key, n)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import join_by_group, stored
+from riskweave.llm.common import fresh_name, join_by_group, stored
 from riskweave.llm.components import components
 
 BITS = 64
@@ -293,16 +293,17 @@ def one_of_each_group(
     """The documents without near-duplicates: of each component the row with the smallest id stays (a
     null id is the largest; of rows that tie, one). Columns are kept as they are."""
     # Rows are numbered and stored once, so that a number means the same row ever after.
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    read = numbered.select("__row", F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
+    row = fresh_name(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    read = numbered.select(F.col(row).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
     rows = stored(read.mapInArrow(fingerprints, "__row long, __id long, fp long"), "simhash")
     grouped = stored(near_groups(rows, "__row", budget), "grouped")
     head = F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__row")).alias("head")
     heads = grouped.groupBy("component_id").agg(head).select(F.col("head.__row").alias("__row"), F.lit(True).alias("stays"))
-    dropped = stored(grouped.select("__row").join(heads, "__row", "left").where("stays IS NULL").select("__row"), "dropped")
+    dropped = stored(grouped.select("__row").join(heads, "__row", "left").where("stays IS NULL").select(F.col("__row").alias(row)), "dropped")
     # Few rows to drop are broadcast; many are shuffled, by a number that no two rows share.
     few = F.broadcast(dropped) if dropped.count() <= small else dropped
-    return numbered.join(few, "__row", "left_anti").drop("__row")
+    return numbered.join(few, row, "left_anti").drop(row)
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:

@@ -3,7 +3,11 @@ import pytest
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside, or add.
-CLASHES = "part long, start string, score string, kept string, keep_id string, fp string, row string, h string, word string"
+CLASHES = (
+    "part long, start string, score string, kept string, keep_id string, fp string, row string, h string, word string, "
+    "__row string, __id string, __text_key string, text_key string, head string, maybe string, deal string, n string, "
+    "threshold string, rejected string, __n string, __lines string, __words string"
+)
 
 
 def edge_rows():
@@ -27,8 +31,8 @@ def edge_rows():
 
 @pytest.fixture
 def edge_docs(spark):
-    rows = [(*r, *("9" * 9)) for r in edge_rows()]
-    return spark.createDataFrame([(*r[:5], 1, *map(str, r[6:])) for r in rows], f"{COLUMNS}, {CLASHES}")
+    clashing = CLASHES.count(",")  # and one number
+    return spark.createDataFrame([(*r, 1, *["9"] * clashing) for r in edge_rows()], f"{COLUMNS}, {CLASHES}")
 
 
 @pytest.fixture

@@ -33,5 +33,5 @@ def test_pipeline_edges(spark, edge_docs, no_docs, sf_dir):
         docs = start
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stored(stage(spark, docs, sf_dir), "t")
-            assert docs.columns == start.columns
+            assert docs.columns == start.columns and docs.exceptAll(start).count() == 0
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= docs.count()

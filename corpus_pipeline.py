@@ -12,6 +12,7 @@ the last stage return the columns of the documents they are given.
 5. packing: what is left, cut into sequences of 4,096 tokens; a row per piece.
 
 Nulls and repeated rows are handled as the operators state. A null text has no letter and goes first.
+Columns of the documents keep their values also where an operator adds one of the same name.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import exact_dedup, language_id, packing, simhash_trie, token_files, toxicity
-from riskweave.llm.common import free_workers, stored, table
+from riskweave.llm.common import free_workers, fresh_name, stored, table
 from riskweave.llm.queries import END_ID, SEQUENCE_TOKENS
 from riskweave.sources.shared import fresh_dir
 
@@ -29,24 +30,39 @@ from riskweave.sources.shared import fresh_dir
 SURE_OF_LANGUAGE = 0.5
 
 
+def set_aside(docs: DataFrame, *added: str) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with columns renamed that an operator would replace, and the way back."""
+    back = {}
+    for name in docs.columns:
+        if name.lower() in added:
+            back[fresh_name(docs, name)] = name
+            docs = docs.withColumnRenamed(name, fresh_name(docs, name))
+    return docs, back
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     free_workers(spark)
     model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    named = language_id.predict(docs, model)
+    apart, back = set_aside(docs, "lang_pred", "score")
+    named = language_id.predict(apart, model)
     sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= SURE_OF_LANGUAGE)
-    return named.where(sure).select(*docs.columns)
+    return named.where(sure).select(*apart.columns).withColumnsRenamed(back)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     free_workers(spark)
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net, lang_col="lang").where("NOT rejected").select(*docs.columns)
+    apart, back = set_aside(docs, "score", "threshold", "rejected")
+    scored = toxicity.score(apart, net, lang_col="lang").where("NOT rejected")
+    return scored.select(*apart.columns).withColumnsRenamed(back)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     free_workers(spark)
-    keyed = docs.withColumn("__text_key", exact_dedup.text_key())
-    return exact_dedup.exact_dedup(keyed, "__text_key", "doc_id").where("kept").select(*docs.columns)
+    apart, back = set_aside(docs, "keep_id", "group_size", "kept")
+    key = fresh_name(apart, "text_key")
+    marked = exact_dedup.exact_dedup(apart.withColumn(key, exact_dedup.text_key()), key, "doc_id").where("kept")
+    return marked.select(*apart.columns).withColumnsRenamed(back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,13 @@ product over its words. The piece probabilities are fitted by expectation-maximi
 Spark tasks run forward and backward over the word counts of the sample and return expected counts of
 the pieces. The prediction is the most likely language, its score the posterior with equal priors.
 
-Words are parted by white space, lowered, freed from signs at their ends, and begin with the vocabulary's
-word mark. A word of more than
-`SPAN` characters is read in spans of that many; no character is left out. A character without a piece
-counts as the unknown piece.
+The posterior says which learned language is nearest, not whether the text is in one: some language wins
+any text. For that, `predict` can add the log-probability per character in the language it chose, and
+`ordinary` compares it with the other texts of that language.
+
+Words are parted by white space, lowered, freed from signs at their ends (a word of signs alone keeps
+them; signs at the ends of others are not scored), and begin with the vocabulary's word mark. Words of
+any length are read whole, in logarithms. A character without a piece counts as the unknown piece.
 
 Fitted on about `SAMPLE` distinct texts per language (all, if there are fewer), chosen by a hash of the
 text among the rows given. Rows with a null or empty text, or a null language, teach nothing. A text that
@@ -19,7 +22,7 @@ is null or has no letter is `und` with score 1; if there is no language to learn
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,9 +39,14 @@ from riskweave.llm.rows import RowTable, portions, summed
 UNDETERMINED = "und"
 SAMPLE = 1500
 ROUNDS = 4
-SPAN = 32
-BLOCK = 8192
+#: Places (characters of all words) that a block of words holds; a longer word is a block of its own.
+PLACES = 1 << 18
+#: Words of a block, and starts whose pieces are looked up together.
+BLOCK, STARTS = 8192, 4096
 SMOOTHING, FLOOR = 0.01, 1e-9
+#: How far below the lower quartile of its language a text's log-probability per character may be: so many
+#: distances of the quartiles, but at least `SLACK`, as long texts of one kind lie close together.
+FENCES, SLACK = 3.0, 1.5
 MARK = "▁"
 EDGE = ".,;:!?\"'()[]{}#*$%&|<>-_"
 LETTER = regex.compile(r"\p{L}")
@@ -63,63 +71,75 @@ class Pieces:
         #: Every beginning of a piece: the number of the piece that it is, or -1.
         self.begun = {p[:k]: -1 for p in self.numbers for k in range(1, len(p) + 1)} | self.numbers
 
-    def spans(self, words: Iterable[str]) -> tuple[list[str], np.ndarray]:
-        """All spans of the words, and the word of each."""
-        spans, owner = [], []
-        for i, word in enumerate(words):
-            word = MARK + word_form(word)
-            for at in range(0, len(word), SPAN):
-                spans.append(word[at : at + SPAN])
-                owner.append(i)
-        return spans, np.array(owner, dtype=np.int64)
-
-    def edges(self, spans: list[str]) -> np.ndarray:
-        """Rows (span, start, end, piece) of every piece in every span, by end and start."""
+    def edges(self, words: list[str], first: int, last: int) -> np.ndarray:
+        """Rows (word, start, end, piece) of every piece that starts at the places from `first` to before
+        `last`, by start; of one word and start, each end occurs once."""
         begun, unknown, longest = self.begun.get, self.unknown, self.longest
         out: list[int] = []  # one number per edge
-        for k, span in enumerate(spans):
-            n = len(span)
-            for i in range(n):
-                at = (i + 1 << 6 | i) << 40 | k << 16  # end, start, span, piece
-                if begun(span[i], -1) < 0:
+        for k, word in enumerate(words):
+            n = len(word)
+            for i in range(first, min(n, last)):
+                at = (i - first) << 48 | k << 32 | 1 << 16  # start, word, length, piece
+                if begun(word[i], -1) < 0:
                     out.append(at | unknown)
                 for j in range(i + 1, min(n, i + longest) + 1):
-                    piece = begun(span[i:j])
+                    piece = begun(word[i:j])
                     if piece is None:
                         break
                     if piece >= 0:
                         out.append(at | piece)
-                    at += 1 << 46
+                    at += 1 << 16
         codes = np.sort(np.array(out, dtype=np.int64))
-        return np.stack([codes >> 16 & 0xFFFFFF, codes >> 40 & 63, codes >> 46, codes & 0xFFFF], axis=1)
+        start = (codes >> 48) + first
+        return np.stack([codes >> 32 & 0xFFFF, start, start + (codes >> 16 & 0xFFFF), codes & 0xFFFF], axis=1)
+
+    def lattice(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Edges of the words, portion by portion, by start."""
+        for first in range(0, max(map(len, words)), STARTS):
+            yield self.edges(words, first, first + STARTS)
+
+
+def marked(word: str) -> str:
+    return MARK + word_form(word)
+
 
+def blocks(words: list[str]) -> Iterator[list[int]]:
+    """Numbers of the words, in blocks of like lengths."""
+    own: list[int] = []
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if own and (len(own) >= BLOCK or (len(own) + 1) * len(words[i]) > PLACES):
+            yield own
+            own = []
+        own.append(i)
+    if own:
+        yield own
 
-def groups(edges: np.ndarray) -> list[slice]:
-    """Edges of equal start and end: at most one of each span."""
+
+def by_start(edges: np.ndarray) -> list[slice]:
     if not len(edges):
         return []
-    cut = np.flatnonzero(np.diff(edges[:, 2] << 6 | edges[:, 1])) + 1
+    cut = np.flatnonzero(np.diff(edges[:, 1])) + 1
     return [slice(a, b) for a, b in zip([0, *cut], [*cut, len(edges)], strict=True)]
 
 
-def forward(edges: np.ndarray, parts: list[slice], p: np.ndarray, spans: int) -> np.ndarray:
-    """[span, place, ...]: summed probability of all segmentations of the span up to the place. `p` has a
-    row for each edge. At most SPAN factors above FLOOR: no underflow."""
-    alpha = np.zeros((spans, SPAN + 1, *p.shape[1:]))
-    alpha[:, 0] = 1
-    for part in parts:
-        who, start, end = edges[part, 0], edges[part.start, 1], edges[part.start, 2]
-        alpha[who, end] += alpha[who, start] * p[part]
-    return alpha
+def nothing_yet(words: list[str], *more: int) -> np.ndarray:
+    """[word, place, ...]: log 0."""
+    return np.full((len(words), max(map(len, words)) + 1, *more), -np.inf)
+
+
+def forward(alpha: np.ndarray, edges: np.ndarray, log_p: np.ndarray) -> None:
+    """Carries alpha over the edges: alpha[word, place, ...] is the logarithm of the summed probability of
+    all segmentations up to the place. `log_p` has a row for each edge."""
+    for part in by_start(edges):
+        who, start, end = edges[part, 0], edges[part.start, 1], edges[part, 2]
+        alpha[who, end] = np.logaddexp(alpha[who, end], alpha[who, start] + log_p[part])
 
 
-def backward(edges: np.ndarray, parts: list[slice], p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    beta = np.zeros((len(lengths), SPAN + 1))
-    beta[np.arange(len(lengths)), lengths] = 1
-    for part in sorted(parts, key=lambda s: -edges[s.start, 1]):
-        who, start, end = edges[part, 0], edges[part.start, 1], edges[part.start, 2]
-        beta[who, start] += beta[who, end] * p[part]
-    return beta
+def backward(beta: np.ndarray, edges: np.ndarray, log_p: np.ndarray) -> None:
+    """Likewise from the ends of the words to their beginnings."""
+    for part in reversed(by_start(edges)):
+        who, start, end = edges[part, 0], edges[part.start, 1], edges[part, 2]
+        np.logaddexp.at(beta[:, start], who, beta[who, end] + log_p[part])
 
 
 @dataclass(frozen=True)
@@ -160,23 +180,27 @@ def fit(
         def expected(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             pieces, p = Pieces(pieces_path), shared.value
             counts = np.zeros(p.size)
+            logs = np.log(p)
             for batch in batches:
-                spans, owner = pieces.spans(batch.column("word").to_pylist())
-                lang = np.array([numbers[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)[owner]
-                n = batch.column("n").to_numpy(zero_copy_only=False)[owner]
-                for at in range(0, len(spans), BLOCK):
-                    own = spans[at : at + BLOCK]
-                    edges = pieces.edges(own)
-                    parts = groups(edges)
-                    of = lang[at : at + BLOCK][edges[:, 0]]
-                    q = p[edges[:, 3], of]
-                    lengths = np.array([len(s) for s in own])
-                    alpha = forward(edges, parts, q, len(own))
-                    beta = backward(edges, parts, q, lengths)
-                    whole = alpha[np.arange(len(own)), lengths]
-                    who = edges[:, 0]
-                    weight = n[at : at + BLOCK][who] * alpha[who, edges[:, 1]] * q * beta[who, edges[:, 2]] / whole[who]
-                    counts += np.bincount(edges[:, 3] * p.shape[1] + of, weights=weight, minlength=p.size)
+                words = [marked(w) for w in batch.column("word").to_pylist()]
+                lang = np.array([numbers[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
+                n = batch.column("n").to_numpy(zero_copy_only=False)
+                for block in blocks(words):
+                    own = [words[i] for i in block]
+                    alpha, beta = nothing_yet(own), nothing_yet(own)
+                    ends = np.arange(len(own)), np.array([len(w) for w in own])
+                    alpha[:, 0], beta[ends] = 0, 0
+                    lattice = [(e, lang[block][e[:, 0]]) for e in pieces.lattice(own)]
+                    for edges, of in lattice:
+                        forward(alpha, edges, logs[edges[:, 3], of])
+                    for edges, of in reversed(lattice):
+                        backward(beta, edges, logs[edges[:, 3], of])
+                    whole = alpha[ends]
+                    for edges, of in lattice:
+                        who, start, end, piece = edges.T
+                        use = alpha[who, start] + logs[piece, of] + beta[who, end] - whole[who]
+                        weight = n[block][who] * np.exp(use)
+                        counts += np.bincount(piece * p.shape[1] + of, weights=weight, minlength=p.size)
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["cell", "n"])
 
@@ -190,10 +214,10 @@ def fit(
 
 
 class Scorer:
-    """Log-probabilities of words in all languages."""
+    """Of each word: its log-probability in every language, then its length with the word mark."""
 
     def __init__(self, model: dict):
-        self.pieces, self.p = Pieces(model["path"]), model["p"]
+        self.pieces, self.logs = Pieces(model["path"]), np.log(model["p"])
         self.forms = RowTable(self.form_rows)
         self.table = RowTable(self.word_rows)
 
@@ -201,22 +225,26 @@ class Scorer:
         rows = self.forms.rows([word_form(w) for w in words])
         return self.forms.values[rows]
 
-    def form_rows(self, words: list[str]) -> np.ndarray:
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))  # blocks of like lengths
-        out = np.zeros((len(words), self.p.shape[1]))
-        spans, owner = self.pieces.spans([words[i] for i in order])
-        for at in range(0, len(spans), BLOCK):
-            own = spans[at : at + BLOCK]
-            edges = self.pieces.edges(own)
-            alpha = forward(edges, groups(edges), self.p[edges[:, 3]], len(own))
-            logs = np.log(alpha[np.arange(len(own)), [len(s) for s in own]])
-            np.add.at(out, np.array(order)[owner[at : at + BLOCK]], logs)
+    def form_rows(self, forms: list[str]) -> np.ndarray:
+        languages = self.logs.shape[1]
+        out = np.zeros((len(forms), languages + 1))
+        words = [MARK + form for form in forms]
+        for block in blocks(words):
+            own = [words[i] for i in block]
+            alpha = nothing_yet(own, languages)
+            alpha[:, 0] = 0
+            for edges in self.pieces.lattice(own):
+                forward(alpha, edges, self.logs[edges[:, 3]])
+            lengths = np.array([len(w) for w in own])
+            out[block, :languages] = alpha[np.arange(len(own)), lengths]
+            out[block, languages] = lengths
         return out
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Adds `lang_pred` and `score` to the documents; they replace columns of these names."""
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", rate_col: str | None = None) -> DataFrame:
+    """Adds `lang_pred` and `score` to the documents, and under `rate_col` the log-probability per character
+    (a word mark counts as one) in that language, null for `und`; they replace columns of these names."""
+    docs = docs.drop("lang_pred", "score", *([rate_col] if rate_col else []))
     shared = docs.sparkSession.sparkContext.broadcast({"path": model.pieces_path, "p": model.probabilities})
     languages, name = model.languages, uuid.uuid4().hex  # this model, to workers
 
@@ -224,23 +252,44 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
         scorer = of_worker(("language", name), lambda: Scorer(shared.value)) if languages else None
         for batch in batches:
             texts = batch.column(text_col)
-            logs = [np.zeros((0, max(1, len(languages))))]
+            logs = [np.zeros((0, len(languages) + 1))]
             if scorer:
                 for words, counts in portions(texts, str.split):
                     rows = scorer.table.rows(words)
                     logs.append(summed(scorer.table.values[rows], counts))
             found = np.concatenate(logs)
-            named, scores = [], []
+            named, scores, rates = [], [], []
             for i, text in enumerate(texts):
                 if not scorer or not LETTER.search(text.as_py() or ""):
                     named.append(UNDETERMINED)
                     scores.append(1.0)
+                    rates.append(None)
                 else:
-                    best = int(found[i].argmax())
+                    of = found[i, :-1]
+                    best = int(of.argmax())
                     named.append(languages[best])
-                    scores.append(float(1.0 / np.exp(found[i] - found[i, best]).sum()))
+                    scores.append(float(1.0 / np.exp(of - of[best]).sum()))
+                    rates.append(float(of[best] / found[i, -1]))
             added = [pa.array(named, type=pa.string()), pa.array(scores, type=pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "lang_pred", "score"])
+            if rate_col:
+                added.append(pa.array(rates, type=pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
 
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    names = ["lang_pred", "score", *([rate_col] if rate_col else [])]
+    kinds = [T.StringType(), T.DoubleType(), T.DoubleType()]
+    added = [T.StructField(name, kind) for name, kind in zip(names, kinds, strict=False)]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+
+
+def ordinary(predicted: DataFrame, rate_col: str, flag_col: str, fences: float = FENCES) -> DataFrame:
+    """Adds `flag_col`: whether the text's log-probability per character is not far below that of the texts
+    with the same `lang_pred`: below the lower quartile by at most `fences` times the distance of the
+    quartiles, or `SLACK` if that is more. Quartiles are over all texts given, equal values once. `und` is
+    never ordinary. No rows give no rows."""
+    once = predicted.where(F.col(rate_col).isNotNull()).select("lang_pred", rate_col).distinct()
+    # One row per learned language.
+    quartiles = once.groupBy("lang_pred").agg(F.percentile_approx(rate_col, [0.25, 0.75], 10_000).alias("q")).collect()
+    low = F.lit(None).cast("double")
+    for r in quartiles:
+        low = F.when(F.col("lang_pred") == r["lang_pred"], r["q"][0] - max(SLACK, fences * (r["q"][1] - r["q"][0]))).otherwise(low)
+    return predicted.withColumn(flag_col, F.coalesce(F.col(rate_col) >= low, F.lit(False)))

@@ -1,5 +1,6 @@
 """Quality rules (3), language model (4), toxicity (5), language ID (7)."""
 
+import functools
 import math
 import random
 import re
@@ -206,6 +207,22 @@ def test_toxicity_learns_and_holds_out(spark):
     assert all(0 <= r["score"] <= 1 for r in scored)
 
 
+def test_long_texts_teach_and_characters_bound_the_sample(spark, monkeypatch):
+    long = "plain " * 30_000
+    rows = [(i, t + long * (i % 2), g, b) for i, t, g, b in toxic_rows(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    taught = []
+
+    def noted(rows_of, ids, labels, seed=11):
+        taught.append(sum(len(i) > 30_000 for i in ids))
+        return toxicity.Network.fresh(seed)
+
+    monkeypatch.setattr(toxicity, "train", noted)
+    toxicity.fit(df, df)
+    toxicity.fit(df, df, characters=1_000_000)
+    assert taught[0] > 10 and 0 < taught[1] < taught[0]
+
+
 def test_toxicity_score_ignores_label_language_and_neighbours(spark):
     rows = spark.createDataFrame(toxic_rows(300), "doc_id long, text string, lang string, toxic int")
     net = toxicity.fit(rows, rows)
@@ -273,17 +290,21 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
 # Language identification
 
 
-def test_forward_and_backward_sum_all_segmentations():
+def test_forward_and_backward_sum_all_segmentations(monkeypatch):
     pieces = language_id.Pieces(PIECES)
     rng = np.random.default_rng(1)
     p = rng.random(pieces.unknown + 1)
-    spans = ["▁the", "▁日x", "▁a", "zzz", "▁" + "q" * 20]
-    edges = pieces.edges(spans)
-    parts = language_id.groups(edges)
-    q = p[edges[:, 3]]
-    alpha = language_id.forward(edges, parts, q, len(spans))
+    spans = ["▁the", "▁日x", "▁a", "zzz", "▁" + "q" * 20, "▁" + "antidis" * 40]
+    alpha, beta = language_id.nothing_yet(spans), language_id.nothing_yet(spans)
     lengths = np.array([len(s) for s in spans])
-    beta = language_id.backward(edges, parts, q, lengths)
+    alpha[:, 0], beta[np.arange(len(spans)), lengths] = 0, 0
+    monkeypatch.setattr(language_id, "STARTS", 7)  # portions end inside of words
+    lattice = list(pieces.lattice(spans))
+    assert len(lattice) == -(-lengths.max() // 7)
+    for edges in lattice:
+        language_id.forward(alpha, edges, np.log(p[edges[:, 3]]))
+    for edges in reversed(lattice):
+        language_id.backward(beta, edges, np.log(p[edges[:, 3]]))
 
     def total(span):
         sums = [1.0]
@@ -299,7 +320,79 @@ def test_forward_and_backward_sum_all_segmentations():
         return sums[-1]
 
     for k, span in enumerate(spans):
-        assert alpha[k, len(span)] == pytest.approx(total(span)) and beta[k, 0] == pytest.approx(total(span))
+        log = pytest.approx(math.log(total(span)), rel=1e-9)
+        assert alpha[k, len(span)] == log and beta[k, 0] == log
+
+
+def test_words_of_any_length_are_scored_whole():
+    pieces = language_id.Pieces(PIECES)
+    p = np.random.default_rng(3).random((pieces.unknown + 1, 2)) * 1e-6
+    scorer = language_id.Scorer({"path": PIECES, "p": p})
+    words = ["short", "donaudampfschifffahrt" * 300, "x" * 9000, "日本語" * 50, "tail"]
+    got = scorer.word_rows(words)
+    for word, row in zip(words, got, strict=True):
+        word = "▁" + word
+        logs = np.full((len(word) + 1, 2), -np.inf)
+        logs[0] = 0
+        for start in range(len(word)):
+            for end in range(start + 1, min(len(word), start + pieces.longest) + 1):
+                number = pieces.numbers.get(word[start:end], pieces.unknown if end == start + 1 else None)
+                if number is not None:
+                    logs[end] = np.logaddexp(logs[end], logs[start] + np.log(p[number]))
+        assert row[:2] == pytest.approx(logs[-1], rel=1e-9) and row[2] == len(word)
+
+
+def test_blocks_hold_every_word_once():
+    rng = np.random.default_rng(4)
+    words = ["w" * int(n) for n in [*rng.integers(1, 40, 20_000), 300_000, 1]]
+    found = list(language_id.blocks(words))
+    assert sorted(i for block in found for i in block) == list(range(len(words)))
+    assert all(len(b) == 1 or len(b) * max(len(words[i]) for i in b) <= language_id.PLACES for b in found)
+    assert all(len(b) <= language_id.BLOCK for b in found) and list(language_id.blocks([])) == []
+
+
+def test_prediction_equals_a_plain_forward_pass(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.fit(docs, PIECES, rounds=1, sample=20)
+    pieces, logs = language_id.Pieces(PIECES), np.log(model.probabilities)
+
+    @functools.cache
+    def plain(word):
+        word = "▁" + (word.strip(language_id.EDGE).lower() or word)
+        at = [np.zeros(len(model.languages))]
+        for end in range(1, len(word) + 1):
+            parts = []
+            for start in range(max(0, end - pieces.longest), end):
+                number = pieces.numbers.get(word[start:end], pieces.unknown if end == start + 1 else None)
+                if number is not None:
+                    parts.append(at[start] + logs[number])
+            at.append(np.logaddexp.reduce(parts))
+        return at[-1], len(word)
+
+    for r in language_id.predict(docs, model, rate_col="rate").where("doc_id % 7 = 0").collect():
+        if r["lang_pred"] != "und":
+            found = [plain(w) for w in r["text"].split()]
+            total = sum(x for x, _ in found)
+            assert r["lang_pred"] == model.languages[int(total.argmax())]
+            assert r["score"] == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-6)
+            assert r["rate"] == pytest.approx(total.max() / sum(n for _, n in found), rel=1e-9)
+
+
+def test_texts_of_no_learned_language_are_not_ordinary(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, PIECES)
+    odd = {
+        -1: "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 4,
+        -2: "いろはにほへと ちりぬるを わかよたれそ つねならむ " * 4,
+        -3: "qzxv jkwq vbnmx zxcvq wqkjh ghjkz pqxzw mnbvq lkjhz qwxz " * 4,
+        -4: "aaaaa bbbbb ccccc ddddd " * 8,
+        -5: "12 34",
+    }
+    rows = docs.unionByName(spark.createDataFrame([(k, t, None) for k, t in odd.items()], docs.schema))
+    got = language_id.ordinary(language_id.predict(rows, model, rate_col="rate"), "rate", "ordinary").collect()
+    assert {r["doc_id"] for r in got if r["doc_id"] < 0 and r["ordinary"]} == set()
+    clean = [r for r in got if r["doc_id"] >= 0 and r["lang_pred"] != "und"]
+    assert sum(r["ordinary"] for r in clean) >= 0.99 * len(clean)
 
 
 def test_op7_on_held_out_documents(spark, sf_dir):

@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on every row that the stage before
 DataFrame; `run` writes each result under the shared folder and reads it back for the next stage. All but
 the last stage return the columns of the documents they are given.
 
-1. language: texts without a letter, and texts whose most likely language has a posterior under
-   `SURE_OF_LANGUAGE`, go.
+1. language: texts without a letter, texts whose most likely language has a posterior under
+   `SURE_OF_LANGUAGE`, and texts far less likely per character than others of that language (another
+   language, or none: `language_id.ordinary`) go.
 2. toxicity: texts at or over the toxicity threshold of their language go.
 3. exact dedup: of equal texts the row with the largest doc_id stays.
 4. near dedup: of texts linked by their SimHash fingerprints the row with the smallest doc_id stays.
@@ -44,9 +45,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     free_workers(spark)
     model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
     apart, back = set_aside(docs, "lang_pred", "score")
-    named = language_id.predict(apart, model)
+    rate, usual = fresh_name(apart, "rate"), fresh_name(apart, "usual")
+    named = stored(language_id.predict(apart, model, rate_col=rate), "languages")
     sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= SURE_OF_LANGUAGE)
-    return named.where(sure).select(*apart.columns).withColumnsRenamed(back)
+    kept = language_id.ordinary(named, rate, usual).where(sure & F.col(usual))
+    return kept.select(*apart.columns).withColumnsRenamed(back)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """SQL equivalents of the operators that SQL can express, for DuckDB over the same tables."""
 
+from riskweave.llm import quality
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,11 +68,16 @@ CRC_TABLE = """
 
 
 def crc32(text: str, table: str = "t") -> str:
-    """Unsigned CRC-32 of a text of characters below U+0800, in UTF-8; `table` holds `CRC_TABLE`'s list."""
+    """Unsigned CRC-32 of a text in UTF-8; `table` holds `CRC_TABLE`'s list."""
     points = f"list_transform(string_split({text}, ''), lambda ch: unicode(ch))"
-    octets = f"flatten(list_transform({points}, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 + (p >> 6), 128 + (p & 63)] END))"
+    tail = "128 + (p & 63)"
+    octets = f"""flatten(list_transform({points}, lambda p: CASE
+        WHEN p < 128 THEN [p]
+        WHEN p < 2048 THEN [192 + (p >> 6), {tail}]
+        WHEN p < 65536 THEN [224 + (p >> 12), 128 + (p >> 6 & 63), {tail}]
+        ELSE [240 + (p >> 18), 128 + (p >> 12 & 63), 128 + (p >> 6 & 63), {tail}] END))"""
     folded = f"list_reduce({octets}, lambda c, b: xor(c >> 8, {table}[xor(c & 255, b) + 1]), 4294967295::BIGINT)"
-    return f"xor({folded}, 4294967295)"
+    return f"CASE WHEN {text} = '' THEN 0 ELSE xor({folded}, 4294967295) END"
 
 
 SPELLING = f"""
@@ -197,3 +204,152 @@ CONVERSATIONS = f"""
     LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
     LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+def last_border(limit: str) -> str:
+    return f"list_max(list_filter(borders, lambda b: b <= {limit}))"
+
+
+def first_border(limit: str) -> str:
+    return f"list_min(list_filter(borders, lambda b: b >= {limit}))"
+
+
+#: A step of `search` fills one more shard up to the capacity in the middle of `low` and `high`.
+SHARDING = f"""
+    WITH RECURSIVE {CRC_TABLE},
+    docs AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+    keyed AS (SELECT doc_id, size, {crc32("text")} AS text_crc32, sha256(text) AS text_sha256 FROM docs, crc_table),
+    grouped AS (SELECT text_sha256, min(doc_id) AS first_id, sum(size) AS bytes FROM keyed GROUP BY text_sha256),
+    sums AS MATERIALIZED (
+        SELECT text_sha256, (sum(bytes) OVER (ORDER BY first_id NULLS FIRST, text_sha256))::BIGINT AS through FROM grouped
+    ),
+    whole AS MATERIALIZED (
+        SELECT coalesce(max(through), 0) AS total, list_prepend(0, coalesce(list(through ORDER BY through), [])) AS borders
+        FROM sums
+    ),
+    search(low, high, filled, place) AS (
+        SELECT 0::BIGINT, total, 0, 0::BIGINT FROM whole
+        UNION ALL
+        SELECT CASE WHEN reach < total AND filled = 7 THEN middle + 1 ELSE low END,
+               CASE WHEN reach >= total THEN middle ELSE high END,
+               CASE WHEN reach >= total OR filled = 7 THEN 0 ELSE filled + 1 END,
+               CASE WHEN reach >= total OR filled = 7 THEN 0 ELSE reach END
+        FROM (
+            SELECT low, high, filled, total, (low + high) // 2 AS middle, {last_border("place + (low + high) // 2")} AS reach
+            FROM search, whole WHERE low < high
+        )
+    ),
+    least AS MATERIALIZED (SELECT low AS capacity FROM search WHERE low = high),
+    earliest(i, first_place) AS (
+        SELECT 7, total FROM whole
+        UNION ALL
+        SELECT i - 1, {first_border("greatest(0, first_place - capacity)")} FROM earliest, least, whole WHERE i > 0
+    ),
+    ends(i, place) AS (
+        SELECT 0, 0::BIGINT
+        UNION ALL
+        SELECT i + 1,
+               CASE WHEN below_fits AND (NOT above_fits OR ideal - below <= above - ideal) THEN below
+                    WHEN above_fits THEN above
+                    WHEN ideal < first_place THEN first_place
+                    ELSE {last_border("place + capacity")} END
+        FROM (
+            SELECT *, below BETWEEN greatest(first_place, place) AND place + capacity AS below_fits,
+                   above BETWEEN greatest(first_place, place) AND place + capacity AS above_fits
+            FROM (
+                SELECT *, {last_border("ideal")} AS below, coalesce({first_border("ideal + 1")}, total) AS above
+                FROM (
+                    SELECT *, place + round_even((total - place) / (8 - i), 0)::BIGINT AS ideal
+                    FROM ends JOIN earliest USING (i), least, whole WHERE i < 7
+                )
+            )
+        )
+    ),
+    cuts AS MATERIALIZED (SELECT list(place) AS places FROM ends WHERE i > 0),
+    placed AS (
+        SELECT text_sha256, len(list_filter(places, lambda place: place < through))::INTEGER AS shard FROM sums, cuts
+    )
+    SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+           row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_sha256) - 1 AS slot,
+           NULL::INTEGER AS grown_shard, text_sha256
+    FROM keyed JOIN placed USING (text_sha256)
+"""
+
+#: Parts of the measures of operator 3's rules; the grids are the operator's parameters.
+SHARES = {
+    "symbol_share": ("n_symbols", "word_chars"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_share": ("n_repeat_words", "n_words"),
+    "word_length": ("word_chars", "n_words"),
+}
+RULE_ROWS = " UNION ALL ".join(
+    f"SELECT *, {i} AS place, '{rule}' AS rule, {part} / greatest({whole}, 1)::DOUBLE AS measure, "
+    f"{quality.RULES[rule][1]}::DOUBLE[] AS grid FROM measured"
+    for i, (rule, (part, whole)) in enumerate(SHARES.items())
+)
+SHARE = quality.RISK / len(quality.RULES)
+QUALITY = f"""
+    WITH RECURSIVE {CRC_TABLE},
+    docs AS (
+        SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, 'null') AS stratum, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+        FROM documents
+    ),
+    starts AS (SELECT r, words, unnest(range(1, len(words) - {quality.WINDOW} + 2)) AS i FROM docs),
+    windows AS (SELECT r, i, array_to_string(words[i:i + {quality.WINDOW} - 1], ' ') AS w FROM starts),
+    again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+    covered AS (
+        SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest(range(i, i + {quality.WINDOW})) AS i FROM again) GROUP BY r
+    ),
+    measured AS MATERIALIZED (
+        SELECT r, doc_id, stratum, len(words) AS n_words,
+               length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+               length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS n_symbols,
+               len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+        FROM docs LEFT JOIN covered USING (r)
+    ),
+    rules AS MATERIALIZED ({RULE_ROWS}),
+    marks AS (
+        SELECT doc_id, min(quality) = 1 AS good, {crc32("doc_id::VARCHAR")} % {quality.LEARNING_PARTS} <> 0 AS holdout
+        FROM labels, crc_table WHERE quality IN (0, 1) GROUP BY doc_id, t
+    ),
+    labelled AS (
+        SELECT stratum, rule, good, holdout, len(list_filter(grid, lambda c: c <= measure)) AS reached
+        FROM rules JOIN marks USING (doc_id)
+    ),
+    counts AS (
+        SELECT stratum, rule, step,
+               count(*) FILTER (good AND holdout) AS good_n, count(*) FILTER (good AND holdout AND reached >= step) AS good_hit,
+               count(*) FILTER (good AND NOT holdout) AS fine_n,
+               count(*) FILTER (good AND NOT holdout AND reached >= step) AS fine_hit,
+               count(*) FILTER (NOT good AND NOT holdout) AS bad_n,
+               count(*) FILTER (NOT good AND NOT holdout AND reached >= step) AS bad_hit
+        FROM labelled, range(1, {1 + max(len(grid) for _, grid in quality.RULES.values())}) AS steps(step)
+        GROUP BY stratum, rule, step
+    ),
+    tails AS (
+        SELECT *, CASE WHEN good_n = 0 OR good_hit > good_n * {SHARE} THEN 1 ELSE list_sum(list_transform(
+            range(0, good_hit + 1),
+            lambda i: exp(lgamma(good_n + 1) - lgamma(i + 1) - lgamma(good_n - i + 1) + i * ln({SHARE}) + (good_n - i) * ln(1 - {SHARE}))
+        )) END AS tail
+        FROM counts
+    ),
+    proven AS (
+        SELECT *, max(tail) OVER (PARTITION BY stratum, rule ORDER BY step DESC) AS p,
+               (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM counts)) AS sequences
+        FROM tails
+    ),
+    strictest AS (
+        SELECT stratum, rule, min(step) AS step FROM proven
+        WHERE p <= {quality.LEVEL} / sequences AND bad_hit / greatest(bad_n, 1) > {quality.LIFT} * fine_hit / greatest(fine_n, 1)
+        GROUP BY stratum, rule
+    ),
+    rejected AS (
+        SELECT r, string_agg(rule, ' ' ORDER BY place) AS rejected_by
+        FROM rules JOIN strictest USING (stratum, rule) WHERE measure >= grid[step] GROUP BY r
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           n_words < {quality.FEWEST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed,
+           rejected_by, NOT base_failed AND rejected_by = '' AS kept
+    FROM (SELECT measured.*, coalesce(rejected_by, '') AS rejected_by FROM measured LEFT JOIN rejected USING (r))
+"""

@@ -167,6 +167,8 @@ QUERIES = {
 
 ORACLES = {
     "op2_exact_dedup": oracle.EXACT_DEDUP,
+    "op3_quality": oracle.QUALITY,
+    "op10_sharding": oracle.SHARDING,
     "op11_decontamination": oracle.DECONTAMINATION,
     "op12_spelling": oracle.SPELLING,
     "op13_conversations": oracle.CONVERSATIONS,

@@ -223,6 +223,45 @@ def test_long_texts_teach_and_characters_bound_the_sample(spark, monkeypatch):
     assert taught[0] > 10 and 0 < taught[1] < taught[0]
 
 
+def test_all_labelled_texts_teach_whatever_training_starts_with(spark, monkeypatch):
+    rows = spark.createDataFrame(toxic_rows(3000), "doc_id long, text string, lang string, toxic int")
+    teach, held_out = rows.where("doc_id % 3 != 1"), rows.where("doc_id % 3 = 1")
+    monkeypatch.setattr(toxicity, "BLOCK", 700)
+    blocks = []
+    whole = toxicity.taught
+
+    def noted(learn, net):
+        done = whole(learn, net)
+        blocks.append(([r["texts"] for r in done.select("texts").collect()], learn.select("text").distinct().count()))
+        return done
+
+    monkeypatch.setattr(toxicity, "taught", noted)
+    # Ids that repeat and null ones neither teach twice nor get in the way.
+    net = toxicity.fit(teach.union(teach.limit(50)).union(teach.limit(9).withColumn("doc_id", F.lit(None))), rows, sample={0: 4, 1: 4})
+    texts, distinct = blocks[0]
+    assert len(texts) > 1 and sum(texts) == distinct
+    scored = toxicity.score(held_out, net, lang_col="lang").collect()
+    assert np.mean([r["rejected"] == (r["toxic"] == 1) for r in scored]) > 0.97
+
+
+def test_all_texts_apart_calibrate(spark):
+    net = toxicity.Network.fresh(3)
+    net.embeddings[:] *= 30
+    rows = [(f"w{i % 40} w{i % 7}", "ab"[i % 2] if i % 9 else None, int(i % 40 < 8)) for i in range(4000)]
+    check = spark.createDataFrame(rows, "text string, lang string, label int")
+    scores = {r["text"]: r["score"] for r in toxicity.score(check, net).collect()}
+    raw = np.array([np.log(scores[t] / (1 - scores[t])) for t, _, _ in rows])
+    labels, langs = np.array([float(y) for _, _, y in rows]), np.array([g for _, g, _ in rows])
+    toxicity.calibrate(check, net)
+    ones = np.ones(len(rows))
+    scale, shift = toxicity.platt(raw, labels, ones)
+    assert net.scale == pytest.approx(scale, rel=0.02) and net.shift == pytest.approx(shift, rel=0.02, abs=0.02)
+    expected = toxicity.sigmoid(net.scale * raw + net.shift)
+    for lang in (None, "a", "b"):
+        own = langs == lang if lang else ones > 0
+        assert net.thresholds[lang] == pytest.approx(toxicity.best_threshold(expected[own], labels[own], ones[own]), abs=0.01)
+
+
 def test_toxicity_score_ignores_label_language_and_neighbours(spark):
     rows = spark.createDataFrame(toxic_rows(300), "doc_id long, text string, lang string, toxic int")
     net = toxicity.fit(rows, rows)

@@ -2,6 +2,7 @@
 
 import codecs
 import contextlib
+import gc
 import hashlib
 import io
 import zlib
@@ -43,6 +44,17 @@ def tik(codec):
     )
 
 
+def test_the_cycle_collector_rests_while_texts_are_encoded():
+    encoder, seen = PieceEncoder(BYTES), []
+    encoder.at_added = lambda text: seen.append(gc.isenabled()) or [text]
+    encoder.encode("a b <|endoftext|>")
+    assert seen == [False] and gc.isenabled()
+    gc.disable()
+    encoder.encode("a b")
+    assert not gc.isenabled()
+    gc.enable()
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_pieces_encode_like_the_whole_text(path, documents):
     encoder, expected = PieceEncoder(path, cached=50), whole(path)

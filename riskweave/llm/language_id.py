@@ -21,6 +21,7 @@ is null or has no letter is `und` with score 1; if there is no language to learn
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -68,28 +69,47 @@ class Pieces:
         self.numbers = {sp.id_to_piece(i): n for n, i in enumerate(usual)}
         self.unknown = len(self.numbers)
         self.longest = max(map(len, self.numbers))
-        #: Every beginning of a piece: the number of the piece that it is, or -1.
-        self.begun = {p[:k]: -1 for p in self.numbers for k in range(1, len(p) + 1)} | self.numbers
+        # A trie: state 0 is the beginning, every other state a beginning of a piece.
+        begun = {p[:k] for p in self.numbers for k in range(1, len(p) + 1)}
+        states = {"": 0} | {b: n for n, b in enumerate(sorted(begun), 1)}
+        #: The piece that each state is, or -1.
+        self.piece = np.array([self.numbers.get(b, -1) for b in states], dtype=np.int64)
+        #: Characters numbered from 1; 0 is in no piece.
+        self.character = np.zeros(sys.maxunicode + 1, dtype=np.int64)
+        letters = sorted({ord(c) for b in begun for c in b})
+        self.character[letters] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        steps = [(states[b[:-1]] * self.width + int(self.character[ord(b[-1])]), n) for b, n in states.items() if b]
+        #: Codes of (state, character), sorted, and the states they lead to; the last code is never met.
+        self.codes, self.leads_to = np.array([*sorted(steps), (np.iinfo(np.int64).max, 0)], dtype=np.int64).T.copy()
+
+    def step(self, states: np.ndarray, characters: np.ndarray) -> np.ndarray:
+        """The states after one more character; 0 where no piece goes on so."""
+        code = states * self.width + characters
+        at = np.searchsorted(self.codes, code)
+        return np.where(self.codes[at] == code, self.leads_to[at], 0)
 
     def edges(self, words: list[str], first: int, last: int) -> np.ndarray:
         """Rows (word, start, end, piece) of every piece that starts at the places from `first` to before
         `last`, by start; of one word and start, each end occurs once."""
-        begun, unknown, longest = self.begun.get, self.unknown, self.longest
-        out: list[int] = []  # one number per edge
-        for k, word in enumerate(words):
-            n = len(word)
-            for i in range(first, min(n, last)):
-                at = (i - first) << 48 | k << 32 | 1 << 16  # start, word, length, piece
-                if begun(word[i], -1) < 0:
-                    out.append(at | unknown)
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    piece = begun(word[i:j])
-                    if piece is None:
-                        break
-                    if piece >= 0:
-                        out.append(at | piece)
-                    at += 1 << 16
-        codes = np.sort(np.array(out, dtype=np.int64))
+        near = [word[first : last - 1 + self.longest] for word in words]
+        sizes = np.array([len(word) for word in near], dtype=np.int64)
+        text = self.character[np.frombuffer("".join(near).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        who, through = np.repeat(np.arange(len(near)), sizes), np.repeat(np.cumsum(sizes), sizes)
+        start = np.arange(len(text)) - (through - sizes[who])
+        # All starts go on together, a character at a time.
+        at = np.flatnonzero(start < last - first)
+        state = self.step(np.zeros(len(at), dtype=np.int64), text[at])
+        piece = self.piece[state]
+        found = [(at, 1, np.where(piece < 0, self.unknown, piece))]
+        for length in range(2, self.longest + 1):
+            on = np.flatnonzero((state > 0) & (at + length <= through[at]))
+            at = at[on]
+            state = self.step(state[on], text[at + length - 1])
+            piece = self.piece[state]
+            found.append((at[piece >= 0], length, piece[piece >= 0]))
+        # One number per edge: start, word, length, piece.
+        codes = np.sort(np.concatenate([start[at] << 48 | who[at] << 32 | length << 16 | piece for at, length, piece in found]))
         start = (codes >> 48) + first
         return np.stack([codes >> 32 & 0xFFFF, start, start + (codes >> 16 & 0xFFFF), codes & 0xFFFF], axis=1)
 

@@ -4,6 +4,7 @@ import functools
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -363,6 +364,33 @@ def test_forward_and_backward_sum_all_segmentations(monkeypatch):
         assert alpha[k, len(span)] == log and beta[k, 0] == log
 
 
+def test_edges_are_all_pieces_and_found_for_all_words_at_once():
+    pieces = language_id.Pieces(PIECES)
+    words = ["▁the", "▁überall", "x", "", "日本語👍", "\ud800a", "▁" + "abc" * 9, "▁den", "zzzz\x00q"]
+    expected = []
+    for first, last in ((0, 4096), (3, 7)):
+        for k, word in enumerate(words):
+            for i in range(first, min(len(word), last)):
+                for j in range(i + 1, len(word) + 1):
+                    piece = pieces.numbers.get(word[i:j], pieces.unknown if j == i + 1 else None)
+                    if piece is not None:
+                        expected.append((i, k, j, piece))
+        found = [(i, k, j, piece) for k, i, j, piece in pieces.edges(words, first, last).tolist()]
+        assert found == sorted(expected)
+        expected.clear()
+
+    def calls(words):
+        count = Counter()
+        sys.setprofile(lambda frame, event, of: count.update([getattr(of, "__name__", "")]) if event == "c_call" else None)
+        try:
+            pieces.edges(words, 0, 4096)
+        finally:
+            sys.setprofile(None)
+        return count.total() - count["len"]
+
+    assert calls(["▁unterwegs"] * 1000) < calls(["▁unterwegs"]) + 20
+
+
 def test_words_of_any_length_are_scored_whole():
     pieces = language_id.Pieces(PIECES)
     p = np.random.default_rng(3).random((pieces.unknown + 1, 2)) * 1e-6

@@ -7,6 +7,7 @@ seen, many in one call; a bounded cache keeps the results. Prose repeats its wor
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -45,10 +46,13 @@ def of_worker(key: tuple, make: Callable[[], object]) -> object:
 
 
 def release() -> None:
-    """Give up what the worker keeps, and the memory that Arrow holds ready."""
+    """Give up what the worker keeps, and the memory that Arrow and the C library hold ready."""
     sys.modules.pop("_riskweave_worker", None)
     gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
 
 
 class Cache(dict):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import fresh_name, join_by_group, stored
+from riskweave.llm.common import free_workers, fresh_name, join_by_group, stored
 from riskweave.llm.components import components
 
 BITS = 64
@@ -34,8 +34,9 @@ SHINGLE = 3
 SPREAD, SUBTRIE, LEAVES = 64, 100_000, 8192
 #: Fingerprints of a job's partners, at most about.
 JOB_ROWS = 2_000_000
-#: Node pairs taken at a time, and the number of fingerprint pairs below which nodes are compared whole.
-BLOCK, SMALL = 400_000, 16
+#: Node pairs taken at a time, the number of fingerprint pairs below which nodes are compared whole, and how
+#: many node pairs are so compared together: at most 16 times as many fingerprint pairs, about 50 MB.
+BLOCK, SMALL, TOGETHER = 400_000, 16, 50_000
 STEP = 12  # prefix bits that one count of the plan adds
 
 BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -91,8 +92,9 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, itself: bool, budget: int = BUDGE
             continue
         alo, ahi, blo, bhi, diff = pairs
         small = (ahi - alo) * (bhi - blo) <= SMALL
-        if small.any():
-            i, j = expanded(alo[small], ahi[small], blo[small], bhi[small])
+        few = np.flatnonzero(small)
+        for at in range(0, len(few), TOGETHER):
+            i, j = expanded(*(x[few[at : at + TOGETHER]] for x in pairs[:4]))
             near = np.bitwise_count(a[i] ^ b[j]) <= budget
             if itself:
                 near &= i < j
@@ -279,6 +281,7 @@ def near_groups(rows: DataFrame, id_col: str = "doc_id", budget: int = BUDGET) -
     total = rows.count()
     fps = stored(rows.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count(F.lit(1)).alias("n")), "fingerprints")
     edges = stored(links(fps, fps.count(), budget), "links")
+    free_workers(rows.sparkSession)  # from here on the work is in the JVM, which then takes the memory
     roots = components(edges).withColumnRenamed("node", "fp")
     rooted = stored(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component"), "roots")
     groups = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members"))

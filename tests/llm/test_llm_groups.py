@@ -244,3 +244,23 @@ def test_sharding_edges(edge_docs, no_docs):
     assert sharding.shard_by_bytes(no_docs, 3).count() == 0
     with_shard = sharding.with_shards(edge_docs, 3)
     assert set(with_shard.columns) == {*edge_docs.columns, "shard"} and with_shard.count() == len(rows)
+
+
+def test_pairs_compared_together_are_bounded(monkeypatch):
+    rng = np.random.default_rng(8)
+    fps = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) & np.uint64(0xFFF0000000000F0F))
+    near = {(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3).tolist() if i < j}
+    sizes, expanded = [], simhash_trie.expanded
+    monkeypatch.setattr(simhash_trie, "expanded", lambda *nodes: sizes.append(len(nodes[0])) or expanded(*nodes))
+    monkeypatch.setattr(simhash_trie, "TOGETHER", 100)
+    found = [(i, j) for a, b in simhash_trie.linked_pairs(fps, fps, True) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sorted(found) == sorted(near) and near and max(sizes) <= 100
+
+
+def test_workers_are_freed_before_links_are_joined(spark, monkeypatch):
+    steps = []
+    components, free = simhash_trie.components, simhash_trie.free_workers
+    monkeypatch.setattr(simhash_trie, "components", lambda edges: steps.append("components") or components(edges))
+    monkeypatch.setattr(simhash_trie, "free_workers", lambda spark: steps.append("free") or free(spark))
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "other words")], "doc_id long, text string")
+    assert simhash_trie.one_of_each_group(docs).count() == 2 and steps == ["free", "components"]

@@ -7,6 +7,7 @@ seen, many in one call; a bounded cache keeps the results. Prose repeats its wor
 
 from __future__ import annotations
 
+import codecs
 import ctypes
 import gc
 import os
@@ -15,13 +16,15 @@ import sys
 import types
 from array import array
 from collections.abc import Callable, Iterable, Sequence
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
 import regex
 
-#: Pieces kept per generation; there are two. At most about 150 MB.
-CACHED = 300_000
+#: Pieces kept per generation; there are two. At most about 225 MB.
+CACHED = 450_000
 #: Unknown pieces that one call of the library takes.
 TOGETHER = 500
 #: Longer pieces are encoded each time, so that the cache stays bounded in bytes too.
@@ -30,6 +33,7 @@ LONGEST_CACHED = 64
 #: line's end may come before. These letters have lower case of one letter and are in normal form.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 SIMPLE = re.compile(r"(\n?)([" + LETTERS + r"]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+ALL_LETTERS = re.compile("[" + LETTERS + "]+").fullmatch
 #: How a byte-level vocabulary writes a space and a line's end.
 SPACE, LINE = "\u0120", "\u010a"
 UNIT = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
@@ -108,9 +112,13 @@ class PieceEncoder:
         self.words: dict[str, bytes] = {}
         #: A vocabulary that drops white space has no token for a space.
         self.drops_space = not self.ids(" ")
-        # How the vocabulary writes the letters that aren't ASCII, as the library's pre-tokeniser does.
-        marked = [chr(c) for c in range(0xC0, 0x100) if SIMPLE(chr(c))]
-        self.written = {ord(c): "".join(w for w, _ in self.pre_tokenizer.pre_tokenize_str(c)) for c in marked}
+        # How the vocabulary writes bytes of the letters that aren't ASCII, as the library's pre-tokeniser does.
+        alphabet = list(map(chr, range(256)))
+        for c in (chr(c) for c in range(0xC0, 0x100) if SIMPLE(chr(c))):
+            written = "".join(w for w, _ in self.pre_tokenizer.pre_tokenize_str(c))
+            for byte, sign in zip(c.lower().encode() if self.drops_space else c.encode(), written, strict=True):
+                alphabet[byte] = sign
+        self.alphabet = "".join(alphabet)
         self.pieces: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
         #: Pieces to forget after the portion.
@@ -147,20 +155,24 @@ class PieceEncoder:
         if len(self.pieces) + len(wanted) > self.cached:
             self.pieces, self.older = {}, self.pieces
         known, older = self.pieces, self.older
-        bare, signed, begun, plain = [], [], [], []
-        for piece in wanted.difference(known):
-            if len(piece) > LONGEST_CACHED:
-                self.long.append(piece)
-            if piece in older:
-                known[piece] = older[piece]
+        new = wanted.difference(known)
+        self.long += [piece for piece in new if len(piece) > LONGEST_CACHED]
+        again = [piece for piece in new if piece in older]
+        known.update(zip(again, map(older.__getitem__, again)))
+        new.difference_update(again)
+        # Most are letters alone, told without a match.
+        letters_alone = set(filter(str.isalpha, new))
+        bare = list(filter(str.isascii, letters_alone))
+        signed, begun, plain = [], [], []
+        for piece in new.difference(bare):
+            if piece in letters_alone and ALL_LETTERS(piece):
+                bare.append(piece)
             elif match := SIMPLE(piece):
                 begins, letters, rest = match.groups()
                 if begins:
-                    begun.append((piece, self.as_written(letters), rest))
-                elif rest:
-                    signed.append((piece, letters, rest))
+                    begun.append((piece, letters, rest))
                 else:
-                    bare.append(piece)
+                    signed.append((piece, letters, rest))
             elif piece.split() == [piece]:
                 plain.append(piece)
             else:
@@ -171,6 +183,7 @@ class PieceEncoder:
         known |= {letters: older[letters] for letters in new if letters in older}
         self.learn_letters(new.difference(known))
         self.long += [letters for letters in new if len(letters) > LONGEST_CACHED]
+        begun = [(piece, word, rest) for (piece, _, rest), word in zip(begun, self.as_written([own[1] for own in begun]))]
         self.ids_of_words({rest for _, _, rest in signed}.union(*(own[1:] for own in begun), [LINE]))
         find = self.words.__getitem__
         for piece, letters, rest in signed:
@@ -180,15 +193,21 @@ class PieceEncoder:
         for at in range(0, len(plain), TOGETHER):
             self.learn_together(plain[at : at + TOGETHER])
 
-    def as_written(self, letters: str) -> str:
-        return letters if letters.isascii() else letters.translate(self.written)
+    def as_written(self, pieces: list[str]) -> list[str]:
+        """Pieces of Latin letters as the vocabulary writes them, all in one go."""
+        written, _ = codecs.charmap_decode("\n".join(pieces).encode(), "strict", self.alphabet)
+        return written.split("\n")
 
     def learn_letters(self, pieces: Iterable[str]) -> None:
         """Pieces of Latin letters: one word each, after its space."""
-        tokenize, known, lower = self.model.tokenize, self.pieces, self.drops_space
-        for piece in pieces:
-            word = self.as_written(piece.lower() if lower else piece)
-            known[piece] = array("I", [token.id for token in tokenize(word if lower else SPACE + word)]).tobytes()
+        pieces = list(pieces)
+        tokenize, known = self.model.tokenize, self.pieces
+        if self.drops_space:
+            words = self.as_written([piece.lower() for piece in pieces])
+        else:
+            words = [SPACE + word for word in self.as_written(pieces)]
+        for piece, word in zip(pieces, words):
+            known[piece] = array("I", [token.id for token in tokenize(word)]).tobytes()
 
     def keep(self, words_of: dict[str, Sequence[str]]) -> None:
         self.ids_of_words([w for words in words_of.values() for w in words])
@@ -241,20 +260,26 @@ class PieceEncoder:
 
     def encode_parts(self, texts: list[str]) -> list[bytes]:
         """The ids of texts without added tokens. Texts come in portions whose pieces fit into the cache
-        twice over; a larger portion only makes the cache larger meanwhile."""
+        twice over; a larger portion only makes the cache larger meanwhile. Each piece is looked up once, and
+        those that the cache does not hold once more, after they are learnt."""
         cut = [self.cut(t) for t in texts]
-        wanted = set().union(*(c if self.drops_space else c[1:] for c in cut))
-        self.learn(wanted)
-        find = self.pieces.__getitem__
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
+        firsts = [] if self.drops_space else [pieces.pop(0) for pieces in cut]
+        flat = list(chain.from_iterable(cut))
+        found = list(map(self.pieces.get, flat))
+        missed = list(map(is_, found, repeat(None)))
+        self.learn(set(compress(flat, missed)))
+        late = map(self.pieces.__getitem__, compress(flat, missed))
+        found = [next(late) if ids is None else ids for ids in found]
+        out, at = [], 0
+        for k, pieces in enumerate(cut):
+            own = found[at : at + len(pieces)]
+            at += len(pieces)
+            if firsts:
+                own.insert(0, self.first[firsts[k]])
             try:
-                if self.drops_space:
-                    out.append(b"".join(map(find, pieces)))
-                else:
-                    out.append(b"".join([self.first[pieces[0]], *map(find, pieces[1:])]))
+                out.append(b"".join(own))
             except TypeError:  # some white space is not a single space between pieces
-                out.append(b"".join(map(self.ids, UNIT.findall(text))))
+                out.append(b"".join(map(self.ids, UNIT.findall(texts[k]))))
         for piece in self.long:
             self.pieces.pop(piece, None)
         self.long = []

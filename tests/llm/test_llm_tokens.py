@@ -69,6 +69,22 @@ def test_pieces_encode_like_the_whole_text(path, documents):
     check()
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_a_held_piece_is_looked_up_once(path):
+    """Also where the cache begins anew within a portion, and where pieces cannot be taken alone."""
+    texts = ["Ärger über das Ende,\nthe end; abc... ABC", " a  b\t c\n\n", "", "the end\x85 of It's", "ÀÖØößøÿ é\nÉclair! " + "x" * 70] * 3
+    encoder, expected = PieceEncoder(path, cached=4), whole(path)
+    for _ in range(3):
+        assert [np.frombuffer(b, dtype="<u4").tolist() for b in encoder.encode_all(texts)] == [expected(t) for t in texts]
+    encoder, wanted = PieceEncoder(path), []
+    learn = encoder.learn
+    encoder.learn = lambda pieces: wanted.append(set(pieces)) or learn(pieces)
+    encoder.encode_all(["some plain words here"])
+    encoder.encode_all(["some plain words here", "and here some more words"])
+    # The first piece of a text has a cache of its own where spaces matter.
+    assert wanted[1] <= {"and", "more", "some"}
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_strings_of_special_tokens_are_tokens(path):
     encoder, expected = PieceEncoder(path), whole(path)

@@ -12,7 +12,8 @@ log-probabilities.
   (c + 1) / (N + V + 1) of its counts, with one share left for unseen words. So every word has a
   probability, and the model stays normalised.
 * The pair counts are a sparse matrix of the model's tokens, stored in blocks of contexts. Each step trains on
-  all of it in Spark tasks, a block at a time; the driver sums the gradients and holds the vectors only.
+  all of it in Spark tasks, a block at a time, and the gradients of the tasks are added up in Spark; the driver
+  gets one gradient a step and holds the vectors only.
 * Scoring holds the counts of at most `KNOWN` frequent words in each worker; counts of the rarer words
   of a text are joined in Spark.
 
@@ -32,6 +33,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +50,11 @@ END = b"\n"
 GATHERED = 300_000
 #: Scores of a block: its contexts times all targets.
 CELLS = 1 << 19
-#: Tasks of a step at most: the driver gets a gradient of the targets from each.
+#: Tasks of a step at most: each sums a gradient of the targets.
 STEP_TASKS = 32
+#: Targets whose gradients are a row, when those of the tasks are added up, and bytes that the driver gets
+#: from one task, about.
+TARGETS, SENT = 1024, 1 << 19
 STEP_BITS = 8  # buckets per doubling when a count threshold is searched
 
 
@@ -219,7 +224,8 @@ def train(blocks: DataFrame, unigram: np.ndarray, tokens: int, steps: int = STEP
 
 
 def summed_gradients(blocks: DataFrame, values: list[np.ndarray], unigram: np.ndarray, tokens: float) -> list[np.ndarray]:
-    """Gradients of (context, target, bias) over all blocks; a task sums those of its blocks."""
+    """Gradients of (context, target, bias) over all blocks; a task sums those of its blocks, and the sums of
+    the tasks are added up portion by portion, in the order of the tasks."""
     size = len(unigram)
     apart = block_count(size)
     shared = blocks.sparkSession.sparkContext.broadcast((values, unigram))
@@ -240,22 +246,53 @@ def summed_gradients(blocks: DataFrame, values: list[np.ndarray], unigram: np.nd
                 of_target += slope.T @ own
                 of_bias += slope.sum(axis=0)
         if names:
-            columns = [pa.array([*names, -1, -2], type=pa.int64()), pa.array([*parts, of_target.tobytes(), of_bias.tobytes()], type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "gradient"])
-
-    out = [np.zeros_like(v) for v in values]
-    # For each of a few tasks as many numbers as the model has targets, and for all blocks as many as it has contexts.
+            both = np.column_stack([of_target, of_bias])
+            for at in range(0, size, TARGETS):
+                names.append(-1 - at)
+                parts.append(both[at : at + TARGETS].tobytes())
+            source = pa.array([TaskContext.get().partitionId()] * len(names), type=pa.int32())
+            columns = [pa.array(names, type=pa.int64()), source, pa.array(parts, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "source", "gradient"])
+
+    # Of the targets a gradient from each of a few tasks, of the contexts one from all together.
     tasks = min(blocks.sparkSession.sparkContext.defaultParallelism, STEP_TASKS)
-    for row in blocks.coalesce(tasks).mapInArrow(run, "part long, gradient binary").collect():
-        gradient = np.frombuffer(row["gradient"], dtype=np.float32)
-        if row["part"] >= 0:
-            out[0][row["part"] :: apart] = gradient.reshape(-1, DIMENSIONS)
-        else:
-            out[-row["part"]] += gradient.reshape(out[-row["part"]].shape)
+    parts = blocks.coalesce(tasks).mapInArrow(run, "part long, source int, gradient binary")
+    sent = -(-sum(v.nbytes for v in values) // SENT)
+    sums = parts.repartition(sent, "part").sortWithinPartitions("part", "source").mapInArrow(added_up, "part long, gradient binary")
+    out = [np.zeros_like(v) for v in values]
+    for batch in sums.toArrow().to_batches():
+        for part, gradient in zip(batch.column("part").to_pylist(), batch.column("gradient")):
+            gradient = np.frombuffer(gradient.as_buffer(), dtype=np.float32)
+            if part >= 0:
+                out[0][part::apart] = gradient.reshape(-1, DIMENSIONS)
+            else:
+                both = gradient.reshape(-1, DIMENSIONS + 1)
+                at = slice(-1 - part, -1 - part + len(both))
+                out[1][at], out[2][at] = both[:, :-1], both[:, -1]
     shared.destroy()
     return out
 
 
+def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, source, gradient) by part -> the sum of each part."""
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total.tobytes()])], names=["part", "gradient"])
+
+    now = total = None
+    for batch in batches:
+        for part, gradient in zip(batch.column("part").to_pylist(), batch.column("gradient")):
+            gradient = np.frombuffer(gradient.as_buffer(), dtype=np.float32)
+            if part == now:
+                total += gradient
+                continue
+            if now is not None:
+                yield row()
+            now, total = part, gradient.copy()
+    if now is not None:
+        yield row()
+
+
 def block_slope(context, target, bias, unigram: np.ndarray, at: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Slopes of the scores [context, target]; `data` are the shares of the pairs at the flat places `at`."""
     expected = NOISE_WEIGHT * unigram
@@ -298,8 +335,8 @@ def log_sums(spark: SparkSession, values: list[np.ndarray]) -> np.ndarray:
     out = np.empty(size)
     # A number for each context.
     tasks = min(spark.sparkContext.defaultParallelism, block_count(size))
-    for row in spark.range(0, size, 1, tasks).mapInArrow(run, "id long, log_sum double").collect():
-        out[row["id"]] = row["log_sum"]
+    found = spark.range(0, size, 1, tasks).mapInArrow(run, "id long, log_sum double").toArrow()
+    out[found["id"].to_numpy()] = found["log_sum"].to_numpy()
     return out
 
 

@@ -174,6 +174,30 @@ def test_vocabulary_grows_and_blocks_sum_to_the_whole(spark, monkeypatch):
     assert np.allclose((10.0 ** many.log10).sum(axis=1), 1, atol=1e-4)
 
 
+def test_gradients_are_added_up_before_they_reach_the_driver(spark, monkeypatch):
+    size, rng = 2500, np.random.default_rng(6)
+    monkeypatch.setattr(bilinear_lm, "CELLS", size * 100)
+    shapes = (size, bilinear_lm.DIMENSIONS), (size, bilinear_lm.DIMENSIONS), size
+    values = [rng.normal(0, 0.1, shape).astype(np.float32) for shape in shapes]
+    pairs = spark.createDataFrame([(int(p), 1) for p in rng.choice(size * size, 3000, replace=False)], "pair long, n long")
+    blocks = stored(bilinear_lm.pair_blocks(pairs, size).repartition(4), "blocks")
+    unigram = np.full(size, 1 / size)
+    sent = []
+    frame = type(blocks)
+    collect, to_arrow = frame.collect, frame.toArrow
+    monkeypatch.setattr(frame, "collect", lambda self: [sent.append(len(r["gradient"])) or r for r in collect(self)])
+    monkeypatch.setattr(frame, "toArrow", lambda self: [t := to_arrow(self), sent.extend(len(g) for g in t["gradient"].to_pylist())][0])
+    found = bilinear_lm.summed_gradients(blocks, values, unigram, 3000.0)
+    monkeypatch.undo()
+    assert sum(sent) == sum(v.nbytes for v in values) and max(sent) < 1 << 18
+    # All at once, in one block.
+    context, target, bias = values
+    at = np.array([r["pair"] for r in pairs.collect()])
+    slope = bilinear_lm.block_slope(context, target, bias, unigram, at, np.full(len(at), 1 / 3000.0))
+    for got, expected in zip(found, (slope @ target, slope.T @ context, slope.sum(axis=0)), strict=True):
+        assert np.allclose(got, expected, rtol=1e-3, atol=1e-6)
+
+
 def test_lm_edges(spark, edge_docs, no_docs):
     model = bilinear_lm.fit(edge_docs, steps=3)
     texts = [r["text"] for r in edge_docs.collect()]

@@ -22,15 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm.ordered import part_bases
 from riskweave.llm.pieces import PieceEncoder, of_worker
 
-#: Characters of text that a task encodes before it hands their ids on: few enough that their pieces stay in
-#: the processor's cache between being looked for and being joined.
-PORTION = 1 << 18
+#: Bytes of text that a task encodes before it hands their ids on: enough that pieces repeat, so that most are
+#: told apart in bulk.
+PORTION = 1 << 22
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -57,40 +58,43 @@ def id_views(column: pa.ListArray) -> Iterator[np.ndarray]:
         yield values[a:b]
 
 
-def text_portions(column: pa.Array) -> Iterator[list[str]]:
-    """The texts of a batch, about `PORTION` characters at a time; null is empty."""
-    texts: list[str] = []
-    held = 0
-    for text in column:
-        texts.append(text.as_py() or "")
-        held += len(texts[-1])
-        if held >= PORTION:
-            yield texts
-            texts, held = [], 0
-    if texts:
-        yield texts
+def text_portions(column: pa.Array) -> Iterator[pa.Array]:
+    """The texts of a batch, about `PORTION` bytes at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)
+    portion = (np.cumsum(sizes) - sizes) // PORTION
+    bounds = [0, *(np.flatnonzero(np.diff(portion)) + 1).tolist(), len(column)]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if a < b:
+            yield column.slice(a, b - a)
+
+
+def with_end(counts: np.ndarray, ids: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and ids with the end id after each text."""
+    if end_id is None:
+        return counts, ids
+    return counts + 1, np.insert(ids, np.cumsum(counts), end_id)
 
 
 def encoder(path: str, end_id: int | None):
     """Rows (doc_id, part, text) in range order -> the rows of a data file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = of_worker(("pieces", path), lambda: PieceEncoder(path)).encode_all
-        end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+        encode = of_worker(("pieces", path), lambda: PieceEncoder(path)).encode_column
         so_far = 0
         for batch in batches:
             at = 0
             for texts in text_portions(batch.column("text")):
-                blobs = [blob + end for blob in encode_all(texts)]
-                counts = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
+                counts, ids = with_end(*encode(texts), end_id)
                 key, part = (batch.column(c).slice(at, len(texts)) for c in ("doc_id", "part"))
-                through = so_far + np.cumsum(counts)
+                through = np.cumsum(counts)
+                offsets = np.concatenate([[0], through]).astype(np.int32)
+                lists_of_ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [key, part, pa.array(through - counts), pa.array(counts), lists(blobs)],
+                    [key, part, pa.array(so_far + through - counts), pa.array(counts), lists_of_ids],
                     names=["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )
                 at += len(texts)
-                so_far = int(through[-1])
+                so_far += int(through[-1])
 
     return run
 

@@ -9,13 +9,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from riskweave.llm import bpe_transducer, packing, queries, token_files
+from riskweave.llm import bpe_transducer, packing, pieces, queries, token_files
 from riskweave.llm.pieces import Cache, PieceEncoder
 from riskweave.sources.shared import fresh_dir
 
@@ -85,6 +86,43 @@ def test_a_held_piece_is_looked_up_once(path):
     assert wanted[1] <= {"and", "more", "some"}
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@pytest.mark.parametrize("cached", [3, 20, 1000])
+def test_columns_encode_like_each_text(path, cached, monkeypatch):
+    """Nulls, parts of a column, generations of the cache, and pieces whose hashes are all the same."""
+    expected = whole(path)
+    texts = ["skip", "Ärger über, the end.", None, "", "the\nEnd; of the (end)...", "two  spaces\t", "the end. <|endoftext|> the", "é!" * 40 + " " + "y" * 99]
+    column = pa.array(texts).slice(1)
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(pieces, "MIX", np.zeros_like(pieces.MIX))
+        encoder = PieceEncoder(path, cached=cached)
+        for part in (column, column.slice(0, 4), column.slice(3), column, column.slice(0, 0)):
+            counts, ids = encoder.encode_column(part)
+            want = [expected(text) for text in part.to_pylist()]
+            assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        assert max(map(len, encoder.held.pieces.to_pylist())) <= pieces.LONGEST_CACHED
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_of_letters_are_kept_once(path):
+    """However many signs follow them, they are tokenised in bulk and only when they are new."""
+    encoder, asked = PieceEncoder(path), []
+    tokens = encoder.tokens
+    encoder.tokens = lambda words: asked.append(sorted(words.to_pylist())) or tokens(words)
+    for texts in (["a tree, tree; tree. (tree) leaf"], ["a leaf, leaf! tree? root"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == [whole(path)(t) for t in texts]
+    assert [w for words in asked for w in words if w != "a"] == ["leaf", "tree", "root"]
+
+
+def test_texts_come_in_portions(monkeypatch):
+    monkeypatch.setattr(token_files, "PORTION", 4)
+    texts = ["abc", None, "defgh", "", "i", "jklmnopqr", "s"]
+    got = [part.to_pylist() for part in token_files.text_portions(pa.array(["x", *texts]).slice(1))]
+    assert [text for part in got for text in part] == texts and len(got) > 2
+    assert list(token_files.text_portions(pa.array([], pa.string()))) == []
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_strings_of_special_tokens_are_tokens(path):
     encoder, expected = PieceEncoder(path), whole(path)

@@ -386,7 +386,8 @@ class PieceEncoder:
         gc.disable()
         try:
             if any(pc.any(pc.match_substring(texts, token)).as_py() for token in self.added):
-                return as_columns(self.encode_split(texts.to_pylist()))
+                counts, ids = as_columns(self.encode_split(texts.to_pylist()))
+                return counts.astype(np.int64), ids
             return self.encode_parts(texts)
         finally:
             if collects:

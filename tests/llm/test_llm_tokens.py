@@ -100,6 +100,7 @@ def test_columns_encode_like_each_text(path, cached, monkeypatch):
         for part in (column, column.slice(0, 4), column.slice(3), column, column.slice(0, 0)):
             counts, ids = encoder.encode_column(part)
             want = [expected(text) for text in part.to_pylist()]
+            assert counts.dtype == np.int64
             assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
         assert max(map(len, encoder.held.pieces.to_pylist())) <= pieces.LONGEST_CACHED
 

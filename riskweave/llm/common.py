@@ -24,10 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """`df` written once under the shared folder and read back: work is not repeated after it, and a
-    lost executor does not take it along."""
+    lost executor does not take it along. Zstandard keeps texts in two thirds of the room of the default."""
     spark = df.sparkSession
     folder = fresh_dir(spark, name)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer = df.write.option("compression", "zstd")
+    writer = writer.partitionBy(partition_by) if partition_by else writer
     writer.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

@@ -1,6 +1,9 @@
 """The pipeline: each stage on what the one before kept."""
 
+from pathlib import Path
+
 import corpus_pipeline
+import pyarrow.parquet as pq
 from test_llm_groups import plain_components, plain_fingerprint
 from test_llm_tokens import check_packed
 
@@ -28,6 +31,13 @@ def test_stages_one_after_another(spark, sf_dir):
     check_packed(packed, [(r["doc_id"], r["text"]) for r in kept["near_dedup"]])
 
 
+def test_intermediate_texts_take_little_room(spark, edge_docs):
+    files = [Path(f.removeprefix("file:")) for f in stored(edge_docs, "t").inputFiles()]
+    read = [pq.ParquetFile(f).metadata for f in files]
+    columns = [m.row_group(0).column(k) for m in read for k in range(m.num_columns) if m.num_row_groups]
+    assert columns and {c.compression for c in columns} == {"ZSTD"}
+
+
 def test_pipeline_edges(spark, edge_docs, no_docs, sf_dir):
     for start in (edge_docs, no_docs):
         docs = start

@@ -11,9 +11,10 @@ log-probabilities.
   it. All others fall into `CLASSES` classes by the hash of their last two bytes; a class is a token too, and gives its words the share
   (c + 1) / (N + V + 1) of its counts, with one share left for unseen words. So every word has a
   probability, and the model stays normalised.
-* The pair counts are a sparse matrix of the model's tokens, stored in blocks of contexts. Each step trains on
-  all of it in Spark tasks, a block at a time, and the gradients of the tasks are added up in Spark; the driver
-  gets one gradient a step and holds the vectors only.
+* The pair counts are a sparse matrix of the model's tokens, stored in blocks of contexts, as the bytes of two
+  arrays each. Each step trains on all of it in Spark tasks, a block at a time, and the gradients of the tasks
+  are added up in Spark; the driver gets one gradient a step and holds the vectors only.
+* Texts are split, and their words looked up, in columns; no word of them is an object of its own.
 * Scoring holds the counts of at most `KNOWN` frequent words in each worker; counts of the rarer words
   of a text are joined in Spark.
 
@@ -24,21 +25,20 @@ each. Without training rows the model knows nothing and gives all its tokens equ
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 from math import isqrt
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import stored
-from riskweave.llm.rows import portions, summed
+from riskweave.llm.rows import summed
 
 WORDS, CLASSES, KNOWN = 2048, 61, 100_000
 DIMENSIONS, STEPS, NOISE_WEIGHT, RATE = 32, 80, 25.0, 0.05
@@ -46,8 +46,10 @@ DIMENSIONS, STEPS, NOISE_WEIGHT, RATE = 32, 80, 25.0, 0.05
 PRIOR = 5.0
 #: No word has white space in it, so the end is a "word" of its own.
 END = b"\n"
-#: Distinct words or pairs that a task gathers before it hands them on.
-GATHERED = 300_000
+#: Bytes of text whose words are taken at a time, about, and pairs whose vectors are.
+PORTION, PAIRS = 1 << 22, 1 << 15
+#: Words, distinct in their portions, or pairs that a task gathers before it hands them on.
+GATHERED = 2_400_000
 #: Scores of a block: its contexts times all targets.
 CELLS = 1 << 19
 #: Tasks of a step at most: each sums a gradient of the targets.
@@ -58,32 +60,73 @@ TARGETS, SENT = 1024, 1 << 19
 STEP_BITS = 8  # buckets per doubling when a count threshold is searched
 
 
-def split(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def split(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(words, number of words of each text) for bounded portions of the texts; null is empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + PORTION, "right")))
+        portion = pc.ascii_lower(pc.fill_null(texts.slice(at, to - at), ""))
+        at = to
+        lists = pc.ascii_split_whitespace(portion)
+        words = lists.flatten()
+        full = pc.greater(pc.binary_length(words), 0)  # around white space at the ends of a text are empty ones
+        number = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)])
+        yield words.filter(full).cast(pa.binary()), np.diff(number[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
 
 def word_class(word: bytes) -> int:
     return crc32(word[-2:]) % CLASSES
 
 
+#: Classes by the last two bytes as a number; from 65,536 on, those of words of one byte.
+CLASS_TABLE = np.array(
+    [word_class(bytes([first, last])) for first in range(256) for last in range(256)]
+    + [word_class(bytes([last])) for last in range(256)],
+    dtype=np.uint8,
+)
+
+
+def word_classes(words: pa.Array) -> np.ndarray:
+    """The class of each word; no word is empty."""
+    _, offsets, data = words.buffers()
+    if not len(words):
+        return np.zeros(0, dtype=np.int64)
+    offsets = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(data, dtype=np.uint8)
+    last, length = data[offsets[1:] - 1].astype(np.int64), np.diff(offsets)
+    first = data[np.maximum(offsets[1:] - 2, 0)].astype(np.int64)
+    return CLASS_TABLE[np.where(length > 1, 256 * first, 65_536) + last].astype(np.int64)
+
+
+def numbers_in(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each word in `known`, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of all tokens of the column `text`, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, n, texts = [], 0, 0
         for batch in batches:
-            for words, texts in portions(batch.column("text"), split):
-                counts.update(words)
-                counts[END] += len(texts)
-                if len(counts) > GATHERED:
-                    yield as_batch(counts)
-                    counts.clear()
-        if counts:
-            yield as_batch(counts)
-
-    def as_batch(counts):
-        columns = [pa.array(list(counts), type=pa.binary()), pa.array(list(counts.values()), type=pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+            for words, counts in split(batch.column("text")):
+                found = words.value_counts()
+                held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+                n += len(found)
+                texts += len(counts)
+                if n > GATHERED:
+                    yield from totals(held)
+                    held, n = [], 0
+        if held:
+            yield from totals(held)
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([texts])], names=["word", "n"])
+
+    def totals(held):
+        found = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return found.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
 
     partial = docs.select("text").mapInArrow(run, "word binary, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -136,36 +179,6 @@ def class_sizes(counts: DataFrame, vocabulary_from: int) -> np.ndarray:
     return sizes
 
 
-def pair_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """(pair, n): neighbours of all documents as context * size + target, with the end around each."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    size = len(vocabulary) + CLASSES + 1
-    first_class = len(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = shared.value.get
-        held, n = [], 0
-        for batch in batches:
-            for words, counts in portions(batch.column("text"), split):
-                ids = np.fromiter(map(find, words, repeat(-1)), dtype=np.int64, count=len(words))
-                for i in np.flatnonzero(ids < 0):
-                    ids[i] = first_class + word_class(words[i])
-                held.append(pair_codes(ids, counts, size))
-                n += len(held[-1])
-                if n > 8 * GATHERED:
-                    yield as_batch(held)
-                    held, n = [], 0
-        if held:
-            yield as_batch(held)
-
-    def as_batch(held):
-        pairs, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
-
-    partial = docs.select("text").mapInArrow(run, "pair long, n long")
-    return partial.groupBy("pair").agg(F.sum("n").alias("n"))
-
-
 def with_ends(ids: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
     """The ids of all texts in a row, each followed by an end."""
     out = np.full(len(ids) + len(counts), end, dtype=np.int64)
@@ -173,27 +186,110 @@ def with_ends(ids: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def pair_codes(ids: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    targets = with_ends(ids, counts, size - 1)
-    contexts = np.concatenate([[size - 1], targets[:-1]])
-    return contexts * size + targets
+def pairs_of(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, targets) of all texts: neighbours, with the end around each text."""
+    targets = with_ends(ids, counts, end)
+    return np.concatenate([[end], targets[:-1]]), targets
 
 
 # Training
 
+#: Pair counts of a block: flat places [context, target] in its scores, and their counts, as bytes of int32 and int64.
+COUNTED = "block long, at binary, n binary"
+
 
 def block_count(size: int) -> int:
     """Blocks of contexts, each with about `CELLS` scores. Block b has the contexts b, b + blocks, ..."""
     return -(-size // max(1, CELLS // size))
 
 
+def cells(size: int) -> int:
+    """Scores of the largest block."""
+    return -(-size // block_count(size)) * size
+
+
+def by_block(contexts: np.ndarray, targets: np.ndarray, size: int, n: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows `COUNTED` of pairs that may repeat, each with its count in `n`, by default 1."""
+    blocks, each = block_count(size), cells(size)
+    codes = contexts % blocks * each + contexts // blocks * size + targets
+    if n is None:
+        codes, n = np.unique(codes, return_counts=True)
+    else:
+        codes, same = np.unique(codes, return_inverse=True)
+        total = np.zeros(len(codes), dtype=np.int64)
+        np.add.at(total, same, n)
+        n = total
+    names, starts = np.unique(codes // each, return_index=True)
+    places = np.split((codes % each).astype(np.int32), starts[1:]) if len(names) else []
+    counts = np.split(n.astype(np.int64), starts[1:]) if len(names) else []
+    columns = [pa.array(names, type=pa.int64()), *(pa.array([x.tobytes() for x in c], type=pa.binary()) for c in (places, counts))]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "at", "n"])
+
+
+def places_and_counts(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    at, n = (batch.column(c)[row].as_buffer() for c in ("at", "n"))
+    return np.frombuffer(at, dtype=np.int32), np.frombuffer(n, dtype=np.int64)
+
+
+def text_blocks(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    """The counts of neighbours in the column `text`, with the end around each, one row per block."""
+    shared = docs.sparkSession.sparkContext.broadcast(list(vocabulary))
+    size = len(vocabulary) + CLASSES + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value, type=pa.binary())
+        held, n = [], 0
+        for batch in batches:
+            for words, counts in split(batch.column("text")):
+                ids = numbers_in(words, known)
+                rare = ids < 0
+                ids[rare] = len(known) + word_classes(words.filter(pa.array(rare)))
+                held.append(pairs_of(ids, counts, size - 1))
+                n += len(held[-1][0])
+                if n > GATHERED:
+                    yield by_block(*map(np.concatenate, zip(*held)), size)
+                    held, n = [], 0
+        if held:
+            yield by_block(*map(np.concatenate, zip(*held)), size)
+
+    return added_blocks(docs.select("text").mapInArrow(run, COUNTED), size)
+
+
 def pair_blocks(pairs: DataFrame, size: int) -> DataFrame:
-    """(block, pair, n): the pair counts, one row of two lists per block of contexts."""
-    blocks = block_count(size)
-    block = F.expr(f"(pair div {size}) % {blocks}").alias("block")
-    rows = F.array_sort(F.collect_list(F.struct("pair", "n"))).alias("rows")
-    grouped = pairs.select(block, "pair", "n").repartition(blocks, "block").groupBy("block").agg(rows)
-    return grouped.select("block", F.col("rows.pair").alias("pair"), F.col("rows.n").alias("n"))
+    """The counts of rows (pair, n), where pair is context * size + target, one row per block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, n = (batch.column(c).to_numpy() for c in ("pair", "n"))
+            yield by_block(pair // size, pair % size, size, n)
+
+    return added_blocks(pairs.select("pair", "n").mapInArrow(run, COUNTED), size)
+
+
+def added_blocks(parts: DataFrame, size: int) -> DataFrame:
+    """Rows `COUNTED`, any number of each block -> their sum, one row per block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(cells(size), dtype=np.int64)
+        for batch in batches:
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                if block != now:
+                    if now is not None:
+                        yield row(now, total)
+                    now = block
+                    total[:] = 0
+                at, n = places_and_counts(batch, i)
+                total[at] += n  # the places of a row differ
+        if now is not None:
+            yield row(now, total)
+
+    def row(block, total):
+        at = np.flatnonzero(total)
+        columns = [[block], [at.astype(np.int32).tobytes()], [total[at].tobytes()]]
+        types = pa.int64(), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["block", "at", "n"])
+
+    return parts.repartition(block_count(size), "block").sortWithinPartitions("block").mapInArrow(run, COUNTED)
 
 
 def train(blocks: DataFrame, unigram: np.ndarray, tokens: int, steps: int = STEPS, seed: int = 5) -> list[np.ndarray]:
@@ -235,10 +331,8 @@ def summed_gradients(blocks: DataFrame, values: list[np.ndarray], unigram: np.nd
         of_target, of_bias = np.zeros_like(target), np.zeros_like(bias)
         names, parts = [], []
         for batch in batches:
-            for i in range(batch.num_rows):
-                block = batch.column("block")[i].as_py()
-                pair, n = (batch.column(c)[i].values.to_numpy() for c in ("pair", "n"))
-                at = (pair // size - block) // apart * size + pair % size
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                at, n = places_and_counts(batch, i)
                 own = context[block::apart]
                 slope = block_slope(own, target, bias, unigram, at, n / tokens)
                 names.append(block)
@@ -363,8 +457,7 @@ def fit(docs: DataFrame, text_col: str = "text", words: int | None = None, known
     ends = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     weights = [*(known_words[w][1] for w in vocabulary), *(sizes - 1), ends]
     unigram = (np.array(weights, dtype=np.float64) + 1) / (np.sum(weights) + len(weights))
-    pairs = stored(pair_counts(texts, vocabulary), "pair-counts")
-    blocks = stored(pair_blocks(pairs, len(unigram)), "pair-blocks")
+    blocks = stored(text_blocks(texts, vocabulary), "pair-blocks")
     values = train(blocks, unigram, tokens, steps)
     sums = log_sums(docs.sparkSession, values)
     return Model(counts, int(tokens), int(distinct), int(known_from), known_words, sizes, *values, sums)
@@ -380,7 +473,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = list(model.known)
     shared = spark.sparkContext.broadcast(
         {
-            "numbers": {w: i for i, w in enumerate(names)},
+            "known": names,
             "token": np.array([model.known[w][0] for w in names], dtype=np.int64),
             "count": np.array([model.known[w][1] for w in names], dtype=np.float64),
             "class_size": model.class_size,
@@ -393,7 +486,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scorer = PartScorer(shared.value, ends)
         for batch in batches:
             at = 0
-            for words, counts in portions(batch.column("text"), split):
+            for words, counts in split(batch.column("text")):
                 columns = [c.slice(at, len(counts)) for c in (batch.column("row"), batch.column("doc_id"))]
                 at += len(counts)
                 yield pa.RecordBatch.from_arrays(
@@ -427,7 +520,7 @@ class PartScorer:
     """What a worker can add up of the scores of texts, and the words that it has no counts for."""
 
     def __init__(self, shared: dict, ends: int):
-        self.find, self.token = shared["numbers"].get, shared["token"]
+        self.known, self.token = pa.array(shared["known"], type=pa.binary()), shared["token"]
         self.context, self.target, self.bias, self.log_sum = shared["vectors"]
         self.of_count = np.log10(shared["count"] + 1)
         self.of_class = np.log10(shared["class_size"])
@@ -435,25 +528,24 @@ class PartScorer:
         self.first_class = self.end - CLASSES
         self.ends, self.of_end = ends, float(np.log10(ends + 1))
 
-    def parts(self, words: list[bytes], counts: np.ndarray) -> list[pa.Array]:
-        numbers = np.fromiter(map(self.find, words, repeat(-1)), dtype=np.int64, count=len(words))
+    def parts(self, words: pa.Array, counts: np.ndarray) -> list[pa.Array]:
+        numbers = numbers_in(words, self.known)
         rare = numbers < 0
-        at = np.flatnonzero(rare)
+        unknown = words.filter(pa.array(rare))
         ids = np.empty(len(words), dtype=np.int64)
         base = np.zeros(len(words))
         ids[~rare] = self.token[numbers[~rare]]
         base[~rare] = self.of_count[numbers[~rare]]
-        ids[at] = [self.first_class + word_class(words[i]) for i in at]
+        ids[rare] = self.first_class + word_classes(unknown)
         # The share of a word in its class: its count (the known ones here) over the class's size.
         classed = ids >= self.first_class
         inside = np.where(classed, base, 0.0)
         inside[classed] -= self.of_class[ids[classed] - self.first_class]
-        targets = with_ends(ids, counts, self.end)
-        contexts = np.concatenate([[self.end], targets[:-1]])
+        contexts, targets = pairs_of(ids, counts, self.end)
         model = summed(self.of_pairs(contexts, targets), counts + 1) + summed(inside, counts)
         known = summed((~rare).astype(np.float64), counts) + (self.ends > 0)
         offsets = np.concatenate([[0], np.cumsum(summed(rare.astype(np.float64), counts))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array([words[i] for i in at], type=pa.binary()))
+        lists = pa.ListArray.from_arrays(pa.array(offsets), unknown)
         return [
             pa.array(counts + 1),
             pa.array(known.astype(np.int64)),
@@ -464,5 +556,9 @@ class PartScorer:
 
     def of_pairs(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log10 P(target | context) of each pair."""
-        scores = np.einsum("ij,ij->i", self.context[contexts], self.target[targets]) + self.bias[targets]
+        scores = np.empty(len(targets), dtype=np.float32)
+        for at in range(0, len(targets), PAIRS):
+            c, t = contexts[at : at + PAIRS], targets[at : at + PAIRS]
+            np.einsum("ij,ij->i", self.context[c], self.target[t], out=scores[at : at + PAIRS])
+        scores += self.bias[targets]
         return (scores - self.log_sum[contexts]) / np.log(10)

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,43 @@ def test_gradients_are_added_up_before_they_reach_the_driver(spark, monkeypatch)
         assert np.allclose(got, expected, rtol=1e-3, atol=1e-6)
 
 
+def test_neighbours_reach_spark_by_block_and_not_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    ends = [" ", "  ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0"]
+    pieces = ["a", "B", "zZ", "Zq", "é", "É", "日本", "\x00", "word", "Other", *ends]
+    texts = [None, "", " \n", "a", *("".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(300))]
+    monkeypatch.setattr(bilinear_lm, "PORTION", 70)
+    monkeypatch.setattr(bilinear_lm, "GATHERED", 150)
+    monkeypatch.setattr(bilinear_lm, "CELLS", 400)
+    portions = list(bilinear_lm.split(pa.array(["x", *texts]).slice(1)))
+    assert len(portions) > 20
+    words = [w for found, _ in portions for w in found.to_pylist()]
+    assert words == [w for t in texts for w in tokens(t)[:-1]]
+    assert [n for _, counts in portions for n in counts.tolist()] == [len(tokens(t)) - 1 for t in texts]
+    for found, _ in portions:
+        assert bilinear_lm.word_classes(found).tolist() == [bilinear_lm.word_class(w) for w in found.to_pylist()]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    counts = Counter(t for x in texts for t in tokens(x))
+    assert {bytes(r["word"]): r["n"] for r in bilinear_lm.token_counts(docs).collect()} == dict(counts)
+
+    kept = {}
+    monkeypatch.setattr(bilinear_lm, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    model = bilinear_lm.fit(docs, words=12, steps=1)
+    assert set(kept) == {"token-counts", "pair-blocks"}
+    size = len(model.bias)
+    number = {w: t for w, (t, _) in model.known.items()} | {b"\n": size - 1}
+    pairs = Counter()
+    for text in texts:
+        own = [size - 1, *(number[t] for t in tokens(text))]
+        pairs.update(zip(own, own[1:]))
+    rows, blocks, found = kept["pair-blocks"].collect(), bilinear_lm.block_count(size), {}
+    assert 1 < len(rows) == len({r["block"] for r in rows}) <= blocks
+    for r in rows:
+        at, n = np.frombuffer(r["at"], dtype=np.int32), np.frombuffer(r["n"], dtype=np.int64)
+        found |= {(int(a) // size * blocks + r["block"], int(a) % size): int(k) for a, k in zip(at, n, strict=True)}
+    assert found == dict(pairs)
+
+
 def test_lm_edges(spark, edge_docs, no_docs):
     model = bilinear_lm.fit(edge_docs, steps=3)
     texts = [r["text"] for r in edge_docs.collect()]

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskweave.operators import descent, training
 from riskweave.operators.scoring import Network
@@ -102,3 +103,48 @@ def test_parameters_are_named_by_layer(spark):
     long = descent.parameters(descent.bank_table(df, net), descent.shape_of(net)).collect()
     assert sorted((r.layer, r.pos, r.value) for r in long) == sorted(net.entries())
     assert {r.n for r in long} == {4}
+
+
+def test_rows_are_read_once_for_all_steps(spark):
+    rows, read = make({"A": 30, "B": 10}), spark.sparkContext.accumulator(0)
+
+    def look(label):
+        read.add(1)
+        return label
+
+    seen = spark.createDataFrame(rows, SCHEMA).withColumn("label", F.udf(look, "int")("label"))
+    training.full_batch_baselines(seen, Network.initial(3, 4, 2), 4, 0.1).collect()
+    # Once to count the rows of the banks, once to pack them.
+    assert read.value == 2 * len(rows)
+
+
+def test_blocks_hold_all_rows_of_a_bank(spark, monkeypatch):
+    monkeypatch.setattr(descent, "BLOCK_BYTES", 3 * 4 * 8)
+    monkeypatch.setattr(descent, "HELD_BYTES", 10 * 4 * 8)
+    rows = make({"A": 50, "B": 7}) * 2
+    odd = [(900, "C", None, [math.nan, None, 1.0, 5.0]), (901, "C", 1, None), (902, None, 1, [1.0] * 3)]
+    df, net = spark.createDataFrame(rows + odd, SCHEMA), Network.initial(3, 2, 4)
+    shape, found = descent.shape_of(net), []
+    for r in descent.packed(df, shape).collect():
+        numbers = np.frombuffer(r.block, "<f8").reshape(4, -1)
+        assert numbers.shape[1] == r.rows <= 3
+        found += [(r.bank_id, *map(float, row)) for row in numbers.T]
+    clean = [(900, "C", 0, [0.0, 0.0, 1.0]), (901, "C", 1, [0.0] * 3)]
+    assert sorted(found) == sorted((bank, float(y), *x) for _, bank, y, x in rows + clean)
+    for r in descent.gradients(df, descent.bank_table(df, net), shape).collect():
+        x, y = by_bank(rows + clean)[r.bank_id]
+        expected = training._gradient(net, x, y, weight(y))
+        assert r.gradient == pytest.approx(descent.flat(expected), abs=1e-12)
+
+
+def test_rounding_and_infinity_are_those_of_columns(spark):
+    # The unit's input is 0.1 + 0.2 - 0.3, which is not 0 when added from the left; infinity makes it NaN or clips.
+    net = Network(np.array([[0.1], [0.2], [-0.3]]), np.zeros(1), np.array([2.0]), 0.5)
+    p = 1 / (1 + math.exp(-0.5))
+    high = 1 / (1 + math.exp(-20))
+    rows = [(1, "A", 0, [1.0] * 3), (2, "B", 0, [math.inf, 0.0, 0.0]), (3, "C", 0, [math.inf, 0.0, math.inf])]
+    df, shape = spark.createDataFrame(rows, SCHEMA), descent.shape_of(net)
+    found = {r.bank_id: r.gradient for r in descent.gradients(df, descent.bank_table(df, net), shape).collect()}
+    assert found["A"] == pytest.approx([2 * p, 2 * p, 2 * p, 2 * p, 0, p], abs=1e-12)
+    assert found["B"] == pytest.approx([math.inf, 0, 0, 2 * high, math.inf, high])
+    assert found["C"] == pytest.approx([math.inf, 0, math.inf, 2 * high, math.nan, high], nan_ok=True)

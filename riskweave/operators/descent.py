@@ -6,8 +6,9 @@ meet. Nothing is sampled, and the order of the rows does not matter but for the
 networks is stored after each step, which cuts the lineage.
 
 The rows are packed once into blocks of bytes, each of one bank, where they are; steps pass over the blocks, and
-forward and backward are arithmetic on arrays of a block. As columns, a network of 97 parameters is a
-method of 13 kB; the JVM compiles none over 8 kB, and interpreting it took about 57 microseconds a row and step.
+forward and backward are arithmetic on arrays of a block, in Python. `gradients` is the same on rows and columns,
+without Python; there a network of 97 parameters is a method of 13 kB, the JVM compiles none over 8 kB, and
+interpreting it takes about 57 microseconds a row.
 
 `params` is flat: `w1` row by row, then `b1`, `w2` and `b2`. With one aggregate per parameter this is for the
 small networks of this library; `training` fits larger ones by mini-batches.
@@ -178,13 +179,61 @@ def _summing(shape: Shape) -> Callable[[Batches], Batches]:
     return run
 
 
+def _total(terms: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
 def gradients(rows: DataFrame, banks: DataFrame, shape: Shape, hot: HotKeys | None = None) -> DataFrame:
-    """(bank_id, gradient): the gradient of each bank's mean class-weighted cross-entropy over its rows."""
-    return block_gradients(packed(rows, shape), banks, shape, hot)
+    """(bank_id, gradient): the gradient of each bank's mean class-weighted cross-entropy over its rows.
+
+    A feature that is NULL, NaN or missing counts as 0, as in scoring; a NULL label counts as 0. The table
+    of banks is broadcast if it was counted to be small; else its rows are joined, with heavy banks (`hot`) split.
+    """
+    if shape.parameters > MAX_PARAMETERS:
+        raise ValueError(f"{shape.parameters} parameters; fit networks over {MAX_PARAMETERS} by mini-batches")
+    start = shape.starts
+
+    def param(layer: str, i: int) -> Column:
+        return F.col("params")[start[layer] + i]
+
+    few = is_small(banks)
+    known = banks.select("bank_id", "pos_weight", "params")
+    inputs = [
+        F.coalesce(F.nanvl(F.get(F.col("features"), F.lit(i)), F.lit(0.0)), F.lit(0.0)).alias(f"__x{i}")
+        for i in range(shape.features)
+    ]
+    given = rows.select("bank_id", F.coalesce(F.col("label").cast("int"), F.lit(0)).alias("__y"), *inputs)
+    if few:
+        joined = given.join(F.broadcast(known), "bank_id")
+    else:
+        joined = join_to_unique(given, known, ["bank_id"], "inner", hot, ["__x0"])
+    units, inner = range(shape.hidden), range(shape.features)
+    x = [F.col(f"__x{i}") for i in inner]
+    pre = {
+        f"__a{j}": _total([x[i] * param("w1", i * shape.hidden + j) for i in inner]) + param("b1", j) for j in units
+    }
+    a = [F.col(f"__a{j}") for j in units]
+    z = _total([F.greatest(a[j], F.lit(0.0)) * param("w2", j) for j in units]) + param("b2", 0)
+    p = 1.0 / (1.0 + F.exp(-F.greatest(F.least(z, F.lit(MAX_LOGIT)), F.lit(-MAX_LOGIT))))
+    slope = F.when(F.col("__y") == 1, F.col("pos_weight")).otherwise(1.0) * (p - F.col("__y"))
+    back = {f"__d{j}": F.when(a[j] > 0, F.col("__slope") * param("w2", j)).otherwise(0.0) for j in units}
+    rated = joined.withColumns(pre).withColumn("__slope", slope).withColumns(back)
+    d = [F.col(f"__d{j}") for j in units]
+    terms = [
+        *(x[i] * d[j] for i in inner for j in units),
+        *d,
+        *(F.greatest(a[j], F.lit(0.0)) * F.col("__slope") for j in units),
+        F.col("__slope"),
+    ]
+    sums = rated.groupBy("bank_id").agg(
+        F.count(F.lit(1)).alias("__n"), *(F.sum(t).alias(f"__g{k}") for k, t in enumerate(terms))
+    )
+    mean = F.array(*(F.col(f"__g{k}") / F.col("__n") for k in range(len(terms))))
+    return sums.select("bank_id", mean.alias("gradient"))
 
 
 def block_gradients(blocks: DataFrame, banks: DataFrame, shape: Shape, hot: HotKeys | None = None) -> DataFrame:
-    """`gradients` of packed rows.
+    """`gradients` of `packed` rows.
 
     The table of banks is broadcast if it was counted to be small; else its rows are joined, with the blocks of heavy
     banks (`hot`) split.

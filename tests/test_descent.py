@@ -131,10 +131,14 @@ def test_blocks_hold_all_rows_of_a_bank(spark, monkeypatch):
         found += [(r.bank_id, *map(float, row)) for row in numbers.T]
     clean = [(900, "C", 0, [0.0, 0.0, 1.0]), (901, "C", 1, [0.0] * 3)]
     assert sorted(found) == sorted((bank, float(y), *x) for _, bank, y, x in rows + clean)
-    for r in descent.gradients(df, descent.bank_table(df, net), shape).collect():
-        x, y = by_bank(rows + clean)[r.bank_id]
-        expected = training._gradient(net, x, y, weight(y))
-        assert r.gradient == pytest.approx(descent.flat(expected), abs=1e-12)
+    for small in (True, False):
+        # Few banks are broadcast, many are joined.
+        monkeypatch.setattr(descent, "is_small", lambda _, small=small: small)
+        hot = find_hot_keys(df, ["bank_id"], rows_per_task=50)
+        for r in descent.block_gradients(descent.packed(df, shape), descent.bank_table(df, net), shape, hot).collect():
+            x, y = by_bank(rows + clean)[r.bank_id]
+            expected = training._gradient(net, x, y, weight(y))
+            assert r.gradient == pytest.approx(descent.flat(expected), abs=1e-12)
 
 
 def test_rounding_and_infinity_are_those_of_columns(spark):
@@ -144,7 +148,10 @@ def test_rounding_and_infinity_are_those_of_columns(spark):
     high = 1 / (1 + math.exp(-20))
     rows = [(1, "A", 0, [1.0] * 3), (2, "B", 0, [math.inf, 0.0, 0.0]), (3, "C", 0, [math.inf, 0.0, math.inf])]
     df, shape = spark.createDataFrame(rows, SCHEMA), descent.shape_of(net)
-    found = {r.bank_id: r.gradient for r in descent.gradients(df, descent.bank_table(df, net), shape).collect()}
+    banks = descent.bank_table(df, net)
+    found = {r.bank_id: r.gradient for r in descent.block_gradients(descent.packed(df, shape), banks, shape).collect()}
+    columns = {r.bank_id: r.gradient for r in descent.gradients(df, banks, shape).collect()}
+    assert all(found[bank] == pytest.approx(g, abs=1e-12, nan_ok=True) for bank, g in columns.items())
     assert found["A"] == pytest.approx([2 * p, 2 * p, 2 * p, 2 * p, 0, p], abs=1e-12)
     assert found["B"] == pytest.approx([math.inf, 0, 0, 2 * high, math.inf, high])
     assert found["C"] == pytest.approx([math.inf, 0, math.inf, 2 * high, math.nan, high], nan_ok=True)
